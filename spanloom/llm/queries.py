@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, sharding, url_filter, warc
+from spanloom.llm import exact_dedup, mixing, mpegts, partenum, sharding, url_filter, warc
 from spanloom.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(table(spark, sf_dir, "documents"))
+
+
+def op3_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.features(mpegts.store(table(spark, sf_dir, "documents")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -33,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op4_warc, op6_kd_sharding, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op6_kd_sharding, op9_exact_dedup, op10_mixing)}
 
 
 _OP1 = """
