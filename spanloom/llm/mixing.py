@@ -31,7 +31,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 #: Documents in a first block, and residuals that one step of the tree combines.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4096
 FAN_IN = 256
 
 _SCHEMA = "doc_id long, source string, size long, copies long, open double, block long"
