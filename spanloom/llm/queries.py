@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, mpegts, partenum, sharding, toxicity, url_filter, warc
+from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sharding, toxicity, url_filter, warc
 from spanloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), F.array_join("pii.kind", ",").alias("kinds"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op6_kd_sharding, op7_toxicity, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op9_exact_dedup, op10_mixing)}
 
 
 _OP1 = """
