@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sharding, toxicity, url_filter, warc
+from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, toxicity, url_filter, warc
 from spanloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), sentencepiece_lattice.Vocabulary.load())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing)}
 
 
 _OP1 = """
