@@ -237,31 +237,38 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(bucket, word, ids) of distinct words (bucket, word), by the lattice of their substrings."""
     spark = words.sparkSession
-    n = F.length("word")
-    spans = F.flatten(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - i + 1)), lambda k: F.struct((i - 1).alias("start"), (i + k - 1).alias("end"), F.translate(F.substring("word", i, k), " ", MARK).alias("piece"))))
-    )
-    edges = words.where(n > 0).select("bucket", "word", F.explode(spans).alias("e")).select("bucket", "word", "e.*")
-    edges = edges.join(F.broadcast(piece_table(spark, vocabulary)), "piece", "left").where("id is not null or end = start + 1")
-    as_bytes = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode("piece", "UTF-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.element_at(F.lit(vocabulary.byte_ids), F.conv(h, 16, 10).cast("int") + 1))
-    edge = F.struct("end", "start", F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.when(F.col("id").isNull(), as_bytes).otherwise(F.array("id")).alias("ids"))
-    grouped = edges.groupBy("bucket", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-    # state: best sum and path of each place done, and the best edge so far into the place at hand
-    start = F.struct(F.array(F.lit(0.0)).alias("sums"), F.array(F.array().cast("array<int>")).alias("paths"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("path"))
+    marked = words.where("word <> ''").withColumn("marked", F.translate("word", " ", MARK)).withColumn("n", F.length("word"))
+    starts = marked.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))).alias("size"))
+    spans = spans.select("bucket", "word", "start", "size", F.substring("marked", F.col("start") + 1, F.col("size")).alias("piece"))
+    edges = spans.join(F.broadcast(piece_table(spark, vocabulary)), "piece", "left").where("id is not null or size = 1")
+    # an edge: end and start in one number, so that sorting orders by end, then start; minus a code point for no piece
+    edge = F.struct(((F.col("start") + F.col("size")) * 1024 + F.col("start")).alias("at"), F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"))
+    grouped = edges.groupBy("bucket", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    # state: best sum and path of each place done (sums, paths), and of the place at hand (sum, path)
+    nothing = F.array().cast("array<int>")
+    start = F.struct(F.array().cast("array<double>").alias("sums"), F.array().cast("array<array<int>>").alias("paths"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), nothing.alias("path"))
 
     def push(acc, x):
-        new = x["end"] != acc["at"]
-        closing = new & (acc["at"] > 0)
-        sums = F.when(closing, F.array_append(acc["sums"], acc["sum"])).otherwise(acc["sums"])
-        paths = F.when(closing, F.array_append(acc["paths"], acc["path"])).otherwise(acc["paths"])
-        # the place where the edge starts may be the one closed just now
-        here = F.when(x["start"] < F.size(acc["sums"]), F.get(acc["sums"], x["start"])).otherwise(acc["sum"])
-        path = F.when(x["start"] < F.size(acc["paths"]), F.get(acc["paths"], x["start"])).otherwise(acc["path"])
-        better = new | (here + x["score"] > acc["sum"])
-        return F.struct(sums.alias("sums"), paths.alias("paths"), x["end"].alias("at"), F.when(better, here + x["score"]).otherwise(acc["sum"]).alias("sum"), F.when(better, F.concat(path, x["ids"])).otherwise(acc["path"]).alias("path"))
-
-    return grouped.select("bucket", "word", F.aggregate("edges", start, push, lambda acc: acc["path"]).alias("ids"))
+        end, begin = F.shiftright(x["at"], 10), x["at"].bitwiseAND(F.lit(1023))
+
+        def closed(sums, paths, is_new):
+            """The state with places below end closed; an edge's start is among them."""
+            total, path = F.get(sums, begin) + x["score"], F.get(paths, begin)
+            if is_new:
+                return F.struct(sums.alias("sums"), paths.alias("paths"), end.alias("at"), total.alias("sum"), F.array_append(path, x["id"]).alias("path"))
+            better = total > acc["sum"]
+            return F.when(better, F.struct(sums.alias("sums"), paths.alias("paths"), end.alias("at"), total.alias("sum"), F.array_append(path, x["id"]).alias("path"))).otherwise(acc)
+
+        return F.when(end == acc["at"], closed(acc["sums"], acc["paths"], False)).otherwise(closed(F.array_append(acc["sums"], acc["sum"]), F.array_append(acc["paths"], acc["path"]), True))
+
+    path = F.aggregate("edges", start, push, lambda acc: acc["path"])
+    spelled = grouped.select("bucket", "word", path.alias("ids"))
+    # characters that no piece spells, as the pieces of their bytes
+    as_bytes = lambda c: F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(F.decode(F.unhex(F.lpad(F.hex(-c), 8, "0")), "UTF-32"), "UTF-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.element_at(F.lit(vocabulary.byte_ids), F.conv(h, 16, 10).cast("int") + 1))
+    spread = F.flatten(F.transform("ids", lambda i: F.when(i < 0, as_bytes(i)).otherwise(F.array(i))))
+    return spelled.select("bucket", "word", F.when(F.exists("ids", lambda i: i < 0), spread).otherwise(F.col("ids")).alias("ids"))
 
 
 def _answer(listed: pa.Table, known: pa.Table) -> pa.Table:
