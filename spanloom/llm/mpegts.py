@@ -17,7 +17,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,12 +50,14 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return head + crc32_mpeg(head).to_bytes(4, "big")
 
 
-@cache
-def _tables() -> tuple[bytes, bytes]:
+def _make_tables() -> tuple[bytes, ...]:
     """Payloads of the PAT's and the PMT's packet."""
     pat = _section(0x00, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
     pmt = _section(0x02, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
-    return tuple((b"\x00" + s).ljust(PACKET - 4, b"\xff") for s in (pat, pmt))  # type: ignore[return-value]
+    return tuple((b"\x00" + s).ljust(PACKET - 4, b"\xff") for s in (pat, pmt))
+
+
+_TABLES = _make_tables()
 
 
 def _timestamp(prefix: int, t: int) -> bytes:
@@ -81,7 +82,7 @@ def mux(payload: bytes) -> bytes:
         unit = payload[at : at + UNIT]
         entry, pts = i % GROUP == 0, (FIRST_PTS + i * TICKS) & (1 << 33) - 1
         if entry:
-            for pid, body in zip((PAT_PID, PMT_PID), _tables(), strict=True):
+            for pid, body in zip((PAT_PID, PMT_PID), _TABLES, strict=True):
                 table(pid, body)
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _timestamp(2, pts) + unit
         # a clock reference and the random-access flag with the first packet of an entry
@@ -126,8 +127,7 @@ class Stream:
         return f"packets={self.packets};programs={len(self.programs)};streams={len(self.streams)};units={len(self.units)};entries={len(entry)};first_pts={self.units[0][0] if self.units else -1};last_pts={self.units[-1][0] if self.units else -1};last_entry={entry[-1] if entry else -1};cc_errors={self.continuity_errors};damaged={self.damaged};index={index:08x}"
 
 
-@cache
-def _known_section(body: bytes) -> tuple[int, bytes] | None:
+def _section_of(body: bytes) -> tuple[int, bytes] | None:
     """(table id, content between header and CRC) of a section that its CRC proves whole."""
     start = 1 + body[0]
     if start + 3 > len(body):
@@ -139,6 +139,18 @@ def _known_section(body: bytes) -> tuple[int, bytes] | None:
     return section[0], section[8:-4]
 
 
+#: Sections met before, as streams repeat a few; emptied when it has grown.
+_SECTIONS: dict[bytes, tuple[int, bytes] | None] = {}
+
+
+def _known_section(body: bytes) -> tuple[int, bytes] | None:
+    if body not in _SECTIONS:
+        if len(_SECTIONS) >= 1000:
+            _SECTIONS.clear()
+        _SECTIONS[body] = _section_of(body)
+    return _SECTIONS[body]
+
+
 def demux(stream: bytes) -> Stream:
     out, last, at = Stream(), {}, 0
     chunks: list[bytes] = []
