@@ -41,9 +41,9 @@ def snapshot_line() -> Any:
     return F.concat(F.lit("{"), *[x for i, c in enumerate(names) for x in (F.lit((", " if i else "") + f'"{c}": '), part(c))], F.lit("}"))
 
 
-def write_snapshot(docs: DataFrame, path: str, *, corpus_id: str, source: str, retrieved_at: str = "") -> dict[str, Any]:
-    """Documents in order of doc_id as zstd JSON lines; returns the manifest with the hash of the lines."""
-    docs.select(F.to_json(F.struct(*sorted(["doc_id", "text", "title", "court", "date_filed", "source_url"]))).alias("value"), "doc_id").orderBy("doc_id").select("value").write.mode("overwrite").option("compression", "zstd").text(path)
+def write_snapshot(docs: DataFrame, path: str, *, corpus_id: str, source: str, retrieved_at: str = "", codec: str = "gzip") -> dict[str, Any]:
+    """Documents in order of doc_id as compressed JSON lines (zstd where Hadoop has it); returns the manifest with the hash of the lines."""
+    docs.select(F.to_json(F.struct(*sorted(["doc_id", "text", "title", "court", "date_filed", "source_url"]))).alias("value"), "doc_id").orderBy("doc_id").select("value").write.mode("overwrite").option("compression", codec).text(path)
     return manifest(docs, corpus_id=corpus_id, source=source, retrieved_at=retrieved_at)
 
 
