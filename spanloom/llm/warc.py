@@ -213,7 +213,7 @@ class WarcReader(DataSourceReader):
         for base in self.path.split(","):
             fs, at = _open_fs(base)
             info = fs.get_file_info(at)
-            files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(at, recursive=True))
+            files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(at, allow_not_found=True, recursive=True))
             scheme = base.partition("://")[0] + "://" if "://" in base and not base.startswith("file:") else ""
             out += [_File(scheme + f.path if scheme else f.path, f.size) for f in files if f.type == pafs.FileType.File and f.base_name.endswith((".warc", ".warc.gz"))]
         return sorted(out, key=lambda f: -f.size) or [_File("", 0)]
