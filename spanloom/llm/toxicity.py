@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import mix64, sub_batches, word_hashes
+from spanloom.llm.common import from_bytes, mix64, sub_batches, text_bytes, word_hashes
 
 #: Bound of the labelled sample that a model is fitted on.
 SAMPLE_ROWS = 4000
@@ -64,13 +64,11 @@ _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 def letters_only(texts: pa.Array) -> pa.Array:
     """Texts with A-Z and the capitals of Latin-1 lowered and every other ASCII character but letters made a space."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], "<i8", n + 1, texts.offset * 8)
-    data = _FOLD[np.frombuffer(texts.buffers()[2], np.uint8, offsets[-1])] if offsets[-1] else np.zeros(0, np.uint8)
+    offsets, data = text_bytes(texts)
+    data = _FOLD[data]
     capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     data[capital] += 0x20
-    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.copy()), pa.py_buffer(data)]).cast(pa.large_string(), safe=False)
+    return from_bytes(offsets, data)
 
 
 def _folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
