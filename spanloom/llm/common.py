@@ -21,8 +21,20 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Rows in an Arrow batch where the session leaves Spark's default of 10,000, too many for whole texts.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch from Spark's default, so that a batch of texts stays a few megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared checkpoint folder."""
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spanloom-")
@@ -40,6 +52,7 @@ def materialise(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +79,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -79,39 +93,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Words of each text: (words per text, code of each word, distinct words as bytes); null has no words.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
-    A-Z are lowered when asked; other letters never change.  Works on whole texts, in Arrow's kernels.
-    """
-    texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
-    coded = lists.flatten().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    if b"" in words:
-        keep = codes != words.index(b"")
-        owner = np.repeat(np.arange(len(counts)), counts)
-        counts = np.bincount(owner[keep], minlength=len(counts)).astype(np.int64)
-        codes = codes[keep]
-    return counts, codes, words
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of texts in UTF-8, from 0; null as empty.  Slices of a batch become arrays of their own."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], "<i8", n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, offsets[-1]) if offsets[-1] else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] :]
+
+
+def from_bytes(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The texts of offsets and bytes."""
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(words per text, 64-bit hash of each word), as split_words cuts them.
+    """(words per text, 64-bit hash of each word); a null text has no words.
+
+    Words are runs of other than ASCII white space; A-Z are lowered when asked, other letters never change.
 
     A hash chains eight bytes at a time through a bijective mixer, from the length: short words of equal length never
     collide, others with a probability of about 2^-64.
     """
-    texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
+    offsets, data = text_bytes(texts)
+    lists = pc.ascii_split_whitespace(from_bytes(offsets, _LOWER[data] if lower else data))
     flat = lists.flatten().cast(pa.large_binary())
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     n = len(flat)
@@ -133,14 +142,40 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return counts, out
 
 
-def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
+#: Links that one task may join (16 bytes each); more go through rounds of joins.
+TASK_LINKS = 2_000_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the links of one task, by union-find towards the smallest node."""
+    boss: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := boss.setdefault(top, top)) != top:
+            top = up
+        while boss[x] != top:
+            boss[x], x = top, boss[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            boss[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(boss), pa.int64()), pa.array([find(x) for x in list(boss)], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, component) for each node of the undirected links (a, b); component is the smallest node reached.
 
-    Alternates large-star and small-star steps (each a partial aggregation and an equi-join), so a hub with very many
-    links costs a pre-aggregated minimum, never one collected list.  Each round is written to the shared folder.
+    Links are counted first: up to task_links of them are joined by union-find in one task.  More alternate large-star
+    and small-star steps (each a partial aggregation and an equi-join), so a hub with very many links costs a
+    pre-aggregated minimum, never one collected list; each round is written to the shared folder.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, tag)
+    if e.count() <= task_links:
+        return e.coalesce(1).mapInArrow(_union, "node long, component long")
     stamp = None
     for _ in range(max_rounds):
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

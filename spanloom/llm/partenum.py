@@ -8,16 +8,19 @@ set is signed under its own band's scheme and the next band's.  Within a scheme
 K = floor(2 r / 9) features.  The scheme partitions the feature domain (the range of the hash) into n1 groups of n2
 parts and enumerates, in each group, the subsets of n2 - 1 parts; if (K + 1) / 2 groups or more are compared, some group
 differs in one feature at most, so some subset of its parts is equal in both sets: they share that signature.  A subset
-with no feature in it is no evidence and is not emitted; groups are therefore somewhat more than (K + 1) / 2, and a set
-in which too few groups are filled for the argument to hold (few, small sets) also emits its prefix features under the
-scheme, which two such sets must share (prefix filter).  So no link is lost.
+with no feature in it is no evidence and is not emitted, and one with a single feature is weak evidence that shared
+passages give in plenty; groups are therefore somewhat more than (K + 1) / 2, and a set emits subsets of two features or
+more if its groups are filled well enough for the argument to hold with them, else those of one feature too, else (few,
+small sets) also its prefix features under the scheme, which two such sets must share (prefix filter).  Of two linked
+sets, the better filled one decides which subsets must meet, and the other emits those too.  So no link is lost.
 
 Dataflow.  One scan makes the sets and packs their signatures into blobs by signature bucket; a signature that several
 sets of a slice share leaves the slice once, with star links from its smallest set to the others.  A bucket's task joins
 equal signatures the same way.  Star links are checked exactly (shingle by shingle, on re-read texts of candidates
-alone) and folded into components; then members of one signature that are still in different components are checked
-pairwise, by an equi-join on the signature, so that no link between different texts is missed, while a large group of
-near copies costs one star.  Equal sets are one class from the start and stand in for their documents.
+alone) and folded into components.  Then members of one signature that are still in different components are compared,
+block by block, by parity sketches, which never turn away a pair that links; what passes is checked exactly: twice the
+nearest of each member, then, with the components that gives, all that is left.  So no link between
+different components is missed, and a large group of near copies costs few exact checks.  Equal sets are one class from the start and stand in for their documents.
 
 Defined cases: null and empty texts, and texts without words, have no set and link with nothing; fewer than five words
 are one shingle; texts of any length are taken whole; repeated rows are members of one class; a null doc_id is linked
@@ -30,19 +33,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import components, materialise, mix64, plan_bytes, sub_batches, word_hashes
+from spanloom.llm.common import bound_batches, components, materialise, mix64, plan_bytes, sub_batches, word_hashes
 
 WIDTH = 5
+#: Schemes that allow so many differing features emit subsets of two features or more only, where those suffice.
+LARGE = 12
 NUM, DEN = 4, 5  # a similarity of 4/5
 #: Bytes of text of which the signatures make one bucket.
 BUCKET_TEXT = 12 << 20
+#: Bytes of text whose signatures meet before they are shuffled.
+SLICE_TEXT = 1 << 20
+#: Ids of candidate documents that a broadcast may carry (8 bytes each), and members of a signature in one block.
+MOST_BROADCAST, BLOCK = 500_000, 4096
 _HEAD, _LINK, _GROUP = 0, 1, 2
 _ROWS = "kind byte, a long, b long, n long, id long, bucket int, blob binary"
 _U = np.uint64
@@ -96,7 +104,6 @@ def set_ids(sizes: np.ndarray, features: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- schemes
 
 
-@cache
 def bands(most: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper sizes of the bands up to one beyond that of size most."""
     low, high = [1], [DEN // NUM]
@@ -111,11 +118,7 @@ def bands(most: int) -> tuple[np.ndarray, np.ndarray]:
 def scheme(high: int) -> tuple[int, int, int]:
     """(K, n1, n2) of a band: most differing features, groups, parts in a group (one part may differ)."""
     k = 2 * high // 9
-    if k == 0:
-        return 0, 1, 1
-    if k < 48:
-        return k, math.ceil((k + 1) / 2 * 1.1) + 1, 3
-    return k, math.ceil((k + 1) / 2 * 1.12) + 1, 2
+    return (0, 1, 1) if k == 0 else (k, math.ceil((k + 1) / 2 * 1.2) + 1, 3)
 
 
 def signatures(sizes: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +131,7 @@ def signatures(sizes: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.
     start = np.concatenate([[0], np.cumsum(sizes)])
     mixed = mix64(features ^ _U(0xA5A5A5A5A5A5A5A5))
     for step in (0, 1):
-        for n2 in (1, 2, 3):
+        for n2 in (1, 3):
             plans = {int(b): scheme(int(high[b + step])) for b in np.unique(own[sizes > 0])}
             members = np.array([i for i in np.flatnonzero(sizes) if plans[int(own[i])][2] == n2], np.int64)
             if not len(members):
@@ -144,25 +147,27 @@ def signatures(sizes: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             total = np.zeros(base[-1], _U)
             total[cell[first]] = np.add.reduceat(mixed[where], first)
-            filled = np.zeros(base[-1], bool)
-            filled[cell[first]] = True
+            filled = np.zeros(base[-1], np.int64)
+            filled[cell[first]] = np.diff(np.append(first, len(cell)))
             holder = np.repeat(np.arange(len(members)), n1)  # of each group
             tag = mix64((band[holder].astype(_U) << _U(40)) + _ramp(n1).astype(_U))
             total, filled = total.reshape(-1, n2), filled.reshape(-1, n2)
             subsets = [[0]] if n2 == 1 else [[j for j in range(n2) if j != out] for out in range(n2)]
-            good = np.ones(len(holder), bool)
+            held = np.stack([filled[:, subset].sum(axis=1) for subset in subsets], axis=1)
+            # of the features in which a linked set may differ, each group takes two
+            limit = np.minimum(k, m // 4)
+            sure = lambda need: np.bincount(holder, (held >= need).all(axis=1), len(members)) * 2 > limit
+            strong = (k >= LARGE) & sure(2)
+            need = np.where(strong, 2, 1)[holder]
             for s, subset in enumerate(subsets):
-                some = filled[:, subset].any(axis=1)
-                good &= some
+                some = held[:, s] >= need
                 value = tag + _U(s + 1)
                 for j in subset:
                     value = mix64(value ^ total[:, j]) + _U(j)
                 owners.append(members[holder[some]])
                 signs.append(mix64(value[some]))
             if n2 > 1:
-                # of the features in which a linked set may differ, each group takes two
-                sure = np.bincount(holder, good, len(members)) * 2 > np.minimum(k, m // 4)
-                for i in np.flatnonzero(~sure):
+                for i in np.flatnonzero(~strong & ~sure(1)):
                     at = start[members[i]]
                     prefix = features[at : at + m[i] - (NUM * m[i] + DEN - 1) // DEN + 1]
                     owners.append(np.full(len(prefix), members[i]))
@@ -212,10 +217,12 @@ def _scan(buckets: int):
     """Documents to packed rows by bucket: heads, star links and group members within the slice, and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text"):
+        for batch in sub_batches(batches, "text", SLICE_TEXT):
             sizes, features = shingle_sets(batch.column("text"))
             ids = set_ids(sizes, features)
-            yield _rows(_HEAD, ids, n=sizes, id=batch.column("doc_id"), bucket=-1 - np.abs(ids % buckets))
+            ends = np.cumsum(sizes)
+            sketches = [sketch(features[e - n : e], 2).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield _rows(_HEAD, ids, n=sizes, id=batch.column("doc_id"), bucket=-1 - np.abs(ids % buckets), blob=sketches)
             _, once = np.unique(ids, return_index=True)  # equal sets of the slice sign once
             kept = np.zeros(len(sizes), bool)
             kept[once] = True
@@ -296,13 +303,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = bucket
             blobs.append(blob)
     yield from flush()
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- exact check
 
 
 def _candidate_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, "text"):
+    for batch in sub_batches(batches, "text", SLICE_TEXT):
         sizes, features = shingle_sets(batch.column("text"))
         ids, ends = set_ids(sizes, features), np.cumsum(sizes)
         blobs = [features[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -328,43 +336,198 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link.  Sets are made anew from the texts of one document for each."""
-    asked = pairs.select("a").union(pairs.select("b")).distinct()
-    ids = asked.join(heads, "a").select(F.col("id").alias("_id")).distinct()
-    sets = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(_candidate_sets, "a long, features binary")
-    sets = materialise(sets.dropDuplicates(["a"]), tag + "-sets")
+def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, many: bool = False) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets link: exactly, shingle by shingle.
+
+    Sets are made anew from the text of one document for each.  Few documents are asked for by a broadcast of their
+    ids, whose number is counted first; more by a shuffle.  Many doubtful pairs first pass finer sketches.
+    """
+    pairs = materialise(pairs, "jaccard-pairs")
+    ids = pairs.select("a").union(pairs.select("b")).distinct().join(heads, "a").select(F.col("id").alias("_id")).distinct()
+    asked = materialise(ids, "jaccard-asked")
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+    found = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = materialise(found.select("text").mapInArrow(_candidate_sets, "a long, features binary"), "jaccard-sets")
+    if many:
+        pairs = materialise(_likely(pairs, sets.mapInArrow(_sketch_rows, "a long, n long, sketch binary")), "jaccard-pairs")
     one = sets.withColumnRenamed("features", "fa")
     other = sets.select(F.col("a").alias("b"), F.col("features").alias("fb"))
-    return materialise(pairs.join(one, "a").join(other, "b").select("a", "b", "fa", "fb").mapInArrow(_verify, "a long, b long"), tag + "-links")
+    links = pairs.join(one, "a").join(other, "b").select("a", "b", "fa", "fb").mapInArrow(_verify, "a long, b long")
+    return materialise(links.distinct(), "jaccard-links")
+
+
+# ---------------------------------------------------------------- members of a signature in different components
+
+
+def sketch(features: np.ndarray, share: int) -> np.ndarray:
+    """Parities of the numbers of features that fall on each of (a power of two of at least share x size) bits, as words.
+
+    Two sets differ in as many features, at least, as their sketches differ in bits; halves of a sketch xor to the
+    sketch of half the bits.
+    """
+    bits = max(64, 1 << (share * max(len(features), 1) - 1).bit_length())
+    count = np.bincount((mix64(features) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).view(_U)
+
+
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, _U) for x in batch.column("features").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x, 8).tobytes() for x in sets], pa.binary())], names=["a", "n", "sketch"])
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        d = [batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
+        ok = []
+        for na, nb, sa, sb in zip(*d, strict=True):
+            fits = DEN * min(na, nb) >= NUM * max(na, nb)
+            if fits:
+                x, y = np.frombuffer(sa, _U), np.frombuffer(sb, _U)
+                width = min(len(x), len(y))
+                fits = int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum()) * 9 <= na + nb
+            ok.append(fits)
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches (a, n, sketch) allow a link."""
+    one = sketches.select("a", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    other = sketches.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_may_link, "a long, b long")
+
+
+def _fold(words: np.ndarray, width: int) -> np.ndarray:
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _differing(x: np.ndarray, y: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Bits in which the sketches of rows x and y differ, pair by pair, at the width of the narrower."""
+    width = np.array([len(k) for k in sketches])
+    narrow = np.minimum(width[x], width[y])
+    out = np.zeros(len(x), np.int64)
+    for w in np.unique(narrow):
+        pick = np.flatnonzero(narrow == w)
+        used, at = np.unique(np.concatenate([x[pick], y[pick]]), return_inverse=True)
+        bits = np.stack([_fold(sketches[r], int(w)) for r in used])
+        left, right = at[: len(pick)], at[len(pick) :]
+        step = max(1, (8 << 20) // (8 * int(w)))
+        for s in range(0, len(pick), step):
+            out[pick[s : s + step]] = np.bitwise_count(bits[left[s : s + step]] ^ bits[right[s : s + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _near(top: int):
+    """Rows (g, i, j, a, c, n, sketch, side) in order of g, i, j to pairs of members that may link, and their signatures.
+
+    Pairs lie in different components (and different blocks, where i is not j), fit in size and have sketches that
+    allow a link.  With top, only so many for each member of a signature: those whose sketches differ least.  Rows that
+    come out: (true, a, b) for pairs, each once, and (false, g, null) for signatures that had one.
+    """
+
+    def settle(d: dict[str, np.ndarray], sketches: list[np.ndarray]) -> pa.RecordBatch:
+        new = np.concatenate([[True], (d["g"][1:] != d["g"][:-1]) | (d["i"][1:] != d["i"][:-1]) | (d["j"][1:] != d["j"][:-1])])
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(new))[np.cumsum(new) - 1]  # of each row's group
+        pairs, groups, row = [], [], 0
+        while row < len(new):
+            # as many rows as give about 300,000 pairs
+            last = row + max(1, int(np.searchsorted(np.cumsum((end - np.arange(len(new)) - 1)[row : row + 100_000]), 300_000)))
+            rows = np.arange(row, min(last, len(new)))
+            row = last
+            m = end[rows] - rows - 1
+            x = np.repeat(rows, m)
+            y = x + 1 + _ramp(m)
+            ok = (d["c"][x] != d["c"][y]) & ((d["i"][x] == d["j"][x]) | (d["side"][x] != d["side"][y]))
+            ok &= DEN * np.minimum(d["n"][x], d["n"][y]) >= NUM * np.maximum(d["n"][x], d["n"][y])
+            x, y = x[ok], y[ok]
+            differ = _differing(x, y, sketches)
+            ok = differ * 9 <= d["n"][x] + d["n"][y]
+            x, y, differ = x[ok], y[ok], differ[ok]
+            groups.append(np.unique(d["g"][x]))
+            if top and len(x):
+                one, other = np.concatenate([x, y]), np.concatenate([y, x])
+                by = np.lexsort((d["a"][other], np.concatenate([differ, differ]), one))
+                one, other = one[by], other[by]
+                first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+                nth = np.arange(len(one)) - np.repeat(first, np.diff(np.append(first, len(one))))
+                x, y = one[nth < top], other[nth < top]
+            p, q = d["a"][x], d["a"][y]
+            pairs.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0))
+        pair, group = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(groups))
+        a, b = np.concatenate([pair[:, 0], group]), np.concatenate([pair[:, 1], np.zeros(len(group), np.int64)])
+        is_pair = np.arange(len(a)) < len(pair)
+        return pa.RecordBatch.from_arrays([pa.array(is_pair), pa.array(a), pa.array(b)], names=["pair", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, count = ("g", "i", "j", "a", "c", "n", "side"), [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < 20_000:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            keys = [whole.column(c).to_numpy() for c in "gij"]
+            change = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1]))
+            if not len(change):
+                continue
+            cut = int(change[-1]) + 1  # the last group may go on
+            done = whole.slice(0, cut)
+            yield settle({c: done.column(c).to_numpy() for c in names}, [np.frombuffer(k, _U) for k in done.column("sketch").to_pylist()])
+            held, count = whole.slice(cut).to_batches(), whole.num_rows - cut
+        if count:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            yield settle({c: whole.column(c).to_numpy() for c in names}, [np.frombuffer(k, _U) for k in whole.column("sketch").to_pylist()])
+
+    return run
+
+
+def _cross_pairs(group: DataFrame, sketches: DataFrame, top: int) -> DataFrame:
+    """(pair, a, b) of groups (g, a, c), by blocks of BLOCK members; larger groups as pairs of blocks."""
+    blocks = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    dealt = group.join(sketches, "a").join(blocks, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "n", "sketch", "side")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_near(top), "pair boolean, a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(16, plan_bytes(docs) // BUCKET_TEXT * 4)
     packed = docs.mapInArrow(_scan(buckets), _ROWS)
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket", "blob")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket")
     met = materialise(met, "jaccard", "kind")
-    rows = met.where(f"kind = {_HEAD}").select("a", "n", "id")
-    heads = materialise(rows.where("n > 0").groupBy("a").agg(F.min("id").alias("id")), "jaccard-heads")
+    rows = met.where(f"kind = {_HEAD}").select("a", "n", "id", F.col("blob").alias("sketch"))
+    heads = materialise(rows.where("n > 0").groupBy("a").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-heads")
+    rows = rows.drop("sketch")
     star = materialise(met.where(f"kind = {_LINK}").select("a", "b").distinct(), "jaccard-star")
-    links = _checked(star, heads, docs, "jaccard-star")
+    links = _checked(_likely(star, heads), heads, docs)
     parts = materialise(components(links, "jaccard-components"), "jaccard-parts")
 
-    # members of a signature that the star left in different components
-    group = met.where(f"kind = {_GROUP}").select(F.col("a").alias("g"), F.col("b").alias("a")).distinct()
-    group = group.join(parts.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("component", "a").alias("c"))
-    apart = group.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2").select("g")
-    group = materialise(group.join(apart, "g", "left_semi"), "jaccard-apart")
-    main = group.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", "count").alias("main"))
-    left = group.join(main, "g").where("c <> main").select("g", F.col("a").alias("x"), F.col("c").alias("cx"), "main")
-    right = group.select("g", F.col("a").alias("y"), F.col("c").alias("cy"))
-    more = left.join(right, "g").where("cx <> cy and (cy = main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialise(more.join(star, ["a", "b"], "left_anti"), "jaccard-more")
-    if not more.isEmpty():
-        links = links.unionByName(_checked(more, heads, docs, "jaccard-more"))
-        parts = materialise(components(links, "jaccard-components"), "jaccard-parts")
+    # members of a signature that the star left in different components: twice the nearest of each, then all
+    group = materialise(met.where(f"kind = {_GROUP}").select(F.col("a").alias("g"), F.col("b").alias("a")).distinct(), "jaccard-groups")
+    tested = star
+    for top in (1, 1, 0):
+        placed = group.join(parts.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("component", "a").alias("c"))
+        apart = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high and members > 2").select("g")
+        apart = materialise(placed.join(apart, "g", "left_semi"), "jaccard-apart")
+        if apart.isEmpty():
+            break
+        near = materialise(_cross_pairs(apart, heads.select("a", "n", "sketch"), top), "jaccard-near", "pair")
+        # signatures without a likely pair have none later either
+        group = apart.select("g", "a").join(near.where("not pair").select(F.col("a").alias("g")).distinct(), "g", "left_semi")
+        pairs = materialise(near.where("pair").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-fresh")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        more = _checked(pairs, heads, docs, many=not top)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = materialise(components(links, "jaccard-components"), "jaccard-parts")
 
     # the smallest doc_id of a component names it
     named = heads.join(parts.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("c"), "id")
