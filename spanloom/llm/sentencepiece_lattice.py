@@ -38,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise, plan_bytes, sub_batches
+from spanloom.llm.common import from_bytes, materialise, plan_bytes, sub_batches, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: SentencePiece lowers the smallest score by this for a character that no piece spells.
 UNKNOWN_PENALTY = 10.0
 LONG = 200
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _NORMAL, _UNUSED, _BYTE, _USER = 1, 5, 6, 4
 
 
@@ -158,14 +158,8 @@ def _text(x: str) -> pa.Scalar:
 
 def words_of(texts: pa.Array, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(words per text, number of each word, distinct words).  Spaces are still spaces; each text begins with one more."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), "")
-    texts = pc.replace_substring(texts, MARK, " ")
-    raw = pc.if_else(pc.equal(texts, _text("")), _text(""), pc.binary_join_element_wise(_text(" "), texts, _text(""))).cast(pa.large_binary())
-    n = len(raw)
-    offsets = np.frombuffer(raw.buffers()[1], "<i8", n + 1, raw.offset * 8)
-    data = np.frombuffer(raw.buffers()[2], np.uint8, offsets[-1]) if offsets[-1] else np.zeros(0, np.uint8)
-    data = data[offsets[0] :]
-    offsets = offsets - offsets[0]
+    texts = pc.replace_substring(from_bytes(*text_bytes(texts)), MARK, " ")
+    offsets, data = text_bytes(pc.if_else(pc.equal(texts, _text("")), _text(""), pc.binary_join_element_wise(_text(" "), texts, _text(""))))
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         cut[1:-1] = ~joins[data[:-1], data[1:]]
@@ -186,23 +180,45 @@ def _slices(batches: Iterator[pa.RecordBatch], joins: np.ndarray, buckets: int,
     for place, batch in enumerate(sub_batches(batches, "text", size)):
         counts, codes, words = words_of(batch.column("text"), joins)
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets if len(w) <= LONG else buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
+        # sorted, so that lists compress well and the order is the words' own
+        order = pc.sort_indices(pa.table({"bucket": bucket, "word": pa.array(words, pa.large_string())}), [("bucket", "ascending"), ("word", "ascending")]).to_numpy()
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         start = np.searchsorted(bucket[order], np.arange(buckets + 2))
         yield part << 24 | place, batch, counts, rank[codes], [words[i] for i in order], start
 
 
+def pack_words(words: list[str]) -> tuple[bytes, int]:
+    """Words as sizes and bytes, compressed; and the number of bytes before."""
+    raw = [w.encode() for w in words]
+    data = np.uint32(len(raw)).tobytes() + np.array([len(w) for w in raw], "<u2").tobytes() + b"".join(raw)
+    return pa.compress(data, "zstd", asbytes=True), len(data)
+
+
+def unpack_words(blob: bytes, size: int) -> pa.Array:
+    data = pa.decompress(blob, size, "zstd", asbytes=True)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<u2", n, 4).astype(np.int64))
+    return from_bytes(np.concatenate([[0], ends]), np.frombuffer(data, np.uint8, offset=4 + 2 * n))
+
+
 def _list_words(joins: np.ndarray, buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, _, _, words, start in _slices(batches, joins, buckets, size):
             some = np.flatnonzero(np.diff(start)[:buckets])
-            lists = [words[start[b] : start[b + 1]] for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), number), pa.int64()), pa.array(lists, pa.list_(pa.string()))], names=["bucket", "slice", "words"])
+            packed = [pack_words(words[start[b] : start[b + 1]]) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), number), pa.int64()), pa.array([p for p, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())], names=["bucket", "slice", "words", "size"])
 
     return run
 
 
+def _distinct_words(listed: pa.Table) -> pa.Table:
+    """(bucket, word): the distinct words of a bucket."""
+    lists = [unpack_words(b, n) for b, n in zip(listed.column("words").to_pylist(), listed.column("size").to_pylist(), strict=True)]
+    found = pc.unique(pa.concat_arrays(lists)).cast(pa.string())
+    return pa.table({"bucket": pa.array(np.full(len(found), listed.column("bucket")[0].as_py()), pa.int32()), "word": found})
+
+
 def _list_docs(vocabulary: Vocabulary, buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch, counts, codes, words, start in _slices(batches, vocabulary.joins, buckets, size):
@@ -278,18 +294,17 @@ def _answer(listed: pa.Table, known: pa.Table) -> pa.Table:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.concatenate([[0], np.cumsum(size)])
-    asked = listed.column("words").combine_chunks()
-    where = pc.index_in(asked.flatten(), value_set=words)
-    if where.null_count:
-        raise ValueError("a listed word has no path")
-    where = where.to_numpy(zero_copy_only=False).astype(np.int64)
-    rows, at = [], 0
-    for n in pc.list_value_length(asked).to_pylist():
-        w = where[at : at + n]
-        at += n
+    rows = []
+    values = words.cast(pa.large_string())
+    for blob, raw in zip(listed.column("words").to_pylist(), listed.column("size").to_pylist(), strict=True):
+        where = pc.index_in(unpack_words(blob, raw), value_set=values)
+        if where.null_count:
+            raise ValueError("a listed word has no path")
+        w = where.to_numpy(zero_copy_only=False).astype(np.int64)
         m = size[w]
-        rows.append((m.astype("<u2").tobytes(), flat[np.repeat(start[w], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)].tobytes()))
-    return pa.table({"slice": listed.column("slice"), "bucket": listed.column("at"), "sizes": pa.array([r[0] for r in rows], pa.binary()), "ids": pa.array([r[1] for r in rows], pa.binary())})
+        ids = flat[np.repeat(start[w], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        rows.append((m.astype("<u2").tobytes(), pa.compress(_planes(ids.astype("<u4")), "zstd", asbytes=True), 4 * len(ids)))
+    return pa.table({"slice": listed.column("slice"), "bucket": listed.column("at"), "sizes": pa.array([r[0] for r in rows], pa.binary()), "ids": pa.array([r[1] for r in rows], pa.binary()), "raw": pa.array([r[2] for r in rows], pa.int64())})
 
 
 _OUT = "doc_id long, n_pieces long, ids array<int>, text_crc32 long, decoded_crc32 long"
@@ -304,7 +319,8 @@ def _spell(vocabulary: Vocabulary):
         order = np.argsort(paths.column("bucket").to_numpy(), kind="stable")
         sizes, ids = paths.column("sizes").to_pylist(), paths.column("ids").to_pylist()
         head_sizes = [np.frombuffer(sizes[i], "<u2") for i in order]
-        head_ids = [np.frombuffer(ids[i], "<u4") for i in order]
+        raws = paths.column("raw").to_pylist()
+        head_ids = [_unplanes(pa.decompress(ids[i], raws[i], "zstd", asbytes=True)) for i in order]
         out = []
         for doc_ids, blob, raw in zip(docs.column("ids").to_pylist(), docs.column("blob").to_pylist(), docs.column("size").to_pylist(), strict=True):
             data = pa.decompress(blob, raw, "zstd", asbytes=True)
@@ -341,11 +357,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = plan_bytes(docs)
     size = max(SLICE_BYTES, min(64 << 20, total // 100_000))
-    buckets = min(2048, max(16, total // (8 << 20)))
-    listed = materialise(docs.mapInArrow(_list_words(vocabulary.joins, buckets, size), "bucket int, slice long, words array<string>"), "pieces-words").repartition("bucket")
-    words = listed.select("bucket", F.explode("words").alias("word")).distinct()
-    asked = listed.select(F.col("bucket").alias("at"), "slice", "words")
-    paths = asked.groupBy("at").cogroup(encode_words(words, vocabulary).groupBy("bucket")).applyInArrow(_answer, "slice long, bucket int, sizes binary, ids binary")
+    buckets = min(2048, max(64, total // (2 << 20)))
+    listed = docs.mapInArrow(_list_words(vocabulary.joins, buckets, size), "bucket int, slice long, words binary, size long")
+    listed = materialise(listed, "pieces-words")
+    words = listed.groupBy("bucket").applyInArrow(_distinct_words, "bucket int, word string").repartition(buckets, "bucket")
+    asked = listed.select(F.col("bucket").alias("at"), "slice", "words", "size")
+    paths = asked.groupBy("at").cogroup(encode_words(words, vocabulary).groupBy("bucket")).applyInArrow(_answer, "slice long, bucket int, sizes binary, ids binary, raw long")
     packed = docs.mapInArrow(_list_docs(vocabulary, buckets, size), "slice long, ids array<long>, blob binary, size long")
     packed = packed.withColumnRenamed("slice", "number")
     return packed.groupBy("number").cogroup(paths.groupBy("slice")).applyInArrow(_spell(vocabulary), _OUT)
