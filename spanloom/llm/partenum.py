@@ -51,6 +51,8 @@ BUCKET_TEXT = 12 << 20
 SLICE_TEXT = 1 << 20
 #: Ids of candidate documents that a broadcast may carry (8 bytes each), and members of a signature in one block.
 MOST_BROADCAST, BLOCK = 500_000, 4096
+#: Pairs that a task remembers to have named.
+NAMED = 500_000
 _HEAD, _LINK, _GROUP = 0, 1, 2
 _ROWS = "kind byte, a long, b long, n long, id long, bucket int, blob binary"
 _U = np.uint64
@@ -424,8 +426,9 @@ def _near(top: int):
 
     Pairs lie in different components (and different blocks, where i is not j), fit in size and have sketches that
     allow a link.  With top, only so many for each member of a signature: those whose sketches differ least.  Rows that
-    come out: (true, a, b) for pairs, each once, and (false, g, null) for signatures that had one.
+    come out: (true, a, b) for pairs, mostly once in a task, and (false, g, 0) for signatures that had one.
     """
+    named: set[tuple[int, int]] = set()
 
     def settle(d: dict[str, np.ndarray], sketches: list[np.ndarray]) -> pa.RecordBatch:
         new = np.concatenate([[True], (d["g"][1:] != d["g"][:-1]) | (d["i"][1:] != d["i"][:-1]) | (d["j"][1:] != d["j"][:-1])])
@@ -457,6 +460,11 @@ def _near(top: int):
             p, q = d["a"][x], d["a"][y]
             pairs.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0))
         pair, group = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(groups))
+        fresh = [p not in named for p in map(tuple, pair.tolist())]
+        pair = pair[np.array(fresh, bool)]
+        if len(named) > NAMED:
+            named.clear()
+        named.update(map(tuple, pair.tolist()))
         a, b = np.concatenate([pair[:, 0], group]), np.concatenate([pair[:, 1], np.zeros(len(group), np.int64)])
         is_pair = np.arange(len(a)) < len(pair)
         return pa.RecordBatch.from_arrays([pa.array(is_pair), pa.array(a), pa.array(b)], names=["pair", "a", "b"])
@@ -486,11 +494,12 @@ def _near(top: int):
 
 def _cross_pairs(group: DataFrame, sketches: DataFrame, top: int) -> DataFrame:
     """(pair, a, b) of groups (g, a, c), by blocks of BLOCK members; larger groups as pairs of blocks."""
-    blocks = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("a").alias("low"))
     own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     dealt = group.join(sketches, "a").join(blocks, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "n", "sketch", "side")
-    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_near(top), "pair boolean, a long, b long")
+    # signatures with one smallest member mostly have the same others: side by side, they name a pair once
+    dealt = dealt.select("low", "g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "n", "sketch", "side")
+    return dealt.repartition("low", "i", "j").sortWithinPartitions("low", "g", "i", "j").drop("low").mapInArrow(_near(top), "pair boolean, a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
