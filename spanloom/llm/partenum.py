@@ -67,7 +67,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     starts = np.concatenate([[0], np.cumsum(counts)])
     acc = np.full(len(hashes), 0x9E3779B97F4A7C15, _U)
     for j in range(width):  # position by position, over all words at once
-        acc[: len(hashes) - j if j else None] ^= hashes[j:]
+        acc[: max(len(hashes) - j, 0)] ^= hashes[j:]
         acc *= _U(0xFF51AFD7ED558CCD)
         acc ^= acc >> _U(29)
     acc = mix64(acc)

@@ -99,6 +99,17 @@ def test_signatures_meet_for_linked_sets():
                 assert set(sign[owner == i]) & set(sign[owner == j])
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 4])
+def test_a_slice_of_few_words(spark, words):
+    text = " ".join("abcd"[:words])
+    for alone in ([text], [None, text, ""]):
+        sizes, features = partenum.shingle_sets(pa.array(alone, pa.string()))
+        mixed = partenum.shingle_sets(pa.array(alone + ["one two three four five six"], pa.string()))
+        assert sizes.tolist() == [int(bool(t)) for t in alone] and features.tolist() == mixed[1][:1].tolist()
+    got = partenum.join(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got] == [(7, 1, 7)]
+
+
 def test_slices_hash_alike():
     texts = pa.array(["A b c d e f", None, "x", "é É q w e r t", "", "the quick brown fox jumps over"] * 5)
     for start in range(12):
