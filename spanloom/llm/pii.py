@@ -12,8 +12,8 @@ byte.  Kinds, what validates them, and the set that is permuted:
 * ``ip``: four decimal numbers 0-255 without leading zeros.
 * ``date``: yyyy-mm-dd (or with / or .) of the proleptic Gregorian calendar from 1900-01-01 to 2099-12-31; dd/mm/yyyy
   and dd.mm.yyyy likewise.
-* ``email``: the letters and digits of the local part (letters stay letters of their case, digits digits); in two
-  permutations, of up to 12 letters and up to 12 digits each from the left, the rest stay as they are.
+* ``email``: all letters and digits of the local part (letters stay letters of their case, digits digits), letters and
+  digits by themselves, in even chunks of at most CHUNK, each permuted under a tweak of the chunks before it.
 
 The network alternates additions modulo the two factors of the size of the set: (a, b) -> (a + F(b) mod A, b) and
 (a, b) -> (a, b + F(a) mod B), ROUNDS times, with F a keyed 64-bit hash of kind and round; it is a permutation for any
@@ -35,6 +35,8 @@ ROUNDS = 8
 KEY = "change me"
 #: Fixed: days from 1900-01-01 to 2099-12-31 are 73,049 = 319 x 229.
 DAY_FACTORS = (319, 229)
+#: Letters or digits of a local part that are permuted at once; 26 to this power fits a long.
+CHUNK = 12
 KINDS = ("phone", "card", "ssn", "date", "ip", "email")
 
 _D, _ND = r"(?<![\w@.%+-])", r"(?![\w-])(?!\.\d)"
@@ -62,13 +64,18 @@ def _luhn_sum(digits: Column, parity: int) -> Column:
     )
 
 
+def _div(x: Column, y: Column) -> Column:
+    """The quotient of longs; exact, as a division of doubles beyond 2^53 is not."""
+    return F.call_function("div", x, y)
+
+
 def feistel(value: Column, a: int | Column, b: int | Column, tweak: Column, back: bool = False) -> Column:
     """Permute value in [0, a * b): alternate modular additions of keyed hashes of the other half.
 
     tweak: a string of key, kind and format; the result is a permutation for each tweak.
     """
     a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
-    start = F.struct(((value - value % b) / b).cast("long").alias("l"), (value % b).alias("r"))
+    start = F.struct(_div(value, b).alias("l"), (value % b).alias("r"))
     seed = F.xxhash64(tweak)
     hashed = lambda x, i: F.pmod(F.xxhash64(x, i, seed, F.lit(0x5EED)), F.lit(1 << 61))
     sign = F.lit(-1 if back else 1).cast("long")
@@ -90,6 +97,11 @@ def _refill(shape: Column, digits: Column) -> Column:
     return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), put, lambda acc: acc["out"])
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _padded(value: Column, n: Column | int) -> Column:
     return F.lpad(value.cast("string"), n, "0") if isinstance(n, int) else F.call_function("lpad", value.cast("string"), n, F.lit("0"))
 
@@ -150,30 +162,40 @@ def _date(x: Column, tweak: Column, back: bool) -> Column:
 
 def _email(x: Column, tweak: Column, back: bool) -> Column:
     local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
-    letters = F.substring(F.regexp_replace(F.lower(local), "[^a-z]", ""), 1, 12)
-    digits = F.substring(_digits(local), 1, 12)
 
     def power(base: int, n: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(7)]), n + 1)
+        return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(CHUNK // 2 + 1)]), n + 1)
 
-    def permuted(text: Column, base: int, alphabet: str, tag: str) -> Column:
+    def chunk(text: Column, base: int, alphabet: str, tweak: Column) -> Column:
         n = F.length(text)
         high = F.floor(n / 2).cast("int")
         value = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda acc, c: acc * base + F.instr(F.lit(alphabet), c) - 1)
-        new = feistel(value, power(base, high), power(base, n - high), F.concat(tweak, F.lit(tag), n.cast("string")), back)
-        made = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("s"), new.alias("v")), lambda acc, i: F.struct(F.concat(F.substring(F.lit(alphabet), (acc["v"] % base + 1).cast("int"), F.lit(1)), acc["s"]).alias("s"), F.floor(acc["v"] / base).cast("long").alias("v")), lambda acc: acc["s"])
-        return F.when(n > 0, made).otherwise("")
+        new = feistel(value, power(base, high), power(base, n - high), tweak, back)
+        return F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("s"), new.alias("v")), lambda acc, i: F.struct(F.concat(F.substring(F.lit(alphabet), (acc["v"] % base + 1).cast("int"), F.lit(1)), acc["s"]).alias("s"), _div(acc["v"], F.lit(base)).alias("v")), lambda acc: acc["s"])
+
+    def permuted(text: Column, base: int, alphabet: str, tag: str) -> Column:
+        """The new characters of text as an array; each chunk's tweak has the length of text and a hash of the plain chunks before."""
+        n = F.length(text)
+        chunks = F.regexp_extract_all(text, F.concat(F.lit(".{1,"), F.ceil(n / F.ceil(n / CHUNK)).cast("string"), F.lit("}")), F.lit(0))
+        first = F.struct(F.lit("").alias("s"), F.concat(tweak, F.lit(tag), n.cast("string")).alias("t"))
+
+        def turn(acc: Column, old: Column) -> Column:
+            after = lambda new: F.struct(F.concat(acc["s"], new).alias("s"), F.concat(tweak, F.lit(tag + "\x00"), F.xxhash64(acc["t"], new if back else old).cast("string")).alias("t"))
+            return _bound(chunk(old, base, alphabet, acc["t"]), after)
+
+        return F.split(F.when(n > 0, F.aggregate(chunks, first, turn, lambda acc: acc["s"])).otherwise(""), "")
 
-    new_letters, new_digits = permuted(letters, 26, "abcdefghijklmnopqrstuvwxyz", "a"), permuted(digits, 10, "0123456789", "0")
+    new_letters = _bound(F.regexp_replace(F.lower(local), "[^a-z]", ""), lambda text: permuted(text, 26, "abcdefghijklmnopqrstuvwxyz", "a"))
+    new_digits = _bound(_digits(local), lambda text: permuted(text, 10, "0123456789", "0"))
 
     def put(acc: Column, c: Column) -> Column:
-        low, is_letter, is_digit = F.lower(c), c.rlike("[A-Za-z]") & (acc["a"] < 12), c.rlike("[0-9]") & (acc["d"] < 12)
-        letter = F.substring(new_letters, acc["a"] + 1, F.lit(1))
-        next_ = F.when(is_letter, F.when(c == low, letter).otherwise(F.upper(letter))).when(is_digit, F.substring(new_digits, acc["d"] + 1, F.lit(1))).otherwise(c)
-        return F.struct(F.concat(acc["out"], next_).alias("out"), (acc["a"] + is_letter.cast("int")).alias("a"), (acc["d"] + is_digit.cast("int")).alias("d"))
+        low, is_letter, is_digit = F.lower(c), c.rlike("[A-Za-z]"), c.rlike("[0-9]")
+        letter = F.get(acc["letters"], acc["a"])
+        next_ = F.when(is_letter, F.when(c == low, letter).otherwise(F.upper(letter))).when(is_digit, F.get(acc["digits"], acc["d"])).otherwise(c)
+        return F.struct(F.concat(acc["out"], next_).alias("out"), (acc["a"] + is_letter.cast("int")).alias("a"), (acc["d"] + is_digit.cast("int")).alias("d"), acc["letters"].alias("letters"), acc["digits"].alias("digits"))
 
-    made = F.aggregate(F.split(local, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("a"), F.lit(0).alias("d")), put, lambda acc: acc["out"])
-    return F.concat(made, F.lit("@"), domain)
+    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("a"), F.lit(0).alias("d"), new_letters.alias("letters"), new_digits.alias("digits"))
+    return F.concat(F.aggregate(F.split(local, ""), first, put, lambda acc: acc["out"]), F.lit("@"), domain)
 
 
 def kind_of(x: Column) -> Column:
