@@ -8,6 +8,7 @@ byte.  Kinds, what validates them, and the set that is permuted:
 * ``card``: 13 to 19 digits, bare or in groups split by single spaces or hyphens, that pass the Luhn check; first digit,
   number of digits and separators stay; the check digit is made anew.
 * ``phone``: North American numbers, with +1 or brackets or two separators; area and exchange codes 200-999 stay so.
+  With +1, which leaves no doubt of a phone, numbers with other codes too, as a set of their own.
 * ``ssn``: ddd-dd-dddd with area 001-899 but 666, group 01-99, serial 0001-9999.
 * ``ip``: four decimal numbers 0-255 without leading zeros.
 * ``date``: yyyy-mm-dd (or with / or .) of the proleptic Gregorian calendar from 1900-01-01 to 2099-12-31; dd/mm/yyyy
@@ -122,11 +123,17 @@ def _card(x: Column, tweak: Column, back: bool) -> Column:
 def _phone(x: Column, tweak: Column, back: bool) -> Column:
     d = _digits(x)
     ten = F.substring(d, -10, 10)
-    value = (F.substring(ten, 1, 3).cast("long") - 200) * 8_000_000 + (F.substring(ten, 4, 3).cast("long") - 200) * 10_000 + F.substring(ten, 7, 4).cast("long")
-    new = feistel(value, 80_000, 80_000, tweak, back)
-    area, rest = F.floor(new / 8_000_000), new % 8_000_000
-    digits = F.concat((area + 200).cast("string"), (F.floor(rest / 10_000) + 200).cast("string"), _padded(rest % 10_000, 4))
-    return _refill(x, F.concat(F.when(F.length(d) > 10, "1").otherwise(""), digits))
+    area, exchange, line = (F.substring(ten, at, n).cast("long") for at, n in ((1, 3), (4, 3), (7, 4)))
+    valid = (area >= 200) & (exchange >= 200)
+    new = feistel((area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line, 80_000, 80_000, tweak, back)
+    digits = F.concat((_div(new, F.lit(8_000_000)) + 200).cast("string"), (_div(new % 8_000_000, F.lit(10_000)) + 200).cast("string"), _padded(new % 10_000, 4))
+    # the other codes: areas 000-199 with all exchanges (2 x 10^9 numbers), then areas 200-999 with exchanges 000-199
+    low = 2_000_000_000
+    value = F.when(area < 200, ten.cast("long")).otherwise(low + (area - 200) * 2_000_000 + exchange * 10_000 + line)
+    odd = feistel(value, 60_000, 60_000, F.concat(tweak, F.lit("other")), back)
+    rest = odd - low
+    others = F.when(odd < low, _padded(odd, 10)).otherwise(F.concat((_div(rest, F.lit(2_000_000)) + 200).cast("string"), _padded(rest % 2_000_000, 7)))
+    return _refill(x, F.concat(F.when(F.length(d) > 10, "1").otherwise(""), F.when(valid, digits).otherwise(others)))
 
 
 def _ssn(x: Column, tweak: Column, back: bool) -> Column:
@@ -203,7 +210,7 @@ def kind_of(x: Column) -> Column:
     full = {k: x.rlike("^(?:" + p + ")$") for k, p in _PATTERNS.items()}
     d = _digits(x)
     ten = F.substring(d, -10, 10)
-    phone = full["phone"] & ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") & (F.length(d).isin(10) | ((F.length(d) == 11) & d.startswith("1")))
+    phone = full["phone"] & (ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") | x.startswith("+1")) & (F.length(d).isin(10) | ((F.length(d) == 11) & d.startswith("1")))
     card = full["card"] & F.length(d).between(13, 19) & (_luhn_sum(d, 1) % 10 == 0)
     ssn = full["ssn"] & x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     date = full["date"] & F.coalesce(_day(x).between(F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date")), F.lit(False))

@@ -57,6 +57,20 @@ def test_pseudonyms_of_long_local_parts(spark):
     assert [r["text"] for r in pii.pseudonymise(out.drop("pii"), "k1", back=True).orderBy("doc_id").collect()] == [f"to {m}." for m in mails]
 
 
+def test_phones_with_any_codes(spark):
+    phones = ["+1 (017) 555-7713", "+1 (988) 055-7713", "+1 199-999-9999", "+1 (000) 000-0000", "+1 (988) 555-7713", "+1.200.199.0001"]
+    docs = spark.createDataFrame([(i, f"at {p}.") for i, p in enumerate([*phones, "017-555-7713", "(017) 555-7713"])], "doc_id long, text string")
+    out = pii.pseudonymise(docs, "k1")
+    got = [r["text"] for r in out.orderBy("doc_id").collect()]
+    for old, text in zip(phones, got, strict=False):
+        new = text[3:-1]
+        assert new != old and [c if not c.isdigit() else "0" for c in new] == [c if not c.isdigit() else "0" for c in old]
+        valid = lambda p: (d := "".join(c for c in p if c.isdigit()))[0] == "1" and d[1] > "1" and d[4] > "1"
+        assert valid(old) == valid(new)
+    assert got[6:] == ["at 017-555-7713.", "at (017) 555-7713."]
+    assert [r["text"] for r in pii.pseudonymise(out.drop("pii"), "k1", back=True).orderBy("doc_id").collect()] == [r["text"] for r in docs.collect()]
+
+
 def test_pii_empty(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
