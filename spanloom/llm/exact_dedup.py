@@ -95,22 +95,26 @@ def _build_bucket(group: pa.Table) -> pa.Table:
 
 
 def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: new digests of a bucket; right: the bucket's index row, if any.  Adds what the slots hold."""
+    """left: new digests of a bucket; right: the bucket's index row, if any.  What the slots hold, with their members, then the nonmembers."""
     left = left.combine_chunks()
-    keys = _words(left.column("digest"))
-    winner, n = left.column("winner").to_numpy().copy(), left.column("n").to_numpy().copy()
-    member = np.zeros(len(keys), bool)
-    if right.num_rows:
-        row = right.to_pylist()[0]
+    if not right.num_rows:
+        return _found(left.column("digest").to_pylist(), np.zeros(left.num_rows, bool), left.column("winner").to_numpy(), left.column("n").to_numpy())
+    row = right.to_pylist()[0]
+    held = np.frombuffer(row["digests"], "<u8").reshape(-1, 4)
+    winner, n = np.frombuffer(row["locators"], "<i8").copy(), np.frombuffer(row["counts"], "<i8").copy()
+    digest = [row["digests"][32 * i : 32 * i + 32] for i in range(len(held))]
+    if left.num_rows:
+        keys, new_winner, new_n = _words(left.column("digest")), left.column("winner").to_numpy(), left.column("n").to_numpy()
         bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(row["sizes"])].astype(bool)
         slot = mphf_slots(keys, row["sizes"], bits)
-        held = np.frombuffer(row["digests"], "<u8").reshape(-1, 4)
-        asked = np.flatnonzero(slot >= 0)
+        member, asked = np.zeros(len(keys), bool), np.flatnonzero(slot >= 0)
         member[asked] = (held[slot[asked]] == keys[asked]).all(axis=1)
-        got = slot[member]
-        winner[member] = np.minimum(winner[member], np.frombuffer(row["locators"], "<i8")[got])
-        n[member] += np.frombuffer(row["counts"], "<i8")[got]
-    return _found(left.column("digest").to_pylist(), member, winner, n)
+        got = slot[member]  # left's digests are distinct, so are these
+        winner[got] = np.minimum(winner[got], new_winner[member])
+        n[got] += new_n[member]
+        digest += [d for d, m in zip(left.column("digest").to_pylist(), member.tolist(), strict=True) if not m]
+        winner, n = np.concatenate([winner, new_winner[~member]]), np.concatenate([n, new_n[~member]])
+    return _found(digest, np.arange(len(digest)) < len(held), winner, n)
 
 
 def _found(digest, member, winner, n) -> pa.Table:
@@ -134,7 +138,7 @@ def build_index(history: DataFrame, buckets: int) -> DataFrame:
 
 
 def look_up(new: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """What becomes of each distinct digest of new (doc_id, digest) rows: member of the history or not, winner, rows in both."""
+    """A row for each digest of the history's slots and each nonmember among new (doc_id, digest) rows: in the history or not, winner, rows in both."""
     return _distinct(new, buckets).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_look_up, _FOUND)
 
 
@@ -154,10 +158,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     buckets = bucket_count(count)
     old, new = rows.where(F.col("doc_id") <= middle), rows.where(F.col("doc_id").isNull() | (F.col("doc_id") > middle))
     index = materialise(build_index(old, buckets), "dedup-index")
-    found = look_up(new, index, buckets)
-    # what the history holds and the new rows do not repeat keeps its own group
-    history = _distinct(old, buckets).select("digest", F.lit(True).alias("member"), "winner", "n")
-    groups = history.unionByName(found).groupBy("digest").agg(F.bool_or("member").alias("in_history"), F.min("winner").alias("winner"), F.max("n").alias("group_size"))
+    # a slot speaks for the history's rows and for members, so a digest has one row
+    groups = look_up(new, index, buckets).select("digest", F.col("member").alias("in_history"), "winner", F.col("n").alias("group_size"))
     keep_id = F.when(F.col("winner") != NO_ID, F.col("winner"))
     return rows.join(groups, "digest").select(
         "doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history"

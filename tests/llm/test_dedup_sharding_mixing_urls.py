@@ -43,6 +43,18 @@ def test_dedup_keep_has_all_columns_once(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([3, 9, 1, 7, 8, None], key=repr)
 
 
+@pytest.mark.parametrize("buckets", [1, 40])
+def test_slots_answer_for_history_and_members(spark, buckets):
+    rows = [(i, str(i % 30)) for i in range(45)], [(100 + i, str(20 + i % 25)) for i in range(60)] + [(None, "only"), (None, "1")]
+    old, new = (exact_dedup.digests(spark.createDataFrame(r, "doc_id long, text string")) for r in rows)
+    got = exact_dedup.look_up(new, exact_dedup.build_index(old, buckets), buckets).collect()
+    want = []
+    for text in {t for r in rows for _, t in r}:
+        ids = [[exact_dedup.NO_ID if i is None else i for i, t in r if t == text] for r in rows]
+        want.append((hashlib.sha256(text.encode()).digest(), bool(ids[0]), min(ids[0] + ids[1]), len(ids[0] + ids[1])))
+    assert sorted((bytes(r["digest"]), r["member"], r["winner"], r["n"]) for r in got) == sorted(want)
+
+
 def test_dedup_empty(spark):
     assert exact_dedup.decide(docs_of(spark, [])).count() == 0 and exact_dedup.keep(docs_of(spark, [])).count() == 0
 
