@@ -169,11 +169,10 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; a document given twice with one doc_id stays once.
 
+    A document is its doc_id and text: where one doc_id stands on several texts, each text stays or goes by itself.
     A row without doc_id stays once, if no row with a doc_id has its text.
     """
-    kept = decide(docs).where("kept")
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = lambda digest, doc_id: F.concat(digest, F.lit(":"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
+    kept = decide(docs).where("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("_document")).distinct()
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    alone = kept.where("doc_id is null").select(F.col("text_sha256").alias("_digest")).distinct()
-    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("_digest", digest).join(alone, "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest")
-    return named.select(docs.columns).unionByName(unnamed.select(docs.columns))
+    return docs.withColumn("_document", key(digest, F.col("doc_id"))).join(kept, "_document", "left_semi").dropDuplicates(["_document"]).select(docs.columns)

@@ -43,6 +43,13 @@ def test_dedup_keep_has_all_columns_once(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([3, 9, 1, 7, 8, None], key=repr)
 
 
+def test_dedup_keeps_each_text_of_a_repeated_id(spark):
+    rows = [(3, "copy", "x"), (5, "copy", "x"), (5, "own", "x"), (7, "left", "x"), (7, "right", "x"), (7, "right", "x"), (None, "copy", "x"), (None, "bare", "x"), (None, "bare", "x")]
+    for parts in (1, 5):
+        kept = exact_dedup.keep(docs_of(spark, rows).repartition(parts))
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, "copy"), (5, "own"), (7, "left"), (7, "right"), (None, "bare")], key=repr)
+
+
 @pytest.mark.parametrize("buckets", [1, 40])
 def test_slots_answer_for_history_and_members(spark, buckets):
     rows = [(i, str(i % 30)) for i in range(45)], [(100 + i, str(20 + i % 25)) for i in range(60)] + [(None, "only"), (None, "1")]
