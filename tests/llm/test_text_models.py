@@ -2,13 +2,15 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import pii, toxicity
+from spanloom.llm import mixing, pii, toxicity
 from spanloom.llm import sentencepiece_lattice as sp
 
 PRIVATE = ["call +1 (988) 555-2485 or 212-555-0199.", "mail Bosbt.42@mail8.example.com, x", "pan 4041894974608795 bad 4041894974608796 4111 1111 1111 1111", "on 2024-02-29 not 2023-02-29 or 31/12/1999.", "ip 70.123.182.155 no 300.1.1.1 v 1.2.3.4.5", "ssn 123-45-6789 000-12-3456", None, "", "plain text", "a 4041894974608795 b 4041894974608795"]
@@ -193,3 +195,56 @@ def test_pipeline_stages(spark, sf):
                 assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
         docs = out
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] and sizes[4] == sizes[5] and docs.where("text_crc32 <> decoded_crc32").count() == 0
+
+
+def chained(rows, model, vocabulary):
+    """(documents that reach the mixture, pieces of a text) of the pipeline, one text after another."""
+    from test_join_media_warc import brute
+
+    def rejected(text):
+        found = {int(f) for _, some in toxicity.features(pa.array([text], pa.string())) for f in some}
+        total = sum(w for f, w in zip(model.features.tolist(), model.weights.tolist(), strict=True) if f in found)
+        return model.above(np.array([total]))[0, 0] >= toxicity.REJECT_AT
+
+    clean = [r for r in rows if not rejected(r[1])]
+    first = {}
+    for i, text, _ in sorted(clean):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), i)
+    single = [r for r in clean if r[0] in set(first.values())]
+    alone = {i for i, _, component in brute([(i, t) for i, t, _ in single]) if i == component}
+    assert len(rows) > len(clean) > len(single) > len(alone)  # every stage has something to drop
+    return [r for r in single if r[0] in alone], lambda t: vocabulary.viterbi((" " + t).replace(" ", "▁")) if t else []
+
+
+@pytest.mark.parametrize("broken", [None, 0, 1, 2, 3])
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch, broken):
+    import corpus_pipeline
+
+    made = labelled(300, 4)
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None) for i, t, _, _ in made]
+    rows += [(900_000 + k, "  ".join(t.split()), "s1") for k, (_, t, _) in enumerate(rows[:20])]  # exact copies
+    rows += [(910_000 + k, t + " end", "s2") for k, (_, t, _) in enumerate(rows[20:60])]  # near ones of the longer texts
+    rows += [(920_000, None, "s1"), (920_001, "", "s2"), (920_002, "two words", "s0"), (920_003, "three short words", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, toxic) for i, _, toxic, _ in made], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    left, pieces = chained(rows, toxicity.train(docs, labels), sp.Vocabulary.load())
+    text = {i: t for i, t, _ in left}
+    if broken is not None:  # a stage that loses some of the longer documents does not pass
+        lost = sorted(text, key=lambda i: -len(text[i] or ""))[:3]
+        name, stage = corpus_pipeline.STAGES[broken]
+        changed = list(corpus_pipeline.STAGES)
+        changed[broken] = (name, lambda s, d, f: stage(s, d, f).where(~F.col("doc_id").isin(lost)))
+        monkeypatch.setattr(corpus_pipeline, "STAGES", changed)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = Counter(r["doc_id"] for r in got)
+    right = set(copies) <= set(text)
+    size = {i: len((t or "").split()) for i, t in text.items()}
+    of = {s: [i for i, _, source in left if source == s] for s in {r[2] for r in left}}
+    target = mixing.targets([(s, sum(size[i] for i in ids)) for s, ids in of.items()])
+    for s, ids in of.items():
+        rate = target[s] / sum(size[i] for i in ids)
+        right &= all(copies[i] in ((int(rate + 1e-9), int(rate + 1e-9) + 1) if size[i] else (0,)) for i in ids)
+        right &= abs(sum(copies[i] * size[i] for i in ids) - target[s]) <= max(size[i] for i in ids) / 2 + 1e-6
+    right &= all(list(r["ids"]) == pieces(text[r["doc_id"]]) and r["n_pieces"] == len(r["ids"]) for r in got if r["doc_id"] in text)
+    assert right == (broken is None)
