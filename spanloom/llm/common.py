@@ -51,14 +51,39 @@ def materialise(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Write a frame to the shared folder, dealt to buckets by key, and read it back: joins by key need not move it.
+
+    The table is an external one of the session's catalog, as Spark keeps the facts of buckets there.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame, least: int = 1 << 20, most: int = 1 << 50) -> int:
+#: What the optimiser's estimate is clamped to; frames that it knows nothing of are at the top.
+MOST_BYTES = 1 << 50
+
+
+def plan_bytes(df: DataFrame, least: int = 1 << 20) -> int:
     """The optimiser's size estimate of a frame, clamped; it only steers how finely work is dealt out."""
-    return min(max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), least), most)
+    return min(max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), least), MOST_BYTES)
+
+
+def sized(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """The frame and its size; one whose size nobody knows (rows of the driver, output of Python) is written first."""
+    total = plan_bytes(df)
+    if total == MOST_BYTES:
+        df = materialise(df, tag)
+        total = plan_bytes(df)
+    return df, total
 
 
 def word_count(text: Column) -> Column:
@@ -82,6 +107,20 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
     pa.default_memory_pool().release_unused()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Join Arrow batches to ones of about max_bytes of the text column (one row at least); larger ones are sliced."""
+    held, size = [], 0
+    for batch in sub_batches(batches, column, max_bytes):
+        more = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
+        if held and size + more > max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply); equal inputs give equal outputs, near ones far ones."""
     x = x.astype(np.uint64, copy=True)
