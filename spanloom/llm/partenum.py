@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bound_batches, components, materialise, mix64, plan_bytes, sub_batches, word_hashes
+from spanloom.llm.common import bound_batches, components, materialise, mix64, sized, sub_batches, word_hashes
 
 WIDTH = 5
 #: Schemes that allow so many differing features emit subsets of two features or more only, where those suffice.
@@ -51,6 +51,8 @@ BUCKET_TEXT = 12 << 20
 SLICE_TEXT = 1 << 20
 #: Ids of candidate documents that a broadcast may carry (8 bytes each), and members of a signature in one block.
 MOST_BROADCAST, BLOCK = 500_000, 4096
+#: Rows of the signatures with one smallest member that one task compares.
+DEALT = 4096
 #: Pairs that a task remembers to have named.
 NAMED = 500_000
 _HEAD, _LINK, _GROUP = 0, 1, 2
@@ -493,20 +495,26 @@ def _near(top: int):
 
 
 def _cross_pairs(group: DataFrame, sketches: DataFrame, top: int) -> DataFrame:
-    """(pair, a, b) of groups (g, a, c), by blocks of BLOCK members; larger groups as pairs of blocks."""
-    blocks = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("a").alias("low"))
+    """(pair, a, b) of groups (g, a, c), by blocks of BLOCK members; larger groups as pairs of blocks.
+
+    Signatures with one smallest member mostly have the same others: side by side, they name a pair once.  Where they
+    have more than DEALT rows in all they are dealt to several tasks, so no member's signatures go to one task; a pair
+    that several tasks name is made one by whoever reads this.
+    """
+    signs = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"), F.min("a").alias("low"))
+    shares = signs.groupBy("low").agg(F.ceil(F.sum(F.col("members") * F.col("blocks")) / DEALT).cast("int").alias("shares"))
+    dealt_to = signs.join(shares, "low").select("g", "blocks", "low", F.pmod(F.xxhash64("g"), F.col("shares")).alias("share"))
     own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    dealt = group.join(sketches, "a").join(blocks, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # signatures with one smallest member mostly have the same others: side by side, they name a pair once
-    dealt = dealt.select("low", "g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "n", "sketch", "side")
-    return dealt.repartition("low", "i", "j").sortWithinPartitions("low", "g", "i", "j").drop("low").mapInArrow(_near(top), "pair boolean, a long, b long")
+    dealt = group.join(sketches, "a").join(dealt_to, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("low", "share", "g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "n", "sketch", "side")
+    return dealt.repartition("low", "share", "i", "j").sortWithinPartitions("low", "g", "i", "j").drop("low", "share").mapInArrow(_near(top), "pair boolean, a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(16, plan_bytes(docs) // BUCKET_TEXT * 4)
+    docs, total = sized(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "jaccard-input")
+    buckets = max(16, total // BUCKET_TEXT * 4)
     packed = docs.mapInArrow(_scan(buckets), _ROWS)
     met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket")
     met = materialise(met, "jaccard", "kind")
