@@ -2,140 +2,112 @@
 
 A node with ``k`` shards to make splits so that its left child gets ``k // 2 / k`` of its bytes (the weighted median
 where k is even), along the dimension in which it is widest: the range of the dimension over the range in the whole
-table.  A leaf is a shard; leaves reach the target of total bytes / shards.  The cut is exact to a row: histograms of
-bytes per node, refined bin by bin, lead to the value at the cut, and rows of that very value are told apart by a hash
-of doc_id and then doc_id itself, so a hot value or group of copies is split like any other.  The driver sees
-histograms and ranges only (at most shards x BINS rows a step); each level writes the rows (without texts) with their node.
-
-Defined cases: a null text counts no bytes (size 8); a null dimension sorts before all values; equal rows (same doc_id,
-same dimensions) stay together, and their slots are still distinct; an empty table gives no rows; fewer rows than
-shards leave some shards empty; extra columns are ignored.
+table.  A leaf is a shard; leaves reach the target of total bytes / shards.  Dimensions are numbers of DIM_BITS bits, so
+one aggregation of bytes by (node, dimension, value) and a running sum over it find the widest dimension and the value
+at the cut, for all nodes of a level.  Rows of that very value are told apart by a hash of doc_id, in two more
+aggregations of TIE_BITS / 2 bits each, so a hot value or group of copies is split like any other.  The driver sees one
+row for a node and step; rows are never moved or written again before they have their shard.
+
+Defined cases: a null text counts no bytes (size 8); a null dimension sorts before all values; rows with the same
+dimensions and hash of doc_id stay together (so rows that repeat a doc_id and text do), and their slots are still
+distinct; equal texts under different doc_ids may part, as any rows of a hot value may; an empty table gives no rows;
+fewer rows than shards leave some shards empty; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialise
 
-BINS = 1024
+#: Bits of a dimension's values and of the hash of doc_id that tells rows of one value apart.
+DIM_BITS, TIE_BITS = 12, 24
 #: Rows in a block in which slots are numbered by one sort.
 SLOT_ROWS = 50_000
-_CUT = ("tie", "id")
-
-
-@dataclass
-class Node:
-    """A node of the tree: shards [first, first + k); a split keeps rows with (dim, tie, id) below the cut to the left."""
-
-    first: int
-    k: int
-    dim: str = ""
-    cut: tuple[int, int, int] = (0, 0, 0)
-    left: Node | None = None
-    right: Node | None = None
-
-
-def _below(dim: str, cut: tuple[int, int, int]) -> Column:
-    a, b, c = (F.lit(x).cast("long") for x in cut)
-    v, t, i = F.col(dim), F.col("tie"), F.col("id")
-    return (v < a) | ((v == a) & ((t < b) | ((t == b) & (i < c))))
+_HALF = 1 << TIE_BITS // 2
 
 
-def _step(split: list[Node]) -> Column:
-    """The node of a row after one more level of the tree, from its node before."""
-    out = F.col("node")
-    for n in split:
-        out = F.when(F.col("node") == n.first, F.when(_below(n.dim, n.cut), F.lit(n.left.first)).otherwise(F.lit(n.right.first))).otherwise(out)
-    return out
-
-
-def _leaves(node: Node) -> list[Node]:
-    return [node] if node.left is None or node.right is None else _leaves(node.left) + _leaves(node.right)
+def _table(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """A small table of whole numbers that the planner holds itself; one row a node."""
+    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})"))
 
 
-def _search(rows: DataFrame, key: dict[int, Column], want: dict[int, float], low: dict[int, int], high: dict[int, int]) -> tuple[dict[int, int], dict[int, float]]:
-    """For each node, the smallest value v of its key with bytes(key <= v) >= want, and the bytes below v.
+def _cut(bytes_by: DataFrame, key: list[str], want: DataFrame) -> dict[int, tuple[int, int]]:
+    """For each node the smallest value at which its running sum of bytes reaches ``need``, and the bytes below it.
 
-    Histogram passes narrow [low, high] by BINS a pass, all nodes in one aggregation; exact for any integers.
+    bytes_by: (node, key..., value, bytes); want: (node, key..., need), at most one row a node, need at most its bytes.
     """
-    low, high, under = dict(low), dict(high), dict.fromkeys(want, 0)
-    while open_nodes := [n for n in want if low[n] < high[n]]:
-        width = {n: -(-(high[n] - low[n] + 1) // BINS) for n in open_nodes}
-        pick = lambda f: F.create_map(*[F.lit(x).cast("long") for n in open_nodes for x in (n, f[n])])[F.col("node").cast("long")]
-        value = F.coalesce(*[F.when(F.col("node") == n, key[n]) for n in open_nodes])
-        inside = rows.where(F.col("node").isin(open_nodes)).select("node", "size", value.alias("v"), pick(low).alias("low"), pick(high).alias("high"), pick(width).alias("width"))
-        step = inside.where("v between low and high").groupBy("node", F.expr("(v - low) div width").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("v").alias("first"), F.max("v").alias("last"))
-        bins: dict[int, list] = {n: [] for n in open_nodes}
-        for r in step.collect():  # bounded: nodes x BINS
-            bins[r["node"]].append((r["bin"], r["bytes"], r["first"], r["last"]))
-        for n in open_nodes:
-            for _, size, first, last in sorted(bins[n]):
-                low[n], high[n] = first, last
-                if under[n] + size >= want[n]:
-                    break
-                under[n] += size
-            else:  # all are wanted: the cut is at the last value
-                under[n] -= size
-    return low, under
-
-
-def plan_and_place(rows: DataFrame, dims: list[str], shards: int) -> tuple[Node, DataFrame]:
-    """The tree for rows of (dims..., tie, id, size), all long, and the rows with the first shard of their leaf as node."""
-    root, spread = Node(0, shards), {}
-    named = rows.withColumn("node", F.lit(0))
-    while split := [n for n in _leaves(root) if n.k > 1]:
-        stats = named.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{f.__name__}_{d}") for d in [*dims, *_CUT] for f in (F.min, F.max)]).collect()  # bounded: nodes
-        found = {r["node"]: r for r in stats}
-        if not found:
+    upto = F.sum("bytes").over(Window.partitionBy("node", *key).orderBy("value"))
+    reached = bytes_by.join(want, ["node", *key]).withColumn("upto", upto).where("upto >= need")
+    found = reached.groupBy("node").agg(F.min_by(F.struct("value", F.expr("upto - bytes").alias("under")), "value").alias("x"))
+    return {r["node"]: (r["x"]["value"], r["x"]["under"]) for r in found.collect()}  # one row a node
+
+
+def _widest(sums: list, spread: dict[int, int]) -> dict[int, int]:
+    """The widest dimension of each node; of equal ones the first."""
+    width: dict[int, dict[int, float]] = {}
+    for r in sums:
+        width.setdefault(r["node"], {})[r["dim"]] = (r["high"] - r["low"]) / spread[r["dim"]]
+    return {n: max(sorted(w), key=w.__getitem__) for n, w in width.items()}
+
+
+def place(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """rows (dims..., tie, size) with the first shard of their leaf as ``node``."""
+    spark = rows.sparkSession
+    level, spread = {0: shards}, {}
+    out = rows.withColumn("node", F.lit(0).cast("long"))
+    while split := {n: k for n, k in level.items() if k > 1}:
+        values = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("dim"), F.col(d).alias("value")) for i, d in enumerate(dims)])).alias("x")
+        by_value = out.select("node", "size", values).groupBy("node", F.col("x.dim").alias("dim"), F.col("x.value").alias("value")).agg(F.sum("size").alias("bytes"))
+        by_value = materialise(by_value, "shard-sums")
+        sums = by_value.groupBy("node", "dim").agg(F.sum("bytes").alias("bytes"), F.min("value").alias("low"), F.max("value").alias("high")).collect()  # nodes x dims
+        if not sums:
             break
-        spread = spread or {d: max(1, stats[0][f"max_{d}"] - stats[0][f"min_{d}"]) for d in dims}
-        for n in split:
-            r = found.get(n.first)
-            n.dim = dims[0] if r is None else max(dims, key=lambda d: (r[f"max_{d}"] - r[f"min_{d}"]) / spread[d])
-            n.left, n.right = Node(n.first, n.k // 2), Node(n.first + n.k // 2, n.k - n.k // 2)
-        dim = {n.first: n.dim for n in split if n.first in found}
-        want = {n.first: found[n.first]["bytes"] * (n.k // 2) / n.k for n in split if n.first in found}
-        cut: dict[int, list[int]] = {n: [] for n in want}
-        at = named
-        for part in ("", *_CUT):  # the value at the cut, then the tie-breakers among its rows
-            key = {n: F.col(part or dim[n]) for n in want}
-            bound = lambda f: {n: found[n][f"{f}_{part or dim[n]}"] for n in want}
-            value, under = _search(at, key, want, bound("min"), bound("max"))
-            for n in want:
-                cut[n].append(value[n])
-                want[n] -= under[n]
-            pinned = F.coalesce(*[F.when(F.col("node") == n, key[n] == F.lit(value[n])) for n in want])
-            at = at.where(pinned)
-        for n in split:
-            if n.first in cut:
-                a, b, c = cut[n.first]
-                n.cut = (a, b, c + 1)  # the row at the cut goes left
-        named = materialise(named.withColumn("node", _step(split)), "shard-level")
-    return root, named
+        spread = spread or {r["dim"]: max(1, r["high"] - r["low"]) for r in sums}
+        dim = {n: d for n, d in _widest(sums, spread).items() if n in split}
+        total = {r["node"]: r["bytes"] for r in sums}
+        need = {n: max(1, total[n] * (split[n] // 2) // split[n]) for n in dim}
+        if need:
+            value = _cut(by_value, ["dim"], _table(spark, [(n, dim[n], need[n]) for n in need], "node", "dim", "need"))
+            left = {n: need[n] - value[n][1] for n in need}
+            # among rows of the value at the cut: the upper half of the hash, then the lower
+            own = F.get(F.array(*dims), F.col("d").cast("int"))
+            at = out.join(_table(spark, [(n, dim[n], value[n][0]) for n in need], "node", "d", "at"), "node").where(own == F.col("at"))
+            upper = _cut(at.groupBy("node", F.expr(f"tie div {_HALF}").alias("value")).agg(F.sum("size").alias("bytes")), [], _table(spark, list(left.items()), "node", "need"))
+            at = at.join(_table(spark, [(n, upper[n][0]) for n in need], "node", "upper"), "node").where(f"tie div {_HALF} = upper")
+            lower = _cut(at.groupBy("node", F.expr(f"tie % {_HALF}").alias("value")).agg(F.sum("size").alias("bytes")), [], _table(spark, [(n, left[n] - upper[n][1]) for n in need], "node", "need"))
+            cut = _table(spark, [(n, dim[n], value[n][0], upper[n][0] * _HALF + lower[n][0], n + split[n] // 2) for n in need], "node", "d", "at", "tie_at", "right")
+            goes_left = F.coalesce((own < F.col("at")) | ((own == F.col("at")) & (F.col("tie") <= F.col("tie_at"))), F.lit(True))
+            out = out.join(cut, "node", "left").withColumn("node", F.when(goes_left, F.col("node")).otherwise(F.col("right"))).drop("d", "at", "tie_at", "right")
+        for n, k in split.items():
+            level[n], level[n + k // 2] = k // 2, k - k // 2
+    return out
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
     """Size, checksum and metadata dimensions of every document, without the texts."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rank = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(1 << 20))
+    most = (1 << DIM_BITS) - 1
+
+    def rank(c: str) -> Column:
+        """The place of a name among hashes; null is before all."""
+        return F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(most)) + 1)
+
     return docs.select(
         "doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        rank("source").alias("source"), rank("lang").alias("lang"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 31)).alias("tie"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("id"),
-    ).withColumn("length", F.floor(F.log2(F.col("size")) * 1000).cast("long"))
+        rank("source").alias("source"), rank("lang").alias("lang"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << TIE_BITS)).alias("tie"),
+    ).withColumn("length", F.least(F.floor(F.log2(F.col("size")) * 100).cast("long"), F.lit(most).cast("long")))
 
 
 def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document; the law is ``bytes``.
 
-    Dimensions: source, language (places of their hashes) and length (thousandths of a power of two of the bytes).
+    Dimensions: source, language (places of their hashes) and length (hundredths of a power of two of the bytes).
     """
     rows = materialise(base_rows(docs), "shard-rows")
-    _, placed = plan_and_place(rows, ["length", "source", "lang"], shards)
+    placed = materialise(place(rows, ["length", "source", "lang"], shards), "shard-placed")
     total = rows.count()
     blocks = max(1, -(-total // (SLOT_ROWS * shards)))
     placed = placed.select("doc_id", "size", "text_crc32", "tie", F.col("node").alias("shard")).withColumn("block", F.pmod(F.col("tie"), F.lit(blocks)))

@@ -92,7 +92,36 @@ def test_sharding_balances_bytes_and_slots(spark):
         assert (r.size if False else r[2]) == len(text[int(r.doc_id)].encode()) + 8 and r.text_crc32 == crc32(text[int(r.doc_id)].encode())
 
 
+def median_tree(rows, k, first, spread, dims=("length", "source", "lang")):
+    """(row number, shard) by direct weighted medians: the widest dimension, cut at (value, tie)."""
+    if k == 1 or not rows:
+        return [(r["n"], first) for r in rows]
+    width = [(max(r[d] for r in rows) - min(r[d] for r in rows)) / spread[d] for d in dims]
+    key = lambda r: (r[dims[width.index(max(width))]], r["tie"])
+    need, upto, cut = max(1, sum(r["size"] for r in rows) * (k // 2) // k), 0, None
+    for r in sorted(rows, key=key):
+        upto, cut = upto + r["size"], key(r)
+        if upto >= need:
+            break
+    left, right = [r for r in rows if key(r) <= cut], [r for r in rows if key(r) > cut]
+    return median_tree(left, k // 2, first, spread) + median_tree(right, k - k // 2, first + k // 2, spread)
+
+
+def test_sharding_against_direct_medians(spark):
+    rng = random.Random(5)
+    docs = docs_of(spark, [(i, "w" * int(rng.expovariate(1 / 200)), rng.choice(["a", "a", "a", "b", None])) for i in range(600)])
+    rows = [r.asDict() | {"n": r["doc_id"]} for r in sharding.base_rows(docs).collect()]
+    spread = {d: max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in ("length", "source", "lang")}
+    got = sharding.assign(docs, 7).collect()
+    assert {(r["doc_id"], r["shard"]) for r in got} == set(median_tree(rows, 7, 0, spread))
+    unnamed = {d["doc_id"] for d in docs.where("source is null").collect()}
+    assert unnamed and all((r["source"] == 0) == (r["n"] in unnamed) for r in rows)  # before all names
+
+
 def test_sharding_small_tables(spark):
+    for n in (1, 2, 24):
+        some = shards(spark, [(i, "t" * i, f"s{i}") for i in range(n)])
+        assert sorted(some["doc_id"]) == list(range(n)) and some.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
     assert len(shards(spark, [])) == 0
     few = shards(spark, [(1, "a", "x"), (1, "a", "x"), (2, None, None)])
     assert len(few) == 3 and few.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
