@@ -1,14 +1,10 @@
 """Shared helpers of the llm operators: scratch tables, batch slicing, fast tokenising and distributed components.
 
-Scratch tables go to the folder that the session names in ``spark.checkpoint.dir``; only where it is unset is a
-temporary folder made (single-machine tests).  A scratch table is plain Parquet, so a lost executor costs a re-read,
-never a recomputation from the corpus.
+Scratch tables are those of ``spanloom.sources.scratch``: Parquet in the folder that ``spark.checkpoint.dir`` names.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources import scratch
+
 #: The white space of every contract here, as a character class body for Java and DuckDB patterns.
 SPACE = r"\x20\x09-\x0D"
 
@@ -35,20 +33,13 @@ def bound_batches(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     bound_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return scratch.scratch_dir(spark, tag)
 
 
 def materialise(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and gives the planner true sizes."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, tag)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(df.sparkSession)
+    return scratch.materialise(df, tag, *partition_by)
 
 
 def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
@@ -86,6 +77,14 @@ def sized(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     return df, total
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that a frame has not, however its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
