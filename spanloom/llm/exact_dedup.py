@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SPACE, materialise, mix64
+from spanloom.llm.common import SPACE, materialise, mix64, unused
 
 #: Positions per key at each level of the perfect hash.
 GAMMA = 1.5
 #: Digests per bucket that the index aims at.
 BUCKET_KEYS = 4096
 NO_ID = 2**63 - 1
+#: A digest with more rows than this, and than one row in HOT_SHARE, does not meet its rows in one task.
+HOT_ROWS, HOT_SHARE = 256, 50_000
 
 _INDEX = "bucket int, n int, sizes array<int>, bits binary, digests binary, locators binary, counts binary"
 _FOUND = "digest binary, member boolean, winner long, n long"
@@ -159,9 +161,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     old, new = rows.where(F.col("doc_id") <= middle), rows.where(F.col("doc_id").isNull() | (F.col("doc_id") > middle))
     index = materialise(build_index(old, buckets), "dedup-index")
     # a slot speaks for the history's rows and for members, so a digest has one row
-    groups = look_up(new, index, buckets).select("digest", F.col("member").alias("in_history"), "winner", F.col("n").alias("group_size"))
+    groups = materialise(look_up(new, index, buckets).select("digest", F.col("member").alias("in_history"), "winner", F.col("n").alias("group_size")), "dedup-groups")
+    # fewer than HOT_SHARE digests can have more than count / HOT_SHARE rows each: those go by a bounded broadcast
+    is_hot = F.col("group_size") > max(HOT_ROWS, count // HOT_SHARE)
+    hot = F.broadcast(groups.where(is_hot))
+    told = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(groups.where(~is_hot), "digest"))
     keep_id = F.when(F.col("winner") != NO_ID, F.col("winner"))
-    return rows.join(groups, "digest").select(
+    return told.select(
         "doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history"
     )
 
@@ -172,7 +178,8 @@ def keep(docs: DataFrame) -> DataFrame:
     A document is its doc_id and text: where one doc_id stands on several texts, each text stays or goes by itself.
     A row without doc_id stays once, if no row with a doc_id has its text.
     """
+    own = unused(docs, "document")
     key = lambda digest, doc_id: F.concat(digest, F.lit(":"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
-    kept = decide(docs).where("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("_document")).distinct()
+    kept = decide(docs).where("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias(own)).distinct()
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    return docs.withColumn("_document", key(digest, F.col("doc_id"))).join(kept, "_document", "left_semi").dropDuplicates(["_document"]).select(docs.columns)
+    return docs.withColumn(own, key(digest, F.col("doc_id"))).join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
