@@ -3,11 +3,12 @@
 ``mux`` writes a programme with one private-data elementary stream: PAT and PMT sections (with CRC), access units as PES
 packets with presentation timestamps, continuity counters, clock references and random-access flags.  ``demux`` parses
 programme tables, checks continuity counters, reassembles the elementary packets and lists the timestamps with the
-random-access points and the place of each access unit in the payload, so a reader can seek.
+random-access points and the place of each access unit in the payload.  ``store`` keeps that index beside the stream, so
+a reader can seek; ``features`` holds it against the stream it reads back.
 
 Defined cases: null and empty texts are one block of 64 zero bytes; texts of any length are stored whole (an access unit
 is at most UNIT bytes); equal texts have equal streams; repeated rows are stored each; a null doc_id stays null; empty
-tables give no rows; extra columns are ignored.  A stream with lost, repeated or damaged packets is parsed as far as it
+tables give no rows; extra columns are ignored; bytes that are not UTF-8 are stored as they are.  A stream with lost, repeated or damaged packets is parsed as far as it
 goes and the faults are counted.
 """
 
@@ -64,13 +65,20 @@ def _timestamp(prefix: int, t: int) -> bytes:
     return bytes([prefix << 4 | (t >> 30 & 7) << 1 | 1, t >> 22 & 0xFF, (t >> 15 & 0x7F) << 1 | 1, t >> 7 & 0xFF, (t & 0x7F) << 1 | 1])
 
 
-def pad(text: str | None) -> bytes:
-    raw = (text or "").encode("utf-8")
+def pad(text: str | bytes | None) -> bytes:
+    raw = text or b""
+    raw = raw.encode("utf-8") if isinstance(raw, str) else raw
     return raw.ljust(max(PAD, -(-len(raw) // PAD) * PAD), b"\x00")
 
 
 def mux(payload: bytes) -> bytes:
+    return mux_indexed(payload)[0]
+
+
+def mux_indexed(payload: bytes) -> tuple[bytes, list[tuple[int, int, bool]]]:
+    """The stream, and of each access unit its timestamp, its place in the payload and whether a reader can begin there."""
     out: list[bytes] = []
+    index: list[tuple[int, int, bool]] = []
     count = {PAT_PID: 0, PMT_PID: 0, DATA_PID: 0}
     heads = {p: [bytes([0x47, p >> 8 & 0x1F, p & 0xFF, 0x10 | c]) for c in range(16)] for p in (DATA_PID,)}[DATA_PID]
 
@@ -81,6 +89,7 @@ def mux(payload: bytes) -> bytes:
     for i, at in enumerate(range(0, len(payload), UNIT)):
         unit = payload[at : at + UNIT]
         entry, pts = i % GROUP == 0, (FIRST_PTS + i * TICKS) & (1 << 33) - 1
+        index.append((pts, at, entry))
         if entry:
             for pid, body in zip((PAT_PID, PMT_PID), _TABLES, strict=True):
                 table(pid, body)
@@ -105,7 +114,7 @@ def mux(payload: bytes) -> bytes:
             done += len(body)
             count[DATA_PID] += 1
             start, field_ = False, b""
-    return b"".join(out)
+    return b"".join(out), index
 
 
 @dataclass
@@ -227,36 +236,46 @@ def demux(stream: bytes) -> Stream:
     return out
 
 
-_MEDIA = "doc_id long, n_bytes long, media binary"
+_UNIT_TYPE = "array<struct<pts: bigint, offset: bigint, random_access: boolean>>"
+_MEDIA = f"doc_id long, n_bytes long, media binary, access_units {_UNIT_TYPE}"
 _RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_UNITS = "doc_id long, access_units array<struct<pts: bigint, offset: bigint, random_access: boolean>>"
+_UNITS = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
+
+
+def _unit_array(lists: list[list[tuple[int, int, bool]]]) -> pa.Array:
+    return pa.array([[{"pts": p, "offset": o, "random_access": r} for p, o, r in units] for units in lists], _UNITS)
 
 
 def _mux_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "text"):
-        texts = batch.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([mux(pad(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        texts = batch.column("text").cast(pa.binary()).to_pylist()  # bytes as they are, be they UTF-8 or not
+        made = [mux_indexed(pad(t)) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([m for m, _ in made], pa.binary()), _unit_array([u for _, u in made])], names=["doc_id", "n_bytes", "media", "access_units"])
 
 
 def _demux_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "media"):
         rows = []
-        for doc, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+        for doc, n, media, units in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "access_units")), strict=True):
             s = demux(media)
-            rows.append((doc, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), s.feature()))
+            held = [(u["pts"], u["offset"], u["random_access"]) for u in units or []]
+            rows.append((doc, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), f"{s.feature()};stored_index={'same' if held == s.units else 'differs'}"))
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sub_batches(batches, "media"):
-        units = [[{"pts": p, "offset": o, "random_access": r} for p, o, r in demux(m).units] for m in batch.column("media").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units, pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())])))], names=["doc_id", "access_units"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _unit_array([demux(m).units for m in batch.column("media").to_pylist()])], names=["doc_id", "access_units"])
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Write a media table (doc_id, n_bytes, media) of transport streams to the shared folder; returns it as read back."""
+    """Write a media table to the shared folder and return it as read back.
+
+    A row has doc_id, n_bytes, media (the transport stream) and access_units: timestamp, place in the payload and random
+    access of each unit, so that a reader can seek by them without parsing the stream.
+    """
     spark = docs.sparkSession
     path = scratch_dir(spark, "media-ts")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mux_rows, _MEDIA).write.option("compression", "zstd").parquet(path)
@@ -264,10 +283,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Facts of each stored stream, computed from the stored bytes."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_demux_rows, _RESULT)
+    """Facts of each stored stream, computed from the stored bytes, and whether its stored index is the stream's."""
+    return media.select("doc_id", "n_bytes", "media", "access_units").mapInArrow(_demux_rows, _RESULT)
 
 
 def access_units(media: DataFrame) -> DataFrame:
-    """Timestamps, payload offsets and random-access points of each stored stream."""
-    return media.select("doc_id", "media").mapInArrow(_unit_rows, _UNITS)
+    """The index of streams (doc_id, media) that came without one, parsed out of them."""
+    return media.select("doc_id", "media").mapInArrow(_index_rows, f"doc_id long, access_units {_UNIT_TYPE}")
