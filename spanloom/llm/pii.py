@@ -5,8 +5,9 @@ by a keyed Feistel network inside the set of valid values of its format, so the
 get equal pseudonyms in every document, and whoever has the key can undo it.  Everything else stays as it was, byte for
 byte.  Kinds, what validates them, and the set that is permuted:
 
-* ``card``: 13 to 19 digits, bare or in groups split by single spaces or hyphens, that pass the Luhn check; first digit,
-  number of digits and separators stay; the check digit is made anew.
+* ``card``: 13 to 19 digits, bare or in groups split by hyphens, or 13 to 16 in groups split by spaces (where a fifth
+  group could be another number), that pass the Luhn check; first digit, number of digits and separators stay; the check
+  digit is made anew.
 * ``phone``: North American numbers, with +1 or brackets or two separators; area and exchange codes 200-999 stay so.
   With +1, which leaves no doubt of a phone, numbers with other codes too, as a set of their own.
 * ``ssn``: ddd-dd-dddd with area 001-899 but 666, group 01-99, serial 0001-9999.
@@ -17,8 +18,11 @@ byte.  Kinds, what validates them, and the set that is permuted:
   digits by themselves, in even chunks of at most CHUNK, each permuted under a tweak of the chunks before it.
 
 The network alternates additions modulo the two factors of the size of the set: (a, b) -> (a + F(b) mod A, b) and
-(a, b) -> (a, b + F(a) mod B), ROUNDS times, with F a keyed 64-bit hash of kind and round; it is a permutation for any
-sizes, so no value is walked twice and none collide.
+(a, b) -> (a, b + F(a) mod B), ROUNDS times, with F keyed by kind and round; it is a permutation for any
+sizes, so no value is walked twice and none collide.  F is SHA-256 of a subkey (itself SHA-256 of key, kind and format),
+the round and the other half; 60 of its bits are used.
+
+The key is the caller's: ``configured_key`` reads it from the session's ``spark.spanloom.pii.key``.
 
 Defined cases: null texts stay null, empty ones empty; texts of any length are searched whole; a value that occurs many
 times is replaced everywhere; of overlapping candidates the leftmost counts, then the first kind in the order phone,
@@ -28,12 +32,14 @@ columns are kept by ``pseudonymise``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import unused
+
 ROUNDS = 8
-#: Only for tests and examples; a deployment gives its own.
-KEY = "change me"
+#: Where a session keeps the key.
+KEY_SETTING = "spark.spanloom.pii.key"
 #: Fixed: days from 1900-01-01 to 2099-12-31 are 73,049 = 319 x 229.
 DAY_FACTORS = (319, 229)
 #: Letters or digits of a local part that are permuted at once; 26 to this power fits a long.
@@ -43,7 +49,7 @@ KINDS = ("phone", "card", "ssn", "date", "ip", "email")
 _D, _ND = r"(?<![\w@.%+-])", r"(?![\w-])(?!\.\d)"
 _PATTERNS = {
     "phone": r"(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}",
-    "card": r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}",
+    "card": r"\d{13,19}|\d{4}-\d{4}-\d{4}-\d{1,4}(?:-\d{1,3})?|\d{4} \d{4} \d{4} \d{1,4}|\d{4}-\d{6}-\d{4,5}|\d{4} \d{6} \d{4,5}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
@@ -76,16 +82,17 @@ def feistel(value: Column, a: int | Column, b: int | Column, tweak: Column, back
     tweak: a string of key, kind and format; the result is a permutation for each tweak.
     """
     a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
-    start = F.struct(_div(value, b).alias("l"), (value % b).alias("r"))
-    seed = F.xxhash64(tweak)
-    hashed = lambda x, i: F.pmod(F.xxhash64(x, i, seed, F.lit(0x5EED)), F.lit(1 << 61))
+    start = F.struct(_div(value, b).alias("l"), (value % b).alias("r"), F.sha2(tweak, 256).alias("key"))
     sign = F.lit(-1 if back else 1).cast("long")
 
+    def hashed(acc: Column, x: Column, i: Column) -> Column:
+        return F.conv(F.substring(F.sha2(F.concat_ws(":", acc["key"], i.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
+
     def turn(acc: Column, i: Column) -> Column:
         left, right = acc["l"], acc["r"]
-        first = F.pmod(left + sign * (hashed(right, i) % a), a)
-        second = F.pmod(right + sign * (hashed(left, i) % b), b)
-        return F.struct(F.when(i % 2 == 0, first).otherwise(left).alias("l"), F.when(i % 2 == 0, right).otherwise(second).alias("r"))
+        first = F.pmod(left + sign * (hashed(acc, right, i) % a), a)
+        second = F.pmod(right + sign * (hashed(acc, left, i) % b), b)
+        return F.struct(F.when(i % 2 == 0, first).otherwise(left).alias("l"), F.when(i % 2 == 0, right).otherwise(second).alias("r"), acc["key"].alias("key"))
 
     steps = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(steps, start, turn, lambda acc: acc["l"] * b + acc["r"])
@@ -187,7 +194,7 @@ def _email(x: Column, tweak: Column, back: bool) -> Column:
         first = F.struct(F.lit("").alias("s"), F.concat(tweak, F.lit(tag), n.cast("string")).alias("t"))
 
         def turn(acc: Column, old: Column) -> Column:
-            after = lambda new: F.struct(F.concat(acc["s"], new).alias("s"), F.concat(tweak, F.lit(tag + "\x00"), F.xxhash64(acc["t"], new if back else old).cast("string")).alias("t"))
+            after = lambda new: F.struct(F.concat(acc["s"], new).alias("s"), F.concat(tweak, F.lit(tag + "\x00"), F.sha2(F.concat_ws(":", acc["t"], new if back else old), 256)).alias("t"))
             return _bound(chunk(old, base, alphabet, acc["t"]), after)
 
         return F.split(F.when(n > 0, F.aggregate(chunks, first, turn, lambda acc: acc["s"])).otherwise(""), "")
@@ -219,7 +226,7 @@ def kind_of(x: Column) -> Column:
     return F.when(phone, "phone").when(card, "card").when(ssn, "ssn").when(date, "date").when(ip, "ip").when(x.contains("@"), "email")
 
 
-def pseudonym(x: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(x: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a value of a kind; with back, the value of a pseudonym; null kinds leave x as it is."""
     make = {"phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ip": _ip, "email": _email}
     out = F.when(kind.isNull(), x)
@@ -228,21 +235,30 @@ def pseudonym(x: Column, kind: Column, key: str = KEY, back: bool = False) -> Co
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False, text_col: str = "text") -> DataFrame:
-    """docs with the text column pseudonymised and, added, pii: its values as array<struct<kind, pseudonym>>.
+def configured_key(spark: SparkSession) -> str:
+    """The key that the session is set to use."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret key")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str, back: bool = False, text_col: str = "text") -> DataFrame:
+    """docs with the text column pseudonymised and, added last, pii: its values as array<struct<kind, pseudonym>>.
 
-    Texts without a digit or an at sign are passed on without a search.  Hits and the texts between them are found by
-    the same pattern, made one text again in order; nothing is shuffled.
+    The added column is called pii, with underscores after it where docs has such a column.  Texts without a digit or an
+    at sign are passed on without a search.  Hits and the texts between them are found by the same pattern, made one text
+    again in order; nothing is shuffled.
     """
-    text = F.col(text_col)
-    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.withColumn("_hits", hits)
-    values = F.transform("_hits", lambda x: F.struct(x.alias("value"), kind_of(x).alias("kind")))
-    found = found.withColumn("_values", F.when(F.size("_hits") > 0, values).otherwise(F.array().cast("array<struct<value:string,kind:string>>")))
-    made = F.transform("_values", lambda v: F.struct(v["kind"].alias("kind"), pseudonym(v["value"], v["kind"], key, back).alias("pseudonym")))
-    found = found.withColumn("_made", F.when(F.size("_values") > 0, made).otherwise(F.array().cast("array<struct<kind:string,pseudonym:string>>")))
+    text = F.col(f"`{text_col}`")
+    hits, values, made, new = (unused(docs, f"pii_{c}") for c in ("hits", "values", "made", "text"))
+    found = docs.withColumn(hits, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    judged = F.transform(hits, lambda x: F.struct(x.alias("value"), kind_of(x).alias("kind")))
+    found = found.withColumn(values, F.when(F.size(hits) > 0, judged).otherwise(F.array().cast("array<struct<value:string,kind:string>>")))
+    replaced = F.transform(values, lambda v: F.struct(v["kind"].alias("kind"), pseudonym(v["value"], v["kind"], key, back).alias("pseudonym")))
+    found = found.withColumn(made, F.when(F.size(values) > 0, replaced).otherwise(F.array().cast("array<struct<kind:string,pseudonym:string>>")))
     between = F.split(text, CANDIDATE, -1)
-    whole = F.concat(F.array_join(F.transform("_made", lambda v, i: F.concat(F.get(between, i), v["pseudonym"])), ""), F.get(between, F.size("_made")))
-    return found.withColumn("_text", F.when(F.size("_made") > 0, whole).otherwise(text)).select(
-        *[F.col("_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.filter("_made", lambda v: v["kind"].isNotNull()).alias("pii")
+    whole = F.concat(F.array_join(F.transform(made, lambda v, i: F.concat(F.get(between, i), v["pseudonym"])), ""), F.get(between, F.size(made)))
+    return found.withColumn(new, F.when(F.size(made) > 0, whole).otherwise(text)).select(
+        *[F.col(new).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.filter(made, lambda v: v["kind"].isNotNull()).alias(unused(docs, "pii"))
     )

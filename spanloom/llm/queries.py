@@ -11,6 +11,10 @@ from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sentencepie
 from spanloom.llm.common import table
 
 
+#: For the synthetic tables, where the session sets none; no secret, so not for real documents.
+TEST_KEY = "a key for synthetic documents"
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
@@ -29,7 +33,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), F.array_join("pii.kind", ",").alias("kinds"))
+    key = pii.configured_key(spark) if spark.conf.get(pii.KEY_SETTING, None) else TEST_KEY
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), F.array_join("pii.kind", ",").alias("kinds"))
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
