@@ -14,7 +14,8 @@ are 1, or 2 if they have more marker features (such as occur almost in toxic row
 
 Defined cases: null and empty texts have no features and get the score of the thresholds alone; texts of any length
 count whole; a feature counts once for a text however often it occurs; ties of the sampling hash go to the smaller
-doc_id; labelled rows that repeat a doc_id count once (the most severe); null labels are no labels; without labelled
+doc_id; labelled rows that repeat a doc_id count once (the most severe), and so do documents that
+repeat one (the text whose features hash least); null labels are no labels; without labelled
 rows or with one grade alone no text is rejected; empty tables give no rows; extra columns are ignored by ``score`` and
 kept by ``keep_clean``.
 """
@@ -35,8 +36,8 @@ from spanloom.llm.common import from_bytes, mix64, sub_batches, text_bytes, word
 #: Bound of the labelled sample that a model is fitted on.
 SAMPLE_ROWS = 4000
 PREFIXES = (4, 5, 6, 7, 8)
-#: Features of a sample row must occur in as many rows; so many are kept at most after screening.
-LEAST_ROWS, MOST_FEATURES = 3, 20_000
+#: Features must occur in as many rows of the sample.
+LEAST_ROWS = 3
 #: Least association (standard deviations above chance) of a feature; penalty; most steps of a fit.
 LEAST_Z, L2, STEPS = 4.0, 5e-4, 400
 #: A text is rejected when P(grade > 0) is at least this.
@@ -114,7 +115,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
     if not chosen:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     few = docs.sparkSession.createDataFrame([(r["doc_id"], r["grade"]) for r in chosen], "doc_id long, grade int")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text").mapInArrow(_sample_rows, "doc_id long, grade int, features array<long>").toArrow()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text").mapInArrow(_sample_rows, "doc_id long, grade int, features array<long>")
+    # one row a doc_id comes to the driver: of several texts the one whose features hash least
+    one = F.min_by(F.struct("grade", "features"), F.struct(F.xxhash64("features"), F.size("features")))
+    found = found.groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.grade", "x.features").toArrow()
     found = found.sort_by("doc_id").combine_chunks()
     ids = found.column("doc_id").to_numpy()
     grades = found.column("grade").to_numpy().astype(np.int64)
@@ -134,8 +138,7 @@ def _screen(positive: np.ndarray, row: np.ndarray, feature: np.ndarray) -> tuple
     base = positive.mean()
     z = (p - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9))
     z[n < LEAST_ROWS] = -1e9
-    order = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    order = np.sort(order[z[order] >= LEAST_Z])
+    order = np.flatnonzero(z >= LEAST_Z)
     return names[order], p[order], (n - p)[order]
 
 
