@@ -4,7 +4,7 @@ Reading: one partition for each archive file; record-type and header predicates
 string-prefix tests on columns of the WARC header); a record's header is parsed first, and the block of a record that
 is not wanted is skipped by its Content-Length without being decoded.  With option ``payload=false`` no block is read.
 
-Writing: ``write_pages`` makes one file for each task.  A file holds plain WARC/1.1 headers; a response's block is an
+Writing: ``write_pages`` makes one file for each task, and more where they would be large.  A file holds plain WARC/1.1 headers; a response's block is an
 HTTP response whose body may be compressed (Content-Encoding: deflate), so headers can be walked without inflating.  A
 payload of at least MIN_REVISIT bytes that other pages have too is stored once, with the largest page_id; the others are
 revisit records that refer to it.  Files are written under a task-attempt's own name and put in place by a rename, and
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith
 
-from spanloom.llm.common import materialise, scratch_dir
+from spanloom.llm.common import materialise, scratch_dir, sub_batches
 
 MIN_REVISIT = 1000
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, page_id long, payload_bytes long, payload_digest string, refers_to long, content_length long, file string, offset long, payload binary"
@@ -39,6 +39,8 @@ _DATE = "1970-01-01T00:00:00Z"
 _VERSION = b"WARC/1.1\r\n"
 #: Bytes that one read of the file system fetches.
 BUFFER = 1 << 20
+#: Bytes of an archive at which the writer begins another.
+FILE_BYTES = 128 << 20
 
 
 def record_id(page_id: int | None) -> str:
@@ -107,11 +109,14 @@ class _Stream:
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) - self.at < n and self._more():
-            pass
-        out = self.buffer[self.at : self.at + n]
-        self.at += len(out)
-        return out
+        out = [self.buffer[self.at : self.at + n]]
+        self.at += len(out[0])
+        left = n - len(out[0])
+        while left and self._more():  # long blocks are joined once, not grown read by read
+            out.append(self.buffer[self.at : self.at + left])
+            self.at += len(out[-1])
+            left -= len(out[-1])
+        return b"".join(out)
 
     def skip(self, n: int) -> None:
         inside = min(n, len(self.buffer) - self.at)
@@ -246,30 +251,40 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def _writer(folder: str):
+def _writer(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _open_fs(folder)
-        name, handle, count = uuid.uuid4().hex, None, 0
-        for batch in batches:
+        name, handle, count = "", None, 0
+
+        def close() -> pa.RecordBatch:
+            handle.close()
+            fs.move(f"{at}/{name}.open", f"{at}/{name}.warc")
+            return pa.RecordBatch.from_pydict({"file": [f"{name}.warc"], "records": pa.array([count], pa.int64())})
+
+        for batch in sub_batches(batches, "html"):
             cols = [batch.column(c) for c in ("page_id", "url", "html", "digest", "length", "refers_to")]
             for row in zip(*(c.to_pylist() for c in cols), strict=True):
                 page, url, html, digest, length, refers = row
                 if handle is None:
                     fs.create_dir(at, recursive=True)
+                    name, count = uuid.uuid4().hex, 0
                     handle = fs.open_output_stream(f"{at}/{name}.open")
                 handle.write(encode_record(page, url, None if refers is not None else (html or "").encode(), digest, length, refers))
                 count += 1
+                if handle.tell() >= file_bytes:
+                    yield close()
+                    handle = None
         if handle is not None:
-            handle.close()
-            fs.move(f"{at}/{name}.open", f"{at}/{name}.warc")
-            yield pa.RecordBatch.from_pydict({"file": [f"{name}.warc"], "records": pa.array([count], pa.int64())})
+            yield close()
 
     return run
 
 
-def write_pages(pages: DataFrame, folder: str) -> DataFrame:
+def write_pages(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) under folder; returns (file, records), already written.
 
+    A task goes on to another archive when one has file_bytes, so that no archive, which one task reads, is large.
+
     Repeated payloads are found by digest and length over all rows with a partial aggregation; only digests that repeat
     are joined back, by broadcast if their table on disk is below Spark's threshold, else by a shuffle.
     """
@@ -281,7 +296,7 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
     flagged = rows.join(same, ["digest", "length"], "left").withColumn("refers_to", refers)
     # a revisit is written without its payload, so it need not travel
     out = flagged.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "length", "refers_to")
-    return materialise(out.mapInArrow(_writer(folder), "file string, records long"), "warc-files")
+    return materialise(out.mapInArrow(_writer(folder, file_bytes), "file string, records long"), "warc-files")
 
 
 def read_pages(spark: SparkSession, folder: str, files: DataFrame | None = None, payload: bool = True) -> DataFrame:
@@ -293,7 +308,7 @@ def read_pages(spark: SparkSession, folder: str, files: DataFrame | None = None,
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Length and digest of what was read: of the decoded payload where there is one, else as the header says."""
-    for batch in batches:
+    for batch in sub_batches(batches, "payload"):
         d = batch.to_pydict()
         for i, body in enumerate(d["payload"]):
             if d["record_type"][i] == "response":
