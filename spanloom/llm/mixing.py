@@ -21,10 +21,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise, mix64, word_count
+from spanloom.llm.common import materialise, mix64, unused, word_count
 
 #: Fixed by the contract of the query: weights by order of the source, share of all words, most copies of a document.
 WEIGHTS = (3, 1, 2)
@@ -114,6 +114,11 @@ def _combine(last: bool, level: int, seed: int):
 def decide(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source) of every document; taken = copies x size."""
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (word_count(F.col("text")) if size is None else size).alias("size")), "mix-rows")
+    return _decide(rows, seed)
+
+
+def _decide(rows: DataFrame, seed: int) -> DataFrame:
+    """decide() of rows (doc_id, source, size) that lie in files."""
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()  # one row for each source
     target = targets([(r["source"], r["source_size"]) for r in by_source])
     plan = rows.sparkSession.createDataFrame(
@@ -142,8 +147,22 @@ def decide(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFr
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixture itself: each document as often as it is copied, with all its columns; documents taken 0 times go.
 
-    Rows that share a doc_id and source are copied as often in sum as was decided for them, up to one row's rounding.
+    Rows that share doc_id, source and size are numbered, and each takes one of the decisions made for them; so what the
+    mixture takes is what was decided, row by row.
     """
-    chosen = decide(docs, seed).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]) & docs["source"].cast("string").eqNullSafe(chosen["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    key, nth, copies, copy = (unused(docs, c) for c in ("mix_key", "mix_nth", "mix_copies", "mix_copy"))
+    named = lambda doc_id, source, size: F.to_json(F.struct(doc_id.cast("long").alias("d"), source.cast("string").alias("s"), size.alias("n")))
+    chosen = decide(docs, seed).where("copies > 0").groupBy(named(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), "copies").agg(F.count(F.lit(1)).alias("n"))
+    # copies of a key are two numbers at most, each with its count; rows take them in turn
+    chosen = chosen.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("copies", "n")), False).alias(copies))
+    keyed = docs.withColumn(key, named(F.col("doc_id"), F.col("source"), word_count(F.col("text")))).join(chosen, key)
+    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    first = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("mine"))
+    mine = lambda acc, x: F.struct((acc["upto"] + x["n"]).alias("upto"), F.when((F.col(nth) > acc["upto"]) & (F.col(nth) <= acc["upto"] + x["n"]), x["copies"]).otherwise(acc["mine"]).alias("mine"))
+    return _repeated(numbered, F.aggregate(copies, first, mine, lambda acc: acc["mine"]), copy, docs.columns)
+
+
+def _repeated(rows: DataFrame, times: Column, copy: str, columns: list[str]) -> DataFrame:
+    """Each row so many times."""
+    some = rows.withColumn(copy, times.cast("int")).where(F.col(copy) > 0)
+    return some.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*[F.col(f"`{c}`") for c in columns])
