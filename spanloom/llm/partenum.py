@@ -52,7 +52,7 @@ SLICE_TEXT = 1 << 20
 #: Ids of candidate documents that a broadcast may carry (8 bytes each), and members of a signature in one block.
 MOST_BROADCAST, BLOCK = 500_000, 4096
 #: Rows of the signatures with one smallest member that one task compares.
-DEALT = 4096
+DEALT = 2048
 #: Pairs that a task remembers to have named.
 NAMED = 500_000
 _HEAD, _LINK, _GROUP = 0, 1, 2
