@@ -36,8 +36,15 @@ def test_dedup_against_brute_force(spark):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("hot", [0, 1, 2, 10])
+def test_dedup_hot_digests_take_another_way_to_the_same_result(spark, monkeypatch, hot):
+    want = sorted(map(repr, exact_dedup.decide(docs_of(spark, ODD)).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
+    assert sorted(map(repr, exact_dedup.decide(docs_of(spark, ODD)).collect())) == want
+
+
 def test_dedup_keep_has_all_columns_once(spark):
-    extra = docs_of(spark, ODD).withColumn("digest", F.lit(1)).withColumn("winner", F.lit("w"))
+    extra = docs_of(spark, ODD).withColumn("digest", F.lit(1)).withColumn("winner", F.lit("w")).withColumn("document", F.lit("d")).withColumn("_document", F.lit("d"))
     kept = exact_dedup.keep(extra)
     assert kept.columns == extra.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([3, 9, 1, 7, 8, None], key=repr)
@@ -159,6 +166,17 @@ def test_mixing_meets_targets_and_repeats(spark, monkeypatch):
     assert mixed.columns[-1] == "copies" and mixed.count() == a["copies"].where(a["size"] > 0, 0).sum()
 
 
+def test_mixing_takes_what_it_decided_for_repeated_rows(spark):
+    rows = [(1, "a b c", "s1")] * 40 + [(2, "d e", "s1"), (2, "d e f", "s1"), (None, "g h", None), (None, "g h", None), (3, None, "s2")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit("clash") for c in ("mix_key", "mix_nth", "copies", "mix_copy", "_copies")})
+    decided = Counter()
+    for r in mixing.decide(docs).collect():
+        decided[r["doc_id"], r["size"]] += r["copies"]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert Counter((r["doc_id"], len((r["text"] or "").split())) for r in mixed.collect()) == +decided
+
+
 def test_mixing_empty(spark):
     assert mixing.decide(docs_of(spark, [])).count() == 0
 
@@ -178,17 +196,37 @@ def brute(url, rules):
     return host, path, best[1], best[2]
 
 
-def test_urls_against_brute_force(spark):
-    pages = spark.createDataFrame([(i, u, "rule") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule2 string")
+@pytest.mark.parametrize("most", [url_filter.MOST_BROADCAST, 0])
+def test_urls_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string")
+    clashes = ["url_host", "url_path", "url_best", "_host", "_path", "best", "key", "entry", "v", "block", "w0"]
+    pages = pages.withColumns({c: F.lit(c) for c in [*clashes, "Host", "rule"]})
     got = url_filter.judge(pages, spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string"))
-    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()} == {i: brute(u, url_filter.RULES) for i, u in enumerate(URLS * 2)}
+    assert got.columns == ["page_id", "url", *clashes, "host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows} == {i: brute(u, url_filter.RULES) for i, u in enumerate(URLS * 2)}
+    assert all(r[c] == c for r in rows for c in clashes)
+
+
+def test_long_list_against_brute_force(spark):
+    rng = random.Random(8)
+    rules = [(rng.choice(["com", "a.com", "b.org", "x.b.org"]), "/" + "".join(rng.choice("ab") for _ in range(rng.randrange(6))), rng.choice(["allow", "block"])) for _ in range(60)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{rng.choice(['com', 'z.a.com', 'x.b.org', 'b.org', 'org'])}/{''.join(rng.choice('ab') for _ in range(rng.randrange(8)))}" for _ in range(300)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    for r in got.collect():
+        host, path, rule, verdict = brute(urls[r["page_id"]], rules)
+        assert (r["host"], r["path"]) == (host, path) and len(r["rule"] or "") == len(rule or "")  # entries of equal length: the longer host
+        if sum(len(h + p) == len(rule or "") for h, p, _ in rules if (host == h or host.endswith("." + h)) and path.startswith(p)) == 1:
+            assert (r["rule"], r["verdict"]) == (rule, verdict)
 
 
 def test_bloom_has_no_false_negatives_and_few_positives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom = url_filter.BlockedBloom(keys, 3000)
-    assert keys.where(~bloom.may_hold(F.col("key"))).count() == 0
-    assert spark.range(10_000).select(F.concat(F.lit("no"), "id").alias("key")).where(bloom.may_hold(F.col("key"))).count() < 300
+    assert bloom.may_hold(keys, "key").count() == 3000
+    assert bloom.may_hold(spark.range(10_000).select(F.concat(F.lit("no"), "id").alias("key")), "key").count() < 300
 
 
 def test_empty_list_allows_all(spark):

@@ -1,5 +1,6 @@
 """N-gram Jaccard join, transport streams and WARC against brute force and round trips."""
 
+import hashlib
 import os
 import random
 import re
@@ -162,6 +163,12 @@ def test_media_columns(spark):
     same = out[out["n_bytes"] == 10_000]
     assert len(same) == 3 and same.drop(columns="doc_id").drop_duplicates().shape[0] == 1
     assert set(out[out["n_bytes"] == 0]["payload_bytes"]) == {64}
+    assert out["feature"].str.endswith("stored_index=same").all()
+    # timestamps and random-access points lie in the table, and are those of the streams
+    held = {repr((r["doc_id"], [tuple(u) for u in r["access_units"]])) for r in media.select("doc_id", "access_units").collect()}
+    assert held == {repr((r["doc_id"], [tuple(u) for u in r["access_units"]])) for r in mpegts.access_units(media).collect()}
+    wrong = media.withColumn("access_units", F.slice("access_units", 2, 100))
+    assert mpegts.features(wrong).where("feature like '%stored_index=differs'").count() == len(out)
     assert {len(r["access_units"]) for r in mpegts.access_units(media).where("doc_id = 1").collect()} == {3}
     assert mpegts.features(mpegts.store(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
@@ -198,3 +205,39 @@ def test_warc_reader_skips_without_decoding(tmp_path, monkeypatch):
     with pa.fs.LocalFileSystem().open_input_file(str(path)) as handle:
         rows = list(warc.read_records(handle, [("page_id", warc._Test("in", {3}))], True))
     assert [r[4] for r in rows] == [3] and len(decoded) == 1
+
+
+def test_media_of_bytes_that_are_not_utf8(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"ab\xff\xfe")), (2, bytearray(b"\xc3"))], "doc_id long, text binary").select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = {r["doc_id"]: r for r in mpegts.features(mpegts.store(docs)).collect()}
+    assert [rows[i]["n_bytes"] for i in (1, 2)] == [4, 1] and [rows[i]["payload_bytes"] for i in (1, 2)] == [64, 64]
+    assert rows[1]["payload_sha256"] == hashlib.sha256(b"ab\xff\xfe".ljust(64, b"\0")).hexdigest()
+
+
+def test_media_against_a_plain_reader(spark):
+    """A reader of its own: packets of the data PID joined, PES headers cut off, units in order."""
+    texts = ["", "é" * 5000, "x" * 40_000]
+    for r in mpegts.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        elementary = bytearray()
+        for at in range(0, len(r["media"]), 188):
+            packet = r["media"][at : at + 188]
+            assert packet[0] == 0x47
+            if ((packet[1] & 31) << 8 | packet[2]) != mpegts.DATA_PID:
+                continue
+            elementary += packet[4:] if not packet[3] & 32 else packet[5 + packet[4] :]
+        payload, at = b"", 0
+        for unit in r["access_units"]:
+            assert elementary[at : at + 4] == b"\0\0\1\xbd" and unit["offset"] == len(payload)
+            size = int.from_bytes(elementary[at + 4 : at + 6], "big")
+            payload += elementary[at + 9 + elementary[at + 8] : at + 6 + size]
+            at += 6 + size
+        assert at == len(elementary) and payload == mpegts.pad(texts[r["doc_id"]])
+
+
+def test_warc_long_pages_and_many_archives(spark, tmp_path):
+    rng = random.Random(9)
+    pages = [(i, f"http://x/{i}", "".join(rng.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([5_000_000, 10, 2_000_000, 0, 1500, 1500])]
+    files = warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), file_bytes=400_000)
+    assert files.count() > 2
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_pages(spark, str(tmp_path / "w"), files).where("record_type = 'response'").collect()}
+    assert got == {i: t for i, _, t in pages}

@@ -74,12 +74,82 @@ def test_phones_with_any_codes(spark):
 
 
 def test_pii_empty(spark):
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
 INSULTS = ["vilewort", "grimslur", "foulterm", "réeuxbad"]
 
 
+def classify(token):
+    """The kind of a whole token, by other means than the operator's patterns."""
+    import datetime
+    import ipaddress
+
+    digits = re.sub("[^0-9]", "", token)
+    if re.fullmatch(r"[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}", token):
+        return "phone" if digits[0] in "23456789" and digits[3] in "23456789" else None
+    if 13 <= len(digits) <= 19 and (token == digits or re.fullmatch(r"[0-9]{4}(-[0-9]{4}){3}", token)):
+        double = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+        return "card" if sum(double) % 10 == 0 else None
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", token):
+        area, group, serial = (int(x) for x in token.split("-"))
+        return "ssn" if 0 < area < 900 and area != 666 and group and serial else None
+    if "@" in token:
+        return "email"
+    if token.count(".") == 3:
+        try:
+            ipaddress.IPv4Address(token)
+            return "ip"
+        except ValueError:
+            return None
+    for form in ("%Y-%m-%d", "%d/%m/%Y"):
+        try:
+            if len(digits) == 8 and 1900 <= datetime.datetime.strptime(token, form).year <= 2099:
+                return "date"
+        except ValueError:
+            pass
+    return None
+
+
+def test_pii_against_another_finder(spark):
+    rng = random.Random(12)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: num(16), lambda: "-".join(num(4) for _ in range(4)), lambda: num(rng.randrange(12, 21)), lambda: f"{num(3)}-{num(2)}-{num(4)}",
+        lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.randrange(1890, 2110)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}", lambda: f"{rng.randrange(1, 33):02d}/{rng.randrange(1, 14):02d}/{rng.randrange(1890, 2110)}",
+        lambda: "christopher.montgomery.the.third" + num(3) + "@example.com", lambda: "plain", lambda: num(5),
+    ]
+    tokens = [[rng.choice(makers)() for _ in range(20)] for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(t), "raw", "h", 1) for i, t in enumerate(tokens)], "doc_id long, text string, pii string, _values string, pii_made int")
+    out = pii.pseudonymise(docs, "k")
+    assert out.columns == [*docs.columns, "pii_"]
+    seen = set()
+    for r in out.collect():
+        old, new = tokens[r["doc_id"]], r["text"].split(" ")
+        kinds = [classify(t) for t in old]
+        seen |= set(kinds)
+        assert [v["kind"] for v in r["pii_"]] == [k for k in kinds if k] and (r["pii"], r["_values"], r["pii_made"]) == ("raw", "h", 1)
+        for a, b, k in zip(old, new, kinds, strict=True):
+            assert classify(b) == k if k else a == b
+            assert re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) or k in ("email", "ip")
+        assert not any("montgomery" in t or "christopher" in t for t in new)
+    assert seen == {None, "phone", "card", "ssn", "ip", "date", "email"}
+
+
+def test_pii_long_text_and_repeated_rows(spark):
+    text = ("lorem ipsum " * 20_000) + "call 415-555-2671 now"
+    rows = pii.pseudonymise(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string"), "k").collect()
+    assert len({r["text"] for r in rows}) == 1 and rows[0]["text"] != text and rows[0]["text"][: len(text) - 20] == text[:-20]
+
+
+def test_pii_key_comes_from_the_session(spark):
+    with pytest.raises(ValueError):
+        pii.configured_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    assert pii.configured_key(spark) == "secret"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     words = [f"clean{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
@@ -124,6 +194,42 @@ def test_features_ignore_case_and_marks():
     assert one("ÉTÉ%% Word### word") == one("été word") and one(None) == one("") == set()
 
 
+def test_fit_is_at_the_optimum():
+    """No small step of any parameter lowers the loss, written down anew; weights stay at least zero."""
+    rng = np.random.default_rng(4)
+    x = rng.random((400, 12)) < 0.2
+    latent = x[:, :4].sum(axis=1) * 2.0 + rng.logistic(size=400)
+    grades = (latent > 1.5).astype(int) + (latent > 3.5)
+    row, feature = np.nonzero(x)
+    model = toxicity._descend(grades, row, feature, np.arange(12), 1e-2)
+    w = np.zeros(12)
+    w[model.features] = model.weights
+
+    def loss(w, theta):
+        sig = lambda z: 1 / (1 + np.exp(-z))
+        at = np.concatenate([np.zeros((400, 1)), sig(theta[None, :] - (x @ w)[:, None]), np.ones((400, 1))], axis=1)
+        return -np.log(at[np.arange(400), grades + 1] - at[np.arange(400), grades]).mean() + 1e-2 / 2 * w @ w
+
+    best = loss(w, model.thetas)
+    assert (w >= 0).all() and (w[:4] > 0.5).all()
+    for i in range(12):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[i] = max(0, moved[i] + step)
+            assert loss(moved, model.thetas) >= best - 1e-6
+    for j in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(w, model.thetas + step * (np.arange(2) == j)) >= best - 1e-6
+
+
+def test_repeated_documents_of_a_labelled_id_count_once(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 30 + [(1, "other words"), (2, "bad words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0)], "doc_id long, grade int")
+    grades, row, feature = toxicity.sample(docs, labels)
+    assert grades.tolist() == [1, 1] and set(row.tolist()) == {0, 1}
+    assert sorted(grades.tolist()) == sorted(toxicity.sample(docs.repartition(5), labels)[0].tolist())
+
+
 TOY = sp.Vocabulary(tuple([("<unk>", 0.0, 2)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(p, s, 1) for p, s in [("▁", -5.0), ("a", -3.0), ("b", -3.0), ("ab", -4.0), ("▁a", -3.5), ("▁ab", -4.0), ("bab", -5.5), ("ba", -4.5), ("▁▁", -6.0), ("é", -2.0), ("aé", -6.0)]]))
 
 
