@@ -109,15 +109,21 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
 def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Join Arrow batches to ones of about max_bytes of the text column (one row at least); larger ones are sliced."""
     held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        out = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()  # before the work on the copy begins
+        return out
+
     for batch in sub_batches(batches, column, max_bytes):
         more = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
         if held and size + more > max_bytes:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+            yield joined()
+            size = 0
         held.append(batch)
         size += more
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield joined()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -46,7 +46,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 LONG = 200
 #: Bytes of text in a slice: one row of the scratch table, and the work of one Python call.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 7 << 20
 _NORMAL, _UNUSED, _BYTE, _USER = 1, 5, 6, 4
 
 
@@ -163,7 +163,7 @@ def _text(x: str) -> pa.Scalar:
 
 
 def words_of(texts: pa.Array, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(words per text, number of each word, distinct words).  Spaces are still spaces; each text begins with one more."""
+    """(words per text, 32-bit number of each word, distinct words).  Spaces are still spaces; each text begins with one more."""
     texts = pc.replace_substring(from_bytes(*text_bytes(texts)), MARK, " ")
     offsets, data = text_bytes(pc.if_else(pc.equal(texts, _text("")), _text(""), pc.binary_join_element_wise(_text(" "), texts, _text(""))))
     cut = np.zeros(len(data) + 1, bool)
@@ -177,7 +177,7 @@ def words_of(texts: pa.Array, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
     words = flat.dictionary.cast(pa.large_string()).to_pylist()
-    return np.diff(per_text), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), words
+    return np.diff(per_text), flat.indices.to_numpy(zero_copy_only=False), words
 
 
 def _finer(word: str, pairs: set[str]) -> list[str]:
@@ -228,10 +228,10 @@ def _slice(number: int, batch: pa.RecordBatch, vocabulary: Vocabulary, buckets:
     some = np.flatnonzero(np.diff(start))
     packed = [pack_words(words[start[b] : start[b + 1]]) for b in some]
     lists = [{"bucket": b, "words": p, "size": n} for b, (p, n) in zip(some.tolist(), packed, strict=True)]
-    place = np.empty(len(words), np.int64)
+    place = np.empty(len(words), np.int32)
     place[order] = np.arange(len(words))
     often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # from frequency's number to word
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.int32)
     rank[often] = np.arange(len(words))
     long = [np.array([i for w in _finer(w.replace(" ", MARK), vocabulary.pairs) for i in vocabulary.viterbi(w)], "<u4") for w in words[start[buckets] :]]
     crc = [zlib.crc32(t) for t in pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()]
