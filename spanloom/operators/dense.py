@@ -73,11 +73,31 @@ def search_arrow(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     return top_n(found, n)
 
 
-def hash_embed(rows: DataFrame, id_col: str, text_col: str, dimension: int = 256) -> DataFrame:
-    """(id, vector): counts of tokens by bucket of their MD5, over their norm; the first axis for texts without tokens."""
+def _bucket_counts(dimension: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("buckets")
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            counts = np.bincount(row * dimension + lists.flatten().to_numpy(zero_copy_only=False), minlength=batch.num_rows * dimension).reshape(batch.num_rows, dimension)
+            counts[size == 0, 0] = 1
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimension), pa.array(counts.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), vectors], names=["id", "counts"])
+
+    return run
+
+
+def hash_counts(rows: DataFrame, id_col: str, text_col: str, dimension: int = 256) -> DataFrame:
+    """(id, vector of whole numbers): counts of tokens by bucket of their MD5; the first axis for texts without tokens.
+
+    Made where the rows are: tokens and buckets by built-in functions, counts on Arrow batches; nothing is shuffled.
+    """
     bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int")
-    buckets = F.transform(tokens(F.col(text_col)), bucket)
-    spread = rows.select(F.col(id_col), F.explode_outer(buckets).alias("bucket")).groupBy(id_col, "bucket").agg(F.count("bucket").cast("double").alias("n"))
-    held = spread.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("bucket", F.lit(0)).alias("k"), F.when(F.col("bucket").isNull(), 1.0).otherwise(F.col("n")).alias("v")))).alias("m"))
-    length = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x * x))
-    return held.withColumn("l", length).select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("l")).alias("vector"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    found = rows.select(F.col(id_col).alias("id"), F.transform(tokens(F.col(text_col)), bucket).alias("buckets"))
+    return found.mapInArrow(_bucket_counts(dimension), f"id {kind}, counts array<int>").select(F.col("id").alias(id_col), F.col("counts").alias("vector"))
+
+
+def hash_embed(rows: DataFrame, id_col: str, text_col: str, dimension: int = 256) -> DataFrame:
+    """(id, vector): hash_counts over their norm."""
+    return hash_counts(rows, id_col, text_col, dimension).select(id_col, unit(F.col("vector")).alias("vector"))

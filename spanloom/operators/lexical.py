@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import tokens
@@ -23,14 +23,61 @@ class Bm25Index:
     stats: DataFrame
 
 
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl) of chunks (chunk_id, text).  A chunk's tokens are counted where it lies: no shuffle."""
+    rows = chunks.select("chunk_id", F.array_sort(tokens(F.col("text"))).alias("sorted")).withColumn("dl", F.size("sorted")).where("dl > 0")
+    # places in the sorted tokens at which another term begins
+    heads = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("sorted", i - 1) != F.get("sorted", i)))
+    counted = F.transform("heads", lambda h, j: F.struct(F.get("sorted", h).alias("term"), (F.coalesce(F.get("heads", j + 1), F.col("dl")) - h).cast("long").alias("tf")))
+    return rows.withColumn("heads", heads).select("chunk_id", "dl", F.explode(counted).alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
+
+
+def stats_of(chunks: DataFrame) -> DataFrame:
+    """One row (n, avgdl); chunks without a token count."""
+    return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
+def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def build(chunks: DataFrame) -> Bm25Index:
     """chunks: (chunk_id, text).  Chunks without a token count in the statistics and have no postings."""
-    sized = chunks.select("chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = df.crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Bm25Index(postings, terms, stats)
+    postings, stats = postings_of(chunks), stats_of(chunks)
+    return Bm25Index(postings, _terms(postings, stats), stats)
+
+
+def write(index: Bm25Index, path: str, parts: int = 16) -> None:
+    """Store an index: postings and terms in folders by a hash of the term, sorted by term, so a query reads few."""
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.postings.select(part, "*").repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    spark = index.postings.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    terms = _terms(stored, spark.read.parquet(f"{path}/stats"))
+    terms.select(part, "*").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def read(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+
+
+def _weight(k1: float, b: float) -> Column:
+    return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
+
+
+def score_stored(index: Bm25Index, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """As score, from a stored index: asked terms bring their part with them, which prunes the postings that are read."""
+    asked = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "idf", "avgdl", *(["part"] if "part" in index.terms.columns else []))
+    hint = F.broadcast if terms.count() <= MOST_TERMS else (lambda df: df)
+    on = [c for c in ("part", "term") if c in asked.columns]
+    return index.postings.join(hint(asked), on).withColumn("part_score", _weight(k1, b)).groupBy("query_id", "chunk_id").agg(F.sum("part_score").alias("score")).where("score > 0")
+
+
+def search_stored(index: Bm25Index, terms: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the n best chunks of each query, from a stored index."""
+    return top_n(score_stored(index, terms, k1, b), n)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -54,8 +101,7 @@ def score(chunks: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = terms.join(idf, "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
-    return postings.join(hint(weighed), "term").withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).where("score > 0")
+    return postings.join(hint(weighed), "term").withColumn("part", _weight(k1, b)).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).where("score > 0")
 
 
 def search(chunks: DataFrame, terms: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

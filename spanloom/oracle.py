@@ -131,6 +131,7 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "eligible_docs": "SELECT d.doc_id, length(text) AS n_chars FROM documents d LEFT JOIN labels l USING (doc_id) WHERE length(text) BETWEEN 500 AND 5000 AND NOT coalesce(l.toxic = 1, false)",
         "first_n_eligible": "SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) BETWEEN 500 AND 5000 ORDER BY doc_id LIMIT 150",
         "extract_body": f"SELECT page_id, coalesce(n_name, '') AS title, md5({_ENTITIES.format(c='CASE WHEN page_id % 2 = 0 THEN ' + chr(39) + 'plain ' + chr(39) + ' || url WHEN ' + _HTML.format(c='html') + ' THEN ' + _STRIP.format(c='html') + ' ELSE html END')}) AS body_md5 FROM pages LEFT JOIN nation ON n_nationkey = page_id",
+        "index_build": _with(*gold, select="SELECT 'chunks' AS store, count(*) AS n FROM chunks UNION ALL SELECT 'postings', count(*) FROM postings UNION ALL SELECT 'terms', count(*) FROM idf UNION ALL SELECT 'vectors', count(*) FROM chunks UNION ALL SELECT 'queries', count(*) FROM queries UNION ALL SELECT 'labels', count(*) FROM labels"),
         "chunks_512_50": _chunk_sql(Chunking(chunk_size=512, chunk_overlap=50)),
         "chunks_256_25": _chunk_sql(Chunking(chunk_size=256, chunk_overlap=25)),
         "chunk_counts": _with(_CHUNKS, select="SELECT doc_id, count(*) AS n, sum(char_end - char_start)::BIGINT AS chars FROM chunks GROUP BY doc_id"),

@@ -11,7 +11,7 @@ from spanloom.plans.config import Chunking, GatePolicy
 
 #: Windows small enough that test documents have several.
 CHUNKING = Chunking(chunk_size=128, chunk_overlap=16)
-ANCHOR = 5
+ANCHOR, MOST_BARE = 5, 1000
 #: Published means at k = 10 of four runs, and the policy they are gated by.
 RUNS = {
     "dense_512": {"recall": 0.777778, "mrr": 0.503082, "ndcg": 0.510907},
@@ -30,19 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def gold_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(item_id, passage, doc_id, text, at): documents that hold a benchmark passage, and its 1-based place.
 
-    A passage's words 2 to 6 (whole words wherever it is pasted) are equi-joined with the documents' runs of five words,
-    then the passage is looked for; only passages of fewer than seven words meet every document.
+    Words of a passage from the second on, but the last, are whole words wherever it is pasted: up to ANCHOR of them are
+    equi-joined with the documents' runs of as many words, then the passage is looked for.  A passage of one or two
+    words has no such run; there may be MOST_BARE of them, which meet every document.
     """
     words = lambda c: F.split(c, r"\s+")
-    b = benchmark.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
-    long = b.where(F.size("w") >= ANCHOR + 2).withColumn("anchor", F.array_join(F.slice("w", 2, ANCHOR), " "))
-    spread = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR)
-    runs = spread.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: F.array_join(F.slice("w", i, ANCHOR), " ")))).alias("anchor"))
-    near = runs.join(F.broadcast(long.select("item_id", "passage", "anchor")), "anchor").select("item_id", "passage", "doc_id").distinct()
-    found = docs.select("doc_id", "text").join(near, "doc_id")
-    short = docs.select("doc_id", "text").crossJoin(F.broadcast(b.where(F.size("w") < ANCHOR + 2).select("item_id", "passage")))
-    both = found.select("item_id", "passage", "doc_id", "text").unionByName(short.select("item_id", "passage", "doc_id", "text"))
-    return both.withColumn("at", F.call_function("locate", F.col("passage"), F.col("text"))).where("at > 0")
+    b = benchmark.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage"))).withColumn("size", F.least(F.lit(ANCHOR), F.size("w") - 2))
+    anchored = b.where("size > 0").withColumn("anchor", F.array_join(F.expr("slice(w, 2, size)"), " ")).select("item_id", "passage", "anchor", "size")
+    sizes = [r["size"] for r in anchored.select("size").distinct().collect()]  # ANCHOR values at most
+    runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))
+    spread = docs.select("doc_id", words(F.col("text")).alias("w"))
+    every = F.concat(F.array().cast("array<string>"), *[runs(n) for n in sizes])
+    near = spread.select("doc_id", F.explode(F.array_distinct(every)).alias("anchor")).join(anchored.drop("size"), "anchor").select("item_id", "passage", "doc_id").distinct()
+    found = docs.select("doc_id", "text").join(near, "doc_id").select("item_id", "passage", "doc_id", "text")
+    bare = b.where("size <= 0").select("item_id", "passage")
+    if (n := bare.count()) > MOST_BARE:
+        raise ValueError(f"{n} passages of one or two words; at most {MOST_BARE} may meet every document")
+    if n:
+        found = found.unionByName(docs.select("doc_id", "text").crossJoin(F.broadcast(bare)).select("item_id", "passage", "doc_id", "text"))
+    return found.withColumn("at", F.call_function("locate", F.col("passage"), F.col("text"))).where("at > 0")
 
 
 def query_id(item: Column) -> Column:

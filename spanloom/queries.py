@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import aggregate, caches, chunking, corpus, dense, fusion, gate, golden, lexical, relevance
 from spanloom.operators.ranking import top_n
-from spanloom.plans import fixtures
+from spanloom.plans import fixtures, prepared
 from spanloom.plans.config import Chunking
-from spanloom.plans.fixtures import CHUNKING, table
+from spanloom.plans.fixtures import table
+from spanloom.sources.scratch import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -36,13 +38,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(_docs(spark, d), CHUNKING)
-
-
-def _golden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q, labels = fixtures.golden_set(_docs(spark, d), table(spark, d, "benchmark"))
-    return q.persist(), labels.persist()
+_chunks, _golden = prepared.chunks, prepared.golden
 
 
 # ---------------------------------------------------------------- corpus
@@ -110,6 +106,15 @@ def extract_body(spark, d):
 # ---------------------------------------------------------------- chunks
 
 
+@query
+def index_build(spark, d):
+    """Rows of each store that retrieval reads; making them is the cost of an index."""
+    c = prepared.corpus(spark, d)
+    stores = {"chunks": c.chunks, "postings": c.bm25.postings, "terms": c.bm25.terms, "vectors": c.vectors, "queries": c.queries, "labels": c.labels}
+    counts = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("store"), "n") for name, f in stores.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _chunk_rows(spark, d, config):
     return chunking.chunks(_docs(spark, d), config).select("doc_id", "chunk_id", "token_start", "token_end", "char_start", "char_end", F.md5("text").alias("text_md5"))
 
@@ -144,19 +149,19 @@ def snippets(spark, d):
 
 @query
 def corpus_stats(spark, d):
-    i = lexical.build(_chunks(spark, d))
+    i = prepared.bm25(spark, d)
     p = i.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("term").alias("n_terms"))
     return i.stats.crossJoin(p).select("n", _r("avgdl"), "n_terms", "n_postings")
 
 
 @query
 def term_df_idf(spark, d):
-    return lexical.build(_chunks(spark, d)).terms.select("term", "df", _r("idf"))
+    return prepared.bm25(spark, d).terms.select("term", "df", _r("idf"))
 
 
 @query
 def postings_tf(spark, d):
-    return lexical.build(_chunks(spark, d)).postings.select("chunk_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
+    return prepared.bm25(spark, d).postings.select("chunk_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
 def _terms(spark, d):
@@ -170,24 +175,24 @@ def query_terms(spark, d):
 
 @query
 def bm25_top10(spark, d):
-    return lexical.search(_chunks(spark, d), _terms(spark, d), TOP_K).select("query_id", "chunk_id", _r("score"), "rank")
+    return lexical.search_stored(prepared.bm25(spark, d), _terms(spark, d), TOP_K).select("query_id", "chunk_id", _r("score"), "rank")
 
 
 @query
 def bm25_b0(spark, d):
-    return lexical.search(_chunks(spark, d), _terms(spark, d), TOP_K, b=0.0).select("query_id", "chunk_id", _r("score"), "rank")
+    return lexical.search_stored(prepared.bm25(spark, d), _terms(spark, d), TOP_K, b=0.0).select("query_id", "chunk_id", _r("score"), "rank")
 
 
 @query
 def bm25_repeat_term(spark, d):
     """Queries with every term twice rank as the plain ones do."""
     doubled = _golden(spark, d)[0].select("query_id", F.concat_ws(" ", "query", "query").alias("query"))
-    return lexical.search(_chunks(spark, d), lexical.query_terms(doubled), TOP_K).select("query_id", "chunk_id", _r("score"), "rank")
+    return lexical.search_stored(prepared.bm25(spark, d), lexical.query_terms(doubled), TOP_K).select("query_id", "chunk_id", _r("score"), "rank")
 
 
 @query
 def bm25_candidates_only(spark, d):
-    return lexical.score(_chunks(spark, d), _terms(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+    return lexical.score_stored(prepared.bm25(spark, d), _terms(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 # ---------------------------------------------------------------- dense
@@ -221,19 +226,15 @@ def dense_arrow_top50(spark, d):
     return dense.search_arrow(_vector_queries(spark, d), _vectors(spark, d), 50).select("query_id", "chunk_id", _r("score"), "rank")
 
 
-def _hashed(spark, d):
-    return dense.hash_embed(_chunks(spark, d), "chunk_id", "text")
-
-
 @query
 def hash_embed_chunks(spark, d):
     v = F.col("vector")
-    return _hashed(spark, d).select("chunk_id", F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("n_buckets"), F.round(F.array_max(v), 6).alias("top"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return prepared.vectors(spark, d).select("chunk_id", dense.unit(v).alias("vector")).select("chunk_id", F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("n_buckets"), F.round(F.array_max(v), 6).alias("top"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def _hash_arm(spark, d, n):
     q = dense.hash_embed(_golden(spark, d)[0], "query_id", "query")
-    return dense.search_arrow(q, _hashed(spark, d), n)
+    return dense.search_arrow(q, prepared.vectors(spark, d), n)
 
 
 @query
@@ -245,7 +246,8 @@ def hash_dense_top10(spark, d):
 
 
 def _arms(spark, d):
-    return _hash_arm(spark, d, ARM_N).persist(), lexical.search(_chunks(spark, d), _terms(spark, d), ARM_N).persist()
+    """Both arms, written once, as fusion, rerank and assembly read them more than once."""
+    return materialise(_hash_arm(spark, d, ARM_N), "arm-dense"), materialise(lexical.search_stored(prepared.bm25(spark, d), _terms(spark, d), ARM_N), "arm-lexical")
 
 
 @query
@@ -264,8 +266,8 @@ def _rerank_scores(ranked):
 
 def _hybrid(spark, d):
     near, words = _arms(spark, d)
-    fused = fusion.reciprocal_rank([near, words]).persist()
-    return near, words, fused, top_n(fused, ARM_N).persist()
+    fused = materialise(fusion.reciprocal_rank([near, words]), "fused")
+    return near, words, fused, top_n(fused, ARM_N)
 
 
 @query
@@ -291,8 +293,8 @@ def rerank_missing_pairs(spark, d):
 
 
 def _results(spark, d):
-    chunks = _chunks(spark, d)
-    return lexical.search(chunks, _terms(spark, d), TOP_K).join(chunks.select("chunk_id", "doc_id", "char_start", "char_end"), "chunk_id").persist()
+    found = lexical.search_stored(prepared.bm25(spark, d), _terms(spark, d), TOP_K)
+    return materialise(prepared.chunks(spark, d).select("chunk_id", "doc_id", "char_start", "char_end").join(found, "chunk_id"), "results")
 
 
 @query
