@@ -53,3 +53,8 @@ def check_store(store: DataFrame, dimension: int, key: str = "key", vector: str
     """One row: rows, keys, sizes of vectors, and whether the store is sound."""
     facts = store.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.min(F.size(vector)).alias("min_dim"), F.max(F.size(vector)).alias("max_dim"))
     return facts.withColumn("sound", (F.col("n_rows") == F.col("n_keys")) & (F.col("min_dim") == dimension) & (F.col("max_dim") == dimension))
+
+
+def score_counts(store: DataFrame) -> DataFrame:
+    """One row (n_queries, pair_count) of rerank scores (query_key, passage_key, score)."""
+    return store.groupBy("query_key").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("pair_count"))

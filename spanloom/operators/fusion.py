@@ -18,13 +18,20 @@ def full_outer_arms(dense: DataFrame, lexical: DataFrame) -> DataFrame:
 
 
 def reciprocal_rank(arms: list[DataFrame], k: int = 60) -> DataFrame:
-    """(query_id, chunk_id, score): the sum over arms of 1 / (k + rank); an arm without the chunk adds nothing."""
+    """(query_id, chunk_id, score): the sum over arms of 1 / (k + rank); an arm without the chunk adds nothing.
+
+    A chunk that one arm has twice is an error.
+    """
     if k < 1 or not arms:
         raise ValueError("fusion takes an arm and k above 0")
     named = [a.select("query_id", "chunk_id", F.struct(F.lit(i).alias("arm"), (1.0 / (k + F.col("rank"))).alias("part")).alias("p")) for i, a in enumerate(arms)]
     # added in the order of the arms, so the sum is the same whatever the shuffle brings first
     parts = F.array_sort(F.collect_list("p"))
-    return reduce(DataFrame.unionByName, named).groupBy("query_id", "chunk_id").agg(parts.alias("parts")).select("query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("score"))
+    grouped = reduce(DataFrame.unionByName, named).groupBy("query_id", "chunk_id").agg(parts.alias("parts"))
+    twice = F.size(F.array_distinct(F.transform("parts", lambda p: p["arm"]))) < F.size("parts")
+    total = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"])
+    refused = F.raise_error(F.concat(F.lit("twice in one arm: "), F.col("query_id").cast("string"), F.lit(" / "), F.col("chunk_id").cast("string"))).cast("double")
+    return grouped.select("query_id", "chunk_id", F.when(twice, refused).otherwise(total).alias("score"))
 
 
 def missing_pairs(ranked: DataFrame, scores: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,30 +16,36 @@ from spanloom.operators.aggregate import CATEGORIES, ORIGINS, counts_with_zero
 MIN_QUOTE, MAX_QUOTE = 20, 600
 MIN_GAIN, MAX_GAIN, RELEVANT = 1, 3, 2
 TARGET_SIZE, MIN_PER_CATEGORY = 100, 12
-MIN_SOURCE_CHARS, WINDOW_CHARS = 2000, 1500
+MIN_SOURCE_CHARS, WINDOW_CHARS, TRIES = 2000, 1500, 20
 ECHO_SHARE, ECHO_RUN = 0.8, 6
 SETTLED = ("accept", "edit", "reject")
 
 
+def _picks(sizes: list[tuple[object, int]], count: int, seed: int, window: int) -> Iterator[tuple[object, int, int]]:
+    """(document, start, end), documents in turn; a passage drawn before is drawn anew; TRIES x count draws at most."""
+    rng, given = random.Random(seed), set()
+    draws = iter(range(TRIES * count))
+    for doc, n in itertools.cycle(sizes):
+        span = min(window, n)
+        fresh = ((doc, start) for _ in draws if (start := rng.randrange(n - span + 1)) is not None)
+        pick = next((p for p in fresh if p not in given), None)
+        if pick is None:
+            return
+        given.add(pick)
+        yield doc, pick[1], pick[1] + span
+
+
 def sample_passages(docs: DataFrame, count: int, seed: int, window: int = WINDOW_CHARS) -> DataFrame:
-    """(passage_id, doc_id, char_start, char_end, text): round-robin over documents long enough, offsets by a seeded generator.
+    """(passage_id, ord, doc_id, char_start, char_end, text): round-robin over documents long enough, offsets by a seeded generator.
 
-    Only ids and lengths of eligible documents, in order, go to the driver, as far as the round needs them.
+    Only ids and lengths of the first eligible documents, one for each passage, go to the driver.  Too few passages are
+    an error.
     """
-    sized = docs.where(F.length("text") >= MIN_SOURCE_CHARS).select("doc_id", F.length("text").alias("n")).orderBy("doc_id").limit(count * 20)
-    found = [(r["doc_id"], r["n"]) for r in sized.collect()]
-    rng, seen, picks, turn = random.Random(seed), set(), [], 0
-    attempts = 0
-    while found and len(picks) < count and attempts < 20 * count:
-        attempts += 1
-        doc, n = found[turn % len(found)]
-        span = min(window, n)
-        start = rng.randrange(0, n - span + 1)
-        if (doc, start) in seen:
-            continue
-        seen.add((doc, start))
-        picks.append((len(picks), doc, start, start + span))
-        turn += 1
+    sized = docs.where(F.length("text") >= MIN_SOURCE_CHARS).select("doc_id", F.length("text").alias("n")).orderBy("doc_id").limit(count)
+    sizes = [(r["doc_id"], r["n"]) for r in sized.collect()]
+    picks = [(i, *p) for i, p in enumerate(itertools.islice(_picks(sizes, count, seed, window), count))] if sizes else []
+    if len(picks) < count:
+        raise ValueError(f"{len(picks)} passages of {count}: the documents hold no more")
     rows = docs.sparkSession.createDataFrame(picks, f"ord int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, char_start int, char_end int")
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(F.format_string("p-%04d", "ord").alias("passage_id"), "ord", "doc_id", "char_start", "char_end", F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"))
 
@@ -68,7 +76,8 @@ def resolve_quotes(rows: DataFrame) -> DataFrame:
 def judge_proposals(proposals: DataFrame) -> DataFrame:
     """proposals (passage_id, ord, doc_id, char_start, text, decline, query, category, spans) with code and labels.
 
-    spans: array<struct<quote, gain>>.  The first check that fails gives the code: declined, no-query, bad-category,
+    spans: array<struct<quote, gain>>.  Columns that a caller of a model may add: request_failed and tool_called (both
+    boolean).  The first check that fails gives the code: request-failed, no-tool-call, declined, no-query, bad-category,
     no-spans, then for each span in turn bad-gain or its quote's code, then duplicate-span; null means a candidate, with
     id ``c-%04d`` by ord (gaps where passages were rejected).
     """
@@ -76,8 +85,11 @@ def judge_proposals(proposals: DataFrame) -> DataFrame:
     per_span = F.transform(spans, lambda s: F.when(s["gain"].isNull() | ~s["gain"].between(MIN_GAIN, MAX_GAIN), "bad-gain").otherwise(quote_code(F.coalesce(s["quote"], F.lit("")), F.col("text"))))
     first = F.get(F.filter(per_span, lambda c: c.isNotNull()), F.lit(0))
     label = lambda s: F.struct(F.col("doc_id").alias("doc_id"), (F.col("char_start") + F.call_function("locate", s["quote"], F.col("text")) - 1).alias("char_start"), (F.col("char_start") + F.call_function("locate", s["quote"], F.col("text")) - 1 + F.length(s["quote"])).alias("char_end"), s["gain"].alias("gain"), s["quote"].alias("quote"))
+    said = lambda c, otherwise: F.coalesce(F.col(c), F.lit(otherwise)) if c in proposals.columns else F.lit(otherwise)
     code = (
-        F.when(F.coalesce("decline", F.lit(False)), "declined")
+        F.when(said("request_failed", False), "request-failed")
+        .when(~said("tool_called", True), "no-tool-call")
+        .when(F.coalesce("decline", F.lit(False)), "declined")
         .when(F.trim(F.coalesce("query", F.lit(""))) == "", "no-query")
         .when(~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)), "bad-category")
         .when(F.size(spans) == 0, "no-spans")
@@ -117,6 +129,13 @@ def echo_warning(rows: DataFrame) -> DataFrame:
     return rows.withColumn("warning", F.nullif(F.concat_ws("; ", much, long), F.lit("")))
 
 
+def pairs_inside(queries: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """The queries all of whose labels lie in docs; a query without labels has none outside, but is not asked for either."""
+    held = docs.select("doc_id").distinct().withColumn("held", F.lit(True))
+    inside = labels.join(held, "doc_id", "left").groupBy("query_id").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("inside")).where("inside")
+    return queries.join(inside.select("query_id"), "query_id", "left_semi")
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The last decision of each subject by seq: later wins, and file order is no part of it."""
     cols = [c for c in log.columns if c != "subject"]

@@ -23,6 +23,18 @@ def top_n(scored: DataFrame, n: int, by: str = "score", keys: tuple[str, ...] =
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
 
 
+class RankingError(ValueError):
+    """A ranking that is none: an id twice, or an id that nothing has."""
+
+
+def checked(scored: DataFrame, keys: tuple[str, ...] = ("query_id", "chunk_id")) -> DataFrame:
+    """A ranking from outside the engine, if it has each of its keys once."""
+    twice = duplicates(scored, keys).limit(5).collect()
+    if twice:
+        raise RankingError("twice in a ranking: " + "; ".join(" / ".join(str(r[k]) for k in keys) for r in twice))
+    return scored
+
+
 def duplicates(scored: DataFrame, keys: tuple[str, ...] = ("query_id", "chunk_id")) -> DataFrame:
     """Keys that a ranking has more than once: a ranking must have none."""
     return scored.groupBy(*keys).count().where("count > 1")

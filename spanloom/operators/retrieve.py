@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import dense, fusion, lexical
-from spanloom.operators.ranking import top_n
+from spanloom.operators.ranking import RankingError, top_n
 from spanloom.plans.config import Retrieval
 
 
@@ -15,6 +17,34 @@ def unresolved(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.select("chunk_id").distinct().join(chunks.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def wiring_problems(chunks: DataFrame, *, vectors: DataFrame | None = None, postings: DataFrame | None = None, dimension: int | None = None) -> DataFrame:
+    """(problem, subject, n): what keeps an index from being served over chunks; no rows where all fits.
+
+    unresolved-vector and unresolved-posting: ids that no chunk has; missing-vector: chunks without one; duplicate-vector;
+    wrong-dimension; empty-corpus.
+    """
+    none = chunks.sparkSession.sql("SELECT 'x' AS problem, 'x' AS subject, 0L AS n LIMIT 0")
+    known = chunks.select("chunk_id")
+    found = [none, known.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("empty-corpus").alias("problem"), F.lit("all").alias("subject"), "n")]
+    per_id = lambda df, problem: df.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(problem).alias("problem"), F.col("chunk_id").cast("string").alias("subject"), "n")
+    if vectors is not None:
+        found += [per_id(vectors.join(known, "chunk_id", "left_anti"), "unresolved-vector"), per_id(known.join(vectors.select("chunk_id"), "chunk_id", "left_anti"), "missing-vector"), per_id(vectors, "duplicate-vector").where("n > 1")]
+        if dimension is not None:
+            found.append(per_id(vectors.where(F.size("vector") != dimension), "wrong-dimension"))
+    if postings is not None:
+        found.append(per_id(postings.join(known, "chunk_id", "left_anti"), "unresolved-posting"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def checked_wiring(config: Retrieval, chunks: DataFrame, vectors: DataFrame, index: lexical.Bm25Index | None = None) -> None:
+    """Raise, with the first problems, unless a configuration can be served over chunks by these indexes."""
+    if (config.mode == "hybrid") != (index is not None):
+        raise RankingError("a hybrid configuration, and only it, has a lexical index")
+    found = wiring_problems(chunks, vectors=vectors, postings=index.postings if index else None, dimension=config.embedding.dimension).limit(5).collect()
+    if found:
+        raise RankingError("; ".join(f"{r['problem']} {r['subject']}" for r in found))
+
+
 def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, rerank_scores: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, dense, lexical, fused, rerank, doc_id, char_start, char_end, text) of all queries.
 
@@ -39,4 +69,6 @@ def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vec
     reranked = fusion.rerank(ranked, rerank_scores, config.reranker.top_n_in, k) if rerank_scores is not None else None
     final = reranked if reranked is not None else ranked.where(F.col("rank") <= k)
     out = fusion.assemble(final, near, words, fused, reranked)
-    return out.join(chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text"), "chunk_id")
+    located = out.join(chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text", F.lit(True).alias("known")), "chunk_id", "left")
+    lost = F.raise_error(F.concat(F.lit("no chunk has the id "), F.col("chunk_id").cast("string"))).cast(located.schema["doc_id"].dataType)
+    return located.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")).otherwise(lost)).drop("known")

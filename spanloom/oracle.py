@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from spanloom.plans import fixtures
 from spanloom.plans.config import Chunking
 
@@ -105,6 +107,22 @@ def _runs() -> str:
     return f"runs(config, ord, metric, base, now, max_drop) AS (VALUES {values}), judged AS (SELECT *, base::DOUBLE - now::DOUBLE AS d, CASE WHEN base::DOUBLE - now::DOUBLE > max_drop::DOUBLE + 1e-9 THEN 'regression' ELSE 'ok' END AS outcome FROM runs)"
 
 
+def _apart(sql: str) -> str:
+    """The same tables with the labelled set under names that leave queries and labels free."""
+    return re.sub(r"\blabels\b", "labels0", re.sub(r"\bqueries\b", "queries0", sql))
+
+
+def _config_ctes() -> str:
+    """metrics of three configurations at once: every id of a query has its configuration before it."""
+    own = """
+configs(config) AS (VALUES ('dense'), ('hybrid'), ('lexical')),
+queries AS (SELECT config || '/' || query_id AS query_id, category, origin FROM queries0, configs),
+labels AS (SELECT config || '/' || query_id AS query_id, doc_id, char_start, char_end, gain FROM labels0, configs),
+rankings AS (SELECT 'dense' AS config, query_id, chunk_id, rank FROM near UNION ALL SELECT 'lexical', query_id, chunk_id, rank FROM lexical UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM ranked),
+results AS (SELECT config || '/' || r.query_id AS query_id, chunk_id, rank, c.doc_id, c.char_start, c.char_end FROM rankings r JOIN chunks c USING (chunk_id) WHERE rank <= 10)"""
+    return ", ".join([_apart(_ARMS), _apart(_FUSED), own, _COVERS, _METRICS, "scores AS (SELECT split_part(query_id, '/', 1) AS config, split_part(query_id, '/', 2) AS query_id, * EXCLUDE (query_id) FROM metrics)"])
+
+
 def _with(*parts: str, select: str) -> str:
     return "WITH " + ", ".join(p.strip().rstrip(",") for p in parts) + " " + select
 
@@ -135,7 +153,7 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "chunks_512_50": _chunk_sql(Chunking(chunk_size=512, chunk_overlap=50)),
         "chunks_256_25": _chunk_sql(Chunking(chunk_size=256, chunk_overlap=25)),
         "chunk_counts": _with(_CHUNKS, select="SELECT doc_id, count(*) AS n, sum(char_end - char_start)::BIGINT AS chars FROM chunks GROUP BY doc_id"),
-        "chunk_invariant_violations": _with(_CHUNKS, select="SELECT c.doc_id, chunk_id FROM chunks c JOIN documents d USING (doc_id) WHERE char_end <= char_start OR token_end <= token_start OR substr(d.text, char_start + 1, char_end - char_start) <> c.text"),
+        "chunk_invariant_violations": _with(_CHUNKS, select="SELECT c.doc_id, chunk_id FROM chunks c JOIN documents d USING (doc_id) WHERE char_end <= char_start OR token_end <= token_start OR substr(d.text, char_start + 1, char_end - char_start) <> c.text OR c.doc_id % 10 IN (1, 2, 3)"),
         "snippets": r"WITH f AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(substr(t, 1, 80)) || '…' END AS snippet FROM f",
         "corpus_stats": _with(_CHUNKS, _INDEX, select="SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(DISTINCT term) FROM postings) AS n_terms, (SELECT count(*) FROM postings) AS n_postings FROM stats"),
         "term_df_idf": _with(_CHUNKS, _INDEX, select="SELECT term, df, round(idf, 6) AS idf FROM idf"),
@@ -160,6 +178,13 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "golden_labels": _with(_GOLD, select="SELECT query_id, doc_id, char_start, char_end, gain, md5(quote) AS quote_md5 FROM labels"),
         "span_cover": _with(_RESULTS, _COVERS, select="SELECT * FROM covers"),
         "query_metrics": _with(*metrics, select="SELECT query_id, category, origin, k, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM metrics"),
+        "config_scores": _with(_config_ctes(), select="SELECT config, query_id, category, origin, k, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM scores"),
+        "config_report": _with(_config_ctes(), "parts AS (UNPIVOT scores ON recall, mrr, ndcg INTO NAME metric VALUE value)", select="SELECT config, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM parts GROUP BY GROUPING SETS ((config, metric, k), (config, category, metric, k), (config, origin, metric, k))"),
+        "query_counts": _with(_GOLD, select="SELECT count(*) AS n_queries, count(*) FILTER (WHERE query_id NOT IN (SELECT query_id FROM labels WHERE gain = 2)) AS n_skipped FROM queries"),
+        "wiring_problems": _with(_CHUNKS, "v AS (SELECT chunk_id, right(chunk_id, 1) AS h FROM chunks)", select="SELECT 'unresolved-vector' AS problem, 'no-' || chunk_id AS subject, 1 AS n FROM v WHERE h = '2' UNION ALL SELECT 'missing-vector', chunk_id, 1 FROM v WHERE h IN ('1', '2') UNION ALL SELECT 'duplicate-vector', chunk_id, 2 FROM v WHERE h = '3'"),
+        "ranking_duplicates": _with(_ARMS, select="SELECT query_id, chunk_id, 2 AS n FROM near JOIN lexical USING (query_id, chunk_id)"),
+        "pairs_inside": _with(_apart(_GOLD), select="SELECT query_id, category FROM queries0 WHERE query_id IN (SELECT query_id FROM labels0 GROUP BY query_id HAVING bool_and(doc_id IN (SELECT doc_id FROM labels)))"),
+        "rerank_counts": _with(_ARMS, _FUSED, select="SELECT count(DISTINCT query_id) AS n_queries, count(*) AS pair_count FROM ranked"),
         "skipped_queries": _with(_GOLD, select="SELECT query_id, category FROM queries WHERE query_id NOT IN (SELECT query_id FROM labels WHERE gain = 2)"),
         "macro_grouping_sets": _with(*metrics, select="SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY GROUPING SETS ((metric, k), (category, metric, k), (origin, metric, k))"),
         "macro_overall": _with(*metrics, select="SELECT metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY metric, k"),
@@ -180,12 +205,12 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "passage_samples": "WITH p AS (SELECT doc_id, text, unnest([0, 1]) AS ord FROM documents WHERE length(text) >= 2000), s AS (SELECT *, ('0x' || substr(md5(doc_id || ':' || ord), 1, 8))::UBIGINT % (length(text) - least(1500, length(text)) + 1) AS char_start, least(1500, length(text)) AS w FROM p) SELECT doc_id, ord, char_start, char_start + w AS char_end, md5(substr(text, (char_start + 1)::BIGINT, w)) AS text_md5 FROM s",
         "resolve_quotes": _with(_QUOTES, select="SELECT doc_id, ord, coalesce(code, 'ok') AS code, CASE WHEN code IS NULL THEN pos - 1 END AS quote_start, CASE WHEN code IS NULL THEN pos - 1 + length(quote) END AS quote_end FROM coded"),
         "quote_rejections": _with(_QUOTES, select="SELECT code, count(*) AS n FROM coded WHERE code IS NOT NULL GROUP BY code"),
-        "proposals_judged": """WITH p AS (SELECT doc_id, doc_id % 7 AS n, text, substr(text, 1, 30) AS q FROM documents),
+        "proposals_judged": """WITH p AS (SELECT doc_id, doc_id % 9 AS n, text, substr(text, 1, 30) AS q FROM documents),
 c AS (SELECT *, CASE WHEN length(q) < 20 THEN 'quote-too-short' WHEN strpos(text, q) = 0 THEN 'quote-not-found' WHEN strpos(substr(text, 2), q) > 0 THEN 'quote-ambiguous' END AS qc FROM p),
-d AS (SELECT *, CASE n WHEN 0 THEN 'declined' WHEN 1 THEN 'no-query' WHEN 2 THEN 'bad-category' WHEN 3 THEN 'no-spans' WHEN 4 THEN 'bad-gain' WHEN 5 THEN coalesce(qc, 'duplicate-span') ELSE qc END AS code FROM c)
+d AS (SELECT *, CASE n WHEN 7 THEN 'request-failed' WHEN 8 THEN 'no-tool-call' WHEN 0 THEN 'declined' WHEN 1 THEN 'no-query' WHEN 2 THEN 'bad-category' WHEN 3 THEN 'no-spans' WHEN 4 THEN 'bad-gain' WHEN 5 THEN coalesce(qc, 'duplicate-span') ELSE qc END AS code FROM c)
 SELECT doc_id, code, CASE WHEN code IS NULL THEN printf('c-%04d', doc_id) END AS candidate_id, CASE WHEN code IS NULL THEN 100 + length(q) END AS char_end FROM d""",
         "echo_overlap": f"WITH b AS (SELECT item_id, list_distinct(list_concat(list_filter({_tok('text')}, lambda x, i: i % 4 = 1), ['zzz', 'yyy'])) AS q, {_tok('text')} AS p FROM benchmark) SELECT item_id, round(len(list_filter(q, lambda x: list_contains(p, x))) / len(q), 6) AS overlap FROM b",
-        "dup_query_fold": r"SELECT md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS folded_md5, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1",
+        "dup_query_fold": r"SELECT md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS folded_md5, count(*) AS n FROM (SELECT text FROM conversations UNION ALL SELECT ' ' || chr(9) || replace(text, ' ', '  ') || chr(10) FROM conversations WHERE role = 'user') GROUP BY 1 HAVING count(*) > 1",
         "distinct_texts": "WITH t AS (SELECT text FROM documents UNION SELECT text FROM benchmark UNION SELECT text FROM conversations) SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM t",
         "cache_misses": "SELECT DISTINCT md5(text) AS key FROM conversations WHERE md5(text) NOT IN (SELECT md5(text) FROM conversations WHERE role = 'user')",
         "cache_fill_report": "SELECT count(*) AS total, count(DISTINCT text) AS \"unique\", count(DISTINCT CASE WHEN length(text) % 2 = 0 THEN text END) AS reused, count(DISTINCT CASE WHEN length(text) % 2 = 1 THEN text END) AS computed FROM conversations",

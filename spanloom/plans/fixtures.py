@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import tokens
 from spanloom.operators.aggregate import CATEGORIES
 from spanloom.plans.config import Chunking, GatePolicy
+from spanloom.sources.scratch import materialise
 
 #: Windows small enough that test documents have several.
 CHUNKING = Chunking(chunk_size=128, chunk_overlap=16)
@@ -57,7 +58,7 @@ def query_id(item: Column) -> Column:
 
 def golden_set(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queries, labels): the whole passage with gain 3, its second half with gain 2 (odd items) or 1."""
-    gold = gold_documents(docs, benchmark)
+    gold = materialise(gold_documents(docs, benchmark), "gold")
     half = F.floor(F.length("passage") / 2).cast("int")
     span = lambda start, end, gain: F.struct(start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), gain.cast("int").alias("gain"))
     at, end = F.col("at") - 1, F.col("at") - 1 + F.length("passage")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import aggregate, caches, chunking, corpus, dense, fusion, gate, golden, lexical, relevance
-from spanloom.operators.ranking import top_n
+from spanloom.operators import aggregate, caches, chunking, corpus, dense, evaluate, fusion, gate, golden, lexical, relevance, retrieve
+from spanloom.operators.ranking import duplicates, top_n
 from spanloom.plans import fixtures, prepared
 from spanloom.plans.config import Chunking
 from spanloom.plans.fixtures import table
@@ -99,7 +99,7 @@ def extract_body(spark, d):
     """Bodies where half of the records have plain text and the rest HTML, left-joined with metadata that some lack."""
     pages = table(spark, d, "pages").select("page_id", "html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("plain "), F.col("url"))).otherwise(F.lit("  ")).alias("plain"))
     meta = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.col("n_name").alias("title"))
-    body = T.decode_basic_entities(F.when(F.trim("plain") != "", F.col("plain")).when(T.looks_like_html(F.col("html")), T.strip_markup(F.col("html"))).otherwise(F.col("html")))
+    body = corpus.extract_body(F.col("plain"), F.col("html"), normalised=False)
     return pages.join(meta, "page_id", "left").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.md5(body).alias("body_md5"))
 
 
@@ -136,7 +136,10 @@ def chunk_counts(spark, d):
 
 @query
 def chunk_invariant_violations(spark, d):
-    return chunking.violations(_chunks(spark, d), _docs(spark, d)).select("doc_id", "chunk_id")
+    """The chunks with faults put into them: ends moved, texts changed, spans emptied."""
+    n, c = F.col("doc_id") % 10, _chunks(spark, d)
+    moved = c.withColumn("char_end", F.col("char_end") + F.when(n == 1, 1).otherwise(0)).withColumn("text", F.when(n == 2, F.concat(F.lit("#"), F.expr("substring(text, 2)"))).otherwise(F.col("text"))).withColumn("token_end", F.when(n == 3, F.col("token_start")).otherwise(F.col("token_end")))
+    return chunking.violations(moved, _docs(spark, d)).select("doc_id", "chunk_id")
 
 
 @query
@@ -349,6 +352,58 @@ def latency_median(spark, d):
     return aggregate.latency_medians(table(spark, d, "events").withColumn("value2", F.col("value") * 2), ("event_type",), ("value", "value2")).select("event_type", _r("value"), _r("value2"))
 
 
+_CONFIGS = ["dense", "hybrid", "lexical"]
+
+
+def _config_scores(spark, d):
+    """Three configurations over one index, each with its own ranking."""
+    near, words, _, ranked = _hybrid(spark, d)
+    arms = {"dense": near, "lexical": words, "hybrid": ranked}
+    ranking = reduce(DataFrame.unionByName, [a.where(F.col("rank") <= TOP_K).select(F.lit(c).alias("config"), "query_id", "chunk_id", "rank") for c, a in arms.items()])
+    located = ranking.join(_chunks(spark, d).select("chunk_id", "doc_id", "char_start", "char_end"), "chunk_id")
+    q, labels = _golden(spark, d)
+    return evaluate.config_scores(located, labels, q, _CONFIGS)
+
+
+@query
+def config_scores(spark, d):
+    return _config_scores(spark, d).select("config", "query_id", "category", "origin", "k", _r("recall"), _r("mrr"), _r("ndcg"))
+
+
+@query
+def config_report(spark, d):
+    return evaluate.report(_config_scores(spark, d)).select("config", "grp_type", "grp", "metric", "k", _r("mean"), "n")
+
+
+@query
+def query_counts(spark, d):
+    """Queries and skipped ones of the set without its full passages."""
+    q, labels = _golden(spark, d)
+    return evaluate.query_counts(labels.where("gain < 3"), q)
+
+
+@query
+def wiring_problems(spark, d):
+    """An index with vectors that are lost, twice there or of no chunk, over the true chunks."""
+    v = prepared.vectors(spark, d).withColumn("n", F.conv(F.substring("chunk_id", 16, 1), 16, 10).cast("int"))
+    wrong = v.where("n <> 1").withColumn("chunk_id", F.when(F.col("n") == 2, F.concat(F.lit("no-"), F.col("chunk_id"))).otherwise(F.col("chunk_id"))).unionByName(v.where("n = 3")).drop("n")
+    return retrieve.wiring_problems(_chunks(spark, d), vectors=wrong, dimension=256)
+
+
+@query
+def ranking_duplicates(spark, d):
+    """Chunks that two arms name, were they taken for one ranking."""
+    near, words = _arms(spark, d)
+    return duplicates(near.select("query_id", "chunk_id").unionByName(words.select("query_id", "chunk_id"))).withColumnRenamed("count", "n")
+
+
+@query
+def pairs_inside(spark, d):
+    """Queries whose labels all lie in documents that the table of labels covers."""
+    q, labels = _golden(spark, d)
+    return golden.pairs_inside(q, labels, table(spark, d, "labels")).select("query_id", "category")
+
+
 # ---------------------------------------------------------------- gate
 
 
@@ -478,10 +533,10 @@ def quote_rejections(spark, d):
 @query
 def proposals_judged(spark, d):
     """Proposals of every kind of fault, by document number."""
-    n = F.col("doc_id") % 7
+    n = F.col("doc_id") % 9
     quote = F.expr("substring(text, 1, 30)")
     spans = F.when(n == 3, F.array().cast("array<struct<quote:string,gain:int>>")).when(n == 4, F.array(F.struct(quote.alias("quote"), F.lit(7).alias("gain")))).when(n == 5, F.array(F.struct(quote.alias("quote"), F.lit(2).alias("gain")), F.struct(quote.alias("quote"), F.lit(3).alias("gain")))).otherwise(F.array(F.struct(quote.alias("quote"), F.lit(2).alias("gain"))))
-    rows = _docs(spark, d).select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("passage_id"), F.col("doc_id").cast("int").alias("ord"), "doc_id", F.lit(100).alias("char_start"), "text", (n == 0).alias("decline"), F.when(n == 1, "  ").otherwise("what").alias("query"), F.when(n == 2, "poetry").otherwise("multi-hop").alias("category"), spans.alias("spans"))
+    rows = _docs(spark, d).select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("passage_id"), F.col("doc_id").cast("int").alias("ord"), "doc_id", F.lit(100).alias("char_start"), "text", (n == 0).alias("decline"), F.when(n == 1, "  ").otherwise("what").alias("query"), F.when(n == 2, "poetry").otherwise("multi-hop").alias("category"), spans.alias("spans"), (n == 7).alias("request_failed"), (n != 8).alias("tool_called"))
     return golden.judge_proposals(rows).select("doc_id", "code", "candidate_id", F.col("labels")[0]["char_end"].cast("long").alias("char_end"))
 
 
@@ -507,8 +562,11 @@ def echo_longest_run(spark, d):
 
 @query
 def dup_query_fold(spark, d):
+    """Texts of a conversation, those of users once more with other blanks around and between words."""
+    c = table(spark, d, "conversations").select("text", "role")
+    again = c.where("role = 'user'").withColumn("text", F.concat(F.lit(" \t"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n")))
     folded = T.fold_query(F.col("text"), unicode_fold=False)
-    return table(spark, d, "conversations").groupBy(F.md5(folded).alias("folded_md5")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return c.unionByName(again).groupBy(F.md5(folded).alias("folded_md5")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query
@@ -524,6 +582,13 @@ def cache_misses(spark, d):
     return caches.misses(asked, store)
 
 
+@query
+def rerank_counts(spark, d):
+    """Queries and pairs of a store of rerank scores."""
+    *_, ranked = _hybrid(spark, d)
+    return caches.score_counts(_rerank_scores(ranked).select(F.col("query_id").alias("query_key"), F.col("chunk_id").alias("passage_key"), "score"))
+
+
 @query
 def cache_fill_report(spark, d):
     asked = table(spark, d, "conversations").select(F.md5("text").alias("key"), F.length("text").cast("long").alias("value"))

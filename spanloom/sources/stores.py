@@ -26,6 +26,11 @@ class StoreError(ValueError):
     """A file that is not what its description says."""
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of one JSON object a line; a line that does not fit the schema is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -123,6 +128,18 @@ def append_decisions(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def append_candidates(rows: DataFrame, path: str) -> None:
+    """Candidates as new files; one whose id was written before is an error, and nothing is written."""
+    spark = rows.sparkSession
+    if not rows.groupBy("candidate_id").count().where("count > 1").isEmpty():
+        raise StoreError("a candidate's id occurs twice")
+    if _exists(spark, path):
+        before = spark.read.schema(rows.select("candidate_id").schema).json(path)
+        if not rows.join(before, "candidate_id", "left_semi").isEmpty():
+            raise StoreError("a candidate of that id was written before")
+    rows.write.mode("append").json(path)
+
+
 def golden_set_hash(pairs: Iterable[dict[str, Any]]) -> str:
     """Identity of a set: what a reviewer's clock says is no part of it."""
     def payload(pair: dict[str, Any]) -> dict[str, Any]:
@@ -166,6 +183,15 @@ def bless(runs: DataFrame, path: str, reason: str, blessed_at: str) -> None:
     runs.withColumn("reason", F.lit(reason)).withColumn("blessed_at", F.lit(blessed_at)).write.mode("overwrite").parquet(path)
 
 
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that were blessed, with reason and time; a baseline without a reason or without runs is an error."""
+    found = spark.read.parquet(path)
+    facts = found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("config_name").alias("names"), F.coalesce(F.bool_and(F.trim("reason") != ""), F.lit(False)).alias("told")).first()
+    if not facts["n"] or facts["n"] != facts["names"] or not facts["told"]:
+        raise StoreError("not a baseline: it has no runs, a name twice, or no reason")
+    return found
+
+
 # ---------------------------------------------------------------- replace-by-key index
 
 
@@ -183,7 +209,6 @@ def read_index(spark: SparkSession, path: str, index_key: str) -> DataFrame:
 
 def loaded_keys(spark: SparkSession, path: str) -> DataFrame:
     """(index_key, n); no rows where nothing was ever loaded."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path):
         return spark.createDataFrame([], "index_key string, n long")
     return spark.read.parquet(path).groupBy("index_key").agg(F.count(F.lit(1)).alias("n"))
