@@ -38,7 +38,7 @@ def wiring_problems(chunks: DataFrame, *, vectors: DataFrame | None = None, post
 
 def checked_wiring(config: Retrieval, chunks: DataFrame, vectors: DataFrame, index: lexical.Bm25Index | None = None) -> None:
     """Raise, with the first problems, unless a configuration can be served over chunks by these indexes."""
-    if (config.mode == "hybrid") != (index is not None):
+    if (config.retrieval_mode == "hybrid") != (index is not None):
         raise RankingError("a hybrid configuration, and only it, has a lexical index")
     found = wiring_problems(chunks, vectors=vectors, postings=index.postings if index else None, dimension=config.embedding.dimension).limit(5).collect()
     if found:

@@ -209,6 +209,11 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
 c AS (SELECT *, CASE WHEN length(q) < 20 THEN 'quote-too-short' WHEN strpos(text, q) = 0 THEN 'quote-not-found' WHEN strpos(substr(text, 2), q) > 0 THEN 'quote-ambiguous' END AS qc FROM p),
 d AS (SELECT *, CASE n WHEN 7 THEN 'request-failed' WHEN 8 THEN 'no-tool-call' WHEN 0 THEN 'declined' WHEN 1 THEN 'no-query' WHEN 2 THEN 'bad-category' WHEN 3 THEN 'no-spans' WHEN 4 THEN 'bad-gain' WHEN 5 THEN coalesce(qc, 'duplicate-span') ELSE qc END AS code FROM c)
 SELECT doc_id, code, CASE WHEN code IS NULL THEN printf('c-%04d', doc_id) END AS candidate_id, CASE WHEN code IS NULL THEN 100 + length(q) END AS char_end FROM d""",
+        "authored_pairs": """WITH p AS (SELECT doc_id, doc_id % 8 AS n, text, substr(text, 1, 30) AS q FROM documents),
+c AS (SELECT *, CASE WHEN length(q) < 20 THEN 'quote-too-short' WHEN strpos(substr(text, 2), q) > 0 THEN 'quote-ambiguous' END AS qc FROM p),
+d AS (SELECT *, CASE n WHEN 1 THEN 'no-query' WHEN 2 THEN 'bad-category' WHEN 3 THEN 'no-spans' WHEN 4 THEN 'unknown-document' WHEN 5 THEN 'bad-gain' WHEN 6 THEN coalesce(qc, 'no-relevant-label') WHEN 7 THEN coalesce(qc, 'duplicate-span') ELSE qc END AS problem FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS form_id, problem, CASE WHEN problem IS NULL THEN length(q) END AS char_end FROM d""",
+        "label_highlights": _with(_GOLD, select="SELECT l.query_id, l.doc_id, md5(substr(d.text, 1, l.char_start) || '{3: ' || substr(d.text, l.char_start + 1, l.char_end - l.char_start) || '}' || substr(d.text, l.char_end + 1)) AS screen_md5 FROM labels l JOIN documents d USING (doc_id) WHERE gain = 3"),
         "echo_overlap": f"WITH b AS (SELECT item_id, list_distinct(list_concat(list_filter({_tok('text')}, lambda x, i: i % 4 = 1), ['zzz', 'yyy'])) AS q, {_tok('text')} AS p FROM benchmark) SELECT item_id, round(len(list_filter(q, lambda x: list_contains(p, x))) / len(q), 6) AS overlap FROM b",
         "dup_query_fold": r"SELECT md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS folded_md5, count(*) AS n FROM (SELECT text FROM conversations UNION ALL SELECT ' ' || chr(9) || replace(text, ' ', '  ') || chr(10) FROM conversations WHERE role = 'user') GROUP BY 1 HAVING count(*) > 1",
         "distinct_texts": "WITH t AS (SELECT text FROM documents UNION SELECT text FROM benchmark UNION SELECT text FROM conversations) SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM t",

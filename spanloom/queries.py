@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import aggregate, caches, chunking, corpus, dense, evaluate, fusion, gate, golden, lexical, relevance, retrieve
+from spanloom.operators import aggregate, authoring, caches, chunking, corpus, dense, evaluate, fusion, gate, golden, lexical, relevance, retrieve
 from spanloom.operators.ranking import duplicates, top_n
 from spanloom.plans import fixtures, prepared
 from spanloom.plans.config import Chunking
@@ -540,6 +540,25 @@ def proposals_judged(spark, d):
     return golden.judge_proposals(rows).select("doc_id", "code", "candidate_id", F.col("labels")[0]["char_end"].cast("long").alias("char_end"))
 
 
+@query
+def authored_pairs(spark, d):
+    """A form for each document, with every kind of fault by document number, parsed and resolved in whole documents."""
+    n = F.col("doc_id") % 8
+    span = F.struct(F.when(n == 4, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.when(n == 5, 7).when(n == 6, 1).otherwise(3).alias("gain"), F.expr("substring(text, 1, 30)").alias("quote"))
+    spans = F.when(n == 3, F.array().cast("array<struct<doc_id:bigint,gain:int,quote:string>>")).when(n == 7, F.array(span, span)).otherwise(F.array(span))
+    forms = _docs(spark, d).select(F.col("doc_id").alias("form_id"), F.to_json(F.struct(F.when(n == 1, " ").otherwise("what").alias("query"), F.when(n == 2, "poetry").otherwise("procedural").alias("category"), spans.alias("spans"))).alias("text"))
+    out = authoring.resolve(authoring.parse(forms), _docs(spark, d).withColumn("char_start", F.lit(0)))
+    return out.select("form_id", "problem", F.col("labels")[0]["char_end"].cast("long").alias("char_end"))
+
+
+@query
+def label_highlights(spark, d):
+    """Documents with the passages of a query marked in them."""
+    _, labels = _golden(spark, d)
+    marked = labels.where("gain = 3").groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("char_start", "char_end", "gain")).alias("labels")).join(_docs(spark, d), "doc_id")
+    return marked.select("query_id", "doc_id", F.md5(authoring.highlight(F.col("text"), F.lit(0), F.col("labels"))).alias("screen_md5"))
+
+
 def _echo_rows(spark, d):
     gold = fixtures.gold_documents(_docs(spark, d), table(spark, d, "benchmark"))
     return golden.echo(gold.select("item_id", "doc_id", F.expr("substring(passage, 1, 120)").alias("query"), F.col("passage").alias("text")))
