@@ -5,6 +5,7 @@ Scratch tables are those of ``spanloom.sources.scratch``: Parquet in the folder
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,16 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker lives on after its task, beside the ones of the next stage."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it decides by itself
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -39,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bound_batches, components, materialise, mix64, sized, sub_batches, word_hashes
+from spanloom.llm.common import bound_batches, components, materialise, mix64, release, sized, sub_batches, word_hashes
 
 WIDTH = 5
 #: Schemes that allow so many differing features emit subsets of two features or more only, where those suffice.
 LARGE = 12
 NUM, DEN = 4, 5  # a similarity of 4/5
 #: Bytes of text of which the signatures make one bucket.
-BUCKET_TEXT = 12 << 20
+BUCKET_TEXT = 8 << 20
 #: Bytes of text whose signatures meet before they are shuffled.
 SLICE_TEXT = 1 << 20
 #: Ids of candidate documents that a broadcast may carry (8 bytes each), and members of a signature in one block.
@@ -54,7 +54,7 @@ MOST_BROADCAST, BLOCK = 500_000, 4096
 #: Rows of the signatures with one smallest member that one task compares.
 DEALT = 2048
 #: Pairs that a task remembers to have named.
-NAMED = 500_000
+NAMED = 200_000
 _HEAD, _LINK, _GROUP = 0, 1, 2
 _ROWS = "kind byte, a long, b long, n long, id long, bucket int, blob binary"
 _U = np.uint64
@@ -192,6 +192,7 @@ def _stars(sign: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Sort (signature, id) pairs, drop repeats: signatures, ids, start of each group, size of each group."""
     order = np.lexsort((ids, sign))
     sign, ids = sign[order], ids[order]
+    del order
     fresh = np.ones(len(sign), bool)
     fresh[1:] = (sign[1:] != sign[:-1]) | (ids[1:] != ids[:-1])
     sign, ids = sign[fresh], ids[fresh]
@@ -280,10 +281,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         if not blobs:
             return
-        parts = [_unpack(x) for x in blobs]
-        key, met, member = (np.concatenate(x) for x in zip(*parts, strict=True))
-        blobs.clear()
-        marked = np.unique(key[met])
+        # blobs go as they are unpacked, and nothing is held twice: this is where a task holds most
+        blobs.reverse()
+        keys, members, marks = [], [], []
+        while blobs:
+            k, met, m = _unpack(blobs.pop())
+            keys.append(k)
+            members.append(m)
+            marks.append(k[met])
+        marked = np.unique(np.concatenate(marks))
+        del marks, k, m, met
+        key = np.concatenate(keys)
+        keys.clear()
+        member = np.concatenate(members)
+        members.clear()
         key, member, start, size = _stars(key, member)
         link = _links(member, start, size)
         if len(link):
@@ -297,17 +308,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, blobs = -1, []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        whole = pa.array(kind != 3)
         if (kind != 3).any():
-            yield batch.filter(whole)
-        signs = batch.filter(pa.array(kind == 3))
-        for bucket, blob in zip(signs.column("bucket").to_pylist(), signs.column("blob").to_pylist(), strict=True):
-            if bucket != at:
+            yield batch.filter(pa.array(kind != 3))
+        buckets, column = batch.column("bucket"), batch.column("blob")
+        for i in np.flatnonzero(kind == 3).tolist():
+            if (bucket := buckets[i].as_py()) != at:
                 yield from flush()
                 at = bucket
-            blobs.append(blob)
+            blobs.append(column[i].as_py())
     yield from flush()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 # ---------------------------------------------------------------- exact check
@@ -516,7 +526,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs, total = sized(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "jaccard-input")
     buckets = max(16, total // BUCKET_TEXT * 4)
     packed = docs.mapInArrow(_scan(buckets), _ROWS)
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket")
+    # a few buckets a task, dealt evenly: a task then fetches and sorts some 10 MB
+    parts = min(max(8, buckets // 4), 50_000)
+    met = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket")
     met = materialise(met, "jaccard", "kind")
     rows = met.where(f"kind = {_HEAD}").select("a", "n", "id", F.col("blob").alias("sketch"))
     heads = materialise(rows.where("n > 0").groupBy("a").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-heads")

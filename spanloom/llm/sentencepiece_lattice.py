@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bucketed, from_bytes, gathered, sized, text_bytes
+from spanloom.llm.common import bucketed, from_bytes, gathered, release, sized, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -248,6 +248,7 @@ def _cut(vocabulary: Vocabulary, buckets: int, size: int):
         part = TaskContext.get().partitionId()
         for place, batch in enumerate(gathered(batches, "text", size)):
             yield _slice(part << 24 | place, batch, vocabulary, buckets)
+            release()
 
     return run
 
@@ -315,6 +316,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def _answer(listed: pa.Table, known: pa.Table) -> pa.Table:
     """Paths of the words that each slice listed in a bucket: numbers of pieces and pieces, packed."""
+    release()
     blobs, raws = listed.column("words").to_pylist(), listed.column("size").to_pylist()
     words = _distinct(blobs, raws)
     known = known.combine_chunks().sort_by("number")
@@ -341,6 +343,7 @@ def _spell(vocabulary: Vocabulary):
 
     def run(docs: pa.Table, paths: pa.Table) -> pa.Table:
         """A slice's documents, as its row has them, and the paths of its words by bucket."""
+        release()  # what the slice before has left
         order = np.argsort(paths.column("bucket").to_numpy(), kind="stable")
         columns = [paths.column(c).to_pylist() for c in ("sizes", "n", "ids", "raw")]
         sizes = [np.frombuffer(pa.decompress(columns[0][i], columns[1][i], "zstd", asbytes=True), "<u2") for i in order]
