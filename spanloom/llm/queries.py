@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, toxicity, url_filter, warc
+from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, token_pack, toxicity, url_filter, warc
 from spanloom.llm.common import table
 
 
@@ -58,8 +59,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op13_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing, op13_token_pack)}
 
 
 _OP1 = """
