@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, token_pack, toxicity, url_filter, warc
+from spanloom.llm import exact_dedup, merkle, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, token_pack, toxicity, url_filter, warc
 from spanloom.llm.common import table
 
 
@@ -59,12 +59,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.build(table(spark, sf_dir, "documents")))
+
+
 def op13_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing, op13_token_pack)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing, op12_merkle, op13_token_pack)}
 
 
 _OP1 = """
@@ -109,5 +113,39 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT
 """
 
 
+_OP12 = """
+WITH RECURSIVE bits AS (SELECT doc_id, source, text, lang, n_chars, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295) AS crc FROM documents),
+f AS (SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+  text, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM bits),
+leaves AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS tampered FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes(source, level, pos, hash) AS (
+  SELECT source, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY source, level) AS n FROM nodes) WHERE n > 1 GROUP BY source, level, pos // 3),
+subroots AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, max_by(hash, level) AS subroot, max(level) AS height FROM nodes GROUP BY source),
+tops(level, pos, hash) AS (
+  SELECT 0, pos, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(hash, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM tops) WHERE n > 1 GROUP BY level, pos // 3),
+root AS (SELECT max_by(hash, level) AS root, max(level) AS height FROM tops),
+runs AS (SELECT source, level, pos // 3 AS run, list(hash ORDER BY pos) AS hashes FROM nodes GROUP BY ALL),
+top_runs AS (SELECT level, pos // 3 AS run, list(hash ORDER BY pos) AS hashes FROM tops GROUP BY ALL),
+walk(doc_id, source, leaf, tampered, pos, level, siblings, node) AS (
+  SELECT doc_id, source, leaf, tampered, pos, 0, '', tampered FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.source, leaf, tampered, w.pos // 3, w.level + 1,
+    siblings || array_to_string(hashes[:w.pos % 3] || hashes[w.pos % 3 + 2:], ''), sha256(array_to_string(hashes[:w.pos % 3] || [node] || hashes[w.pos % 3 + 2:], ''))
+  FROM walk w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source JOIN runs r ON w.source IS NOT DISTINCT FROM r.source AND w.level = r.level AND w.pos // 3 = r.run WHERE w.level < s.height),
+climb(doc_id, source, leaf, subroot, pos, level, siblings, node) AS (
+  SELECT doc_id, w.source, leaf, subroot, s.pos, 0, siblings, node FROM walk w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source AND w.level = s.height
+  UNION ALL
+  SELECT doc_id, source, leaf, subroot, c.pos // 3, c.level + 1,
+    siblings || array_to_string(hashes[:c.pos % 3] || hashes[c.pos % 3 + 2:], ''), sha256(array_to_string(hashes[:c.pos % 3] || [node] || hashes[c.pos % 3 + 2:], ''))
+  FROM climb c CROSS JOIN root JOIN top_runs r ON c.level = r.level AND c.pos // 3 = r.run WHERE c.level < root.height)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, node AS folded_root, node = root AS verified FROM climb CROSS JOIN root WHERE level = root.height
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_ngram_jaccard": _OP2, "op4_warc": _OP4, "op9_exact_dedup": _OP9}
+    return {"op1_url_filter": _OP1, "op2_ngram_jaccard": _OP2, "op4_warc": _OP4, "op9_exact_dedup": _OP9, "op12_merkle": _OP12}

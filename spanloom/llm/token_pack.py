@@ -417,7 +417,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame, ids: bool = True) -
 
 
 def _fetching(folder: str):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         shard = Shard(f"{folder.rstrip('/')}/{key[0].as_py()}")
         d = table.to_pydict()
         lists = [shard.ids(a, b).astype("<i4") for a, b in zip(d["low"], d["high"], strict=True)]
