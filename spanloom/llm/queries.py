@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, merkle, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, token_pack, toxicity, url_filter, warc
+from spanloom.llm import exact_dedup, merkle, mixing, mpegts, partenum, pii, sentencepiece_lattice, sharding, token_pack, toxicity, tput, url_filter, warc
 from spanloom.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.build(table(spark, sf_dir, "documents")))
 
@@ -68,7 +72,7 @@ def op13_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing, op12_merkle, op13_token_pack)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_jaccard, op3_mpeg_ts, op4_warc, op5_pii, op6_kd_sharding, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_mixing, op11_tput, op12_merkle, op13_token_pack)}
 
 
 _OP1 = """
@@ -113,6 +117,19 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT
 """
 
 
+_OP11 = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY ALL),
+facts AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(N) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs CROSS JOIN facts SEMI JOIN asked USING (term) GROUP BY term),
+impacts AS (SELECT term, doc_id, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * l.n * f.N) // f.L))) AS c FROM tfs JOIN lengths l USING (doc_id) CROSS JOIN facts f SEMI JOIN asked USING (term)),
+scores AS (SELECT item_id, doc_id, CAST(sum(qtf * w * c) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 _OP12 = """
 WITH RECURSIVE bits AS (SELECT doc_id, source, text, lang, n_chars, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295) AS crc FROM documents),
 f AS (SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
@@ -148,4 +165,4 @@ SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, node AS fo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op2_ngram_jaccard": _OP2, "op4_warc": _OP4, "op9_exact_dedup": _OP9, "op12_merkle": _OP12}
+    return {"op1_url_filter": _OP1, "op2_ngram_jaccard": _OP2, "op4_warc": _OP4, "op9_exact_dedup": _OP9, "op11_tput": _OP11, "op12_merkle": _OP12}
