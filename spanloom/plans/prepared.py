@@ -1,7 +1,8 @@
-"""What retrieval reads again and again, made once for each set of tables and session: chunks, index, vectors, labels.
+"""What retrieval reads again and again, made once for each state of the tables and session: chunks, index, vectors, labels.
 
 The stores are Parquet in the shared scratch folder, as a deployment would keep them in a lake; a query then reads the
-columns and parts that it needs, and neither cuts nor tokenises the corpus.
+columns and parts that it needs, and neither cuts nor tokenises the corpus.  A store is made anew when a file of the tables it
+comes from has changed, and after scratch was cleaned up.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.operators import chunking, dense, lexical
 from spanloom.plans import fixtures
 from spanloom.plans.config import Chunking
+from spanloom.sources import scratch
 from spanloom.sources.scratch import materialise, scratch_dir
 
 
@@ -27,19 +29,21 @@ class Corpus:
     labels: DataFrame
 
 
-_READY: dict[tuple[str, str, str], object] = {}
+_READY: dict[tuple[str, str, str], tuple[object, object]] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make):
+def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make):
+    """What ``make`` makes of tables, kept while neither their files nor the scratch folder have changed."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _READY:
-        _READY[key] = make()
-    return _READY[key]
+    state = (scratch.generation(spark), tuple(scratch.stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if _READY.get(key, (None,))[0] != state:
+        _READY[key] = (state, make())
+    return _READY[key][1]
 
 
 def chunks(spark: SparkSession, sf_dir: str, config: Chunking = fixtures.CHUNKING) -> DataFrame:
     docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _once(spark, sf_dir, f"chunks-{config.hash}", lambda: materialise(chunking.chunks(docs, config), "chunks"))
+    return _once(spark, sf_dir, f"chunks-{config.hash}", ("documents",), lambda: materialise(chunking.chunks(docs, config), "chunks"))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
@@ -48,11 +52,11 @@ def bm25(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
         lexical.write(lexical.build(chunks(spark, sf_dir)), path)
         return lexical.read(spark, path)
 
-    return _once(spark, sf_dir, "bm25", make)
+    return _once(spark, sf_dir, "bm25", ("documents",), make)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "vectors", lambda: materialise(dense.hash_counts(chunks(spark, sf_dir), "chunk_id", "text"), "vectors"))
+    return _once(spark, sf_dir, "vectors", ("documents",), lambda: materialise(dense.hash_counts(chunks(spark, sf_dir), "chunk_id", "text"), "vectors"))
 
 
 def golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +67,7 @@ def golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         queries, labels = fixtures.golden_set(docs, fixtures.table(spark, sf_dir, "benchmark"))
         return materialise(queries, "golden-queries"), materialise(labels, "golden-labels")
 
-    return _once(spark, sf_dir, "golden", make)
+    return _once(spark, sf_dir, "golden", ("documents", "benchmark"), make)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
