@@ -10,12 +10,14 @@ that scores are looked up in.  Posting lists (term, c, row, doc_id) come from it
 a term lies in few files, the best of a list come first, and a very frequent term takes many ranges.  An index made for
 given queries holds their terms only, a filter within the scan; one made without holds all.
 
-Search.  (1) The ``head`` best of every list are fetched; sums over them bound scores from below, and the k-th of these sums is tau
-of a query.  (2) A document that beats tau has a posting of at least tau / lists in one list: every list gives up its postings of
-at least that, once for all queries that want it, to the slice of their document, where each query's sums are made.  A list
-that a document was not met in can add less than the threshold, and no more than the list's best, so a document has a
-bound from above too; with the k-th sum over all slices as new tau most are out.  (3) Exact scores of candidates whose bounds differ are
-looked up in the store of documents, and the k best by (score down, doc_id up) are the answer, the same as of full scoring.
+Search.  (1) The ``head`` best of every list are fetched; sums over them bound scores from below.  The PROBED * k documents with the
+best sums are looked up, which lifts their bounds to their scores: the k-th of these is tau of a query.  (2) Every list gives
+up its postings of at least EASE * tau / lists, one threshold for all lists of a query, once for all queries that want it,
+to the slice of their document, where each query's sums are made.  A list that a document was not met in can add less than
+the threshold, and no more than the list's best, so a document has a bound from above too, and is out where that is
+below tau; a document met in no list cannot reach it, as EASE is below 1, and so there is room for documents met in a few
+to be out too.  (3) Exact scores of candidates whose bounds differ are looked up in the store of documents, and the k best
+by (score down, doc_id up) are the answer, the same as of full scoring.
 
 Queries go in blocks of about BLOCK_TERMS (query, term) rows, the only ones that a task holds; slices have about SLICE_POSTINGS
 postings and are dealt by a hash of the row, so neither grows with the data.
@@ -43,6 +45,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Best postings of a list that phase 1 fetches (at least k).
 HEAD = 100
+#: Documents for each of the k that phase 1 looks up, and the share of tau / lists that is the threshold (1 at most).
+PROBED, EASE = 10, 0.5
 #: (query, term) rows of a block of queries, and postings of a slice and of a range of the sort.
 BLOCK_TERMS, SLICE_POSTINGS, RANGE_POSTINGS = 50_000, 1 << 20, 2 << 20
 #: Asked terms up to this many filter the scan; with more, all terms are indexed.
@@ -153,6 +157,12 @@ def _kth(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
     return ranked.groupBy("item_id").agg(F.coalesce(F.max(F.when(F.col("rank") == k, F.col(value))), F.lit(0)).alias(name))
 
 
+def _exact(index: Index, q: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, row, doc_id, score) of asked (item_id, row), from the store of documents."""
+    looked = _spread(index.docs.join(asked, "row"), index.n_docs, index.n_terms, "item_id")
+    return looked.join(q, ["item_id", "term"]).groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("qtf") * F.col("w") * F.col("c")).alias("score"))
+
+
 @dataclass(frozen=True)
 class _Block:
     """Queries of a block, as arrays: query i has the lists begin[i] to begin[i + 1] of (term, weight, bound)."""
@@ -220,7 +230,7 @@ def _search_block(index: Index, rows: DataFrame, k: int) -> DataFrame:
     lists = np.bincount(item, minlength=len(names))
     begin = np.concatenate([[0], np.cumsum(lists)])
     tau = np.array([held[b]["tau"] for b in begin[:-1]], np.int64)
-    threshold = np.maximum(1, -(-tau // np.maximum(1, lists)))
+    threshold = np.maximum(1, np.ceil(tau * (EASE / np.maximum(1, lists))).astype(np.int64))
     weight = np.array([r["qtf"] * r["w"] for r in held], np.int64)
     best = weight * np.array([r["top"] for r in held], np.int64)
     block = _Block(begin, np.array([terms[r["term"]] for r in held], np.int64), weight, np.minimum(best, threshold[item] - 1), threshold, tau, k)
@@ -245,8 +255,9 @@ def search(index: Index, queries: DataFrame, k: int = 10, head: int = HEAD) -> D
     lists = index.postings.join(q.select("term").distinct(), "term", "left_semi")
     heads = materialise(_best(lists, "term", [F.col("c").desc(), F.col("row")], max(k, head)).select("term", "c", "row", "rank"), "tput-heads")
     sums = q.join(heads, "term").groupBy("item_id", "row").agg(F.sum(F.col("qtf") * F.col("w") * F.col("c")).alias("lower"))
+    probed = materialise(_best(sums, "item_id", [F.col("lower").desc(), F.col("row")], k * PROBED).select("item_id", "row"), "tput-probed")
     tops = heads.where("rank = 1").select("term", F.col("c").alias("top"))
-    known = q.join(tops, "term").join(_kth(sums, "lower", k, "tau"), "item_id")
+    known = q.join(tops, "term").join(_kth(_exact(index, q, probed), "score", k, "tau"), "item_id")
     blocks = max(1, -(-q.count() // BLOCK_TERMS))
     known = materialise(known.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "tput-bounds")
     # 2. postings over the thresholds, block by block
@@ -256,9 +267,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, head: int = HEAD) -> D
         left = some if left is None else left.unionByName(some)
     # 3. scores of those whose bounds differ
     open_ = left.where("lower < upper").select("item_id", "row")
-    looked = _spread(index.docs.join(open_, "row"), index.n_docs, index.n_terms, "item_id")
-    exact = looked.join(q, ["item_id", "term"]).groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("qtf") * F.col("w") * F.col("c")).alias("score"))
-    scored = left.where("lower = upper").select("item_id", "row", "doc_id", F.col("lower").alias("score")).unionByName(exact)
+    scored = left.where("lower = upper").select("item_id", "row", "doc_id", F.col("lower").alias("score")).unionByName(_exact(index, q, open_))
     ranked = _best(scored, "item_id", [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row")], k)
     return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
