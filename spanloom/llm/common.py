@@ -51,6 +51,7 @@ def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, tag)
     name = path.rpartition("/")[2].replace("-", "_")
+    scratch.note_table(spark, name)
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bound_batches, components, materialise, mix64, release, sized, sub_batches, word_hashes
+from spanloom.llm.common import SPACE, bound_batches, components, materialise, mix64, release, sized, sub_batches, unused, word_hashes
 
 WIDTH = 5
 #: Schemes that allow so many differing features emit subsets of two features or more only, where those suffice.
@@ -213,7 +213,7 @@ def _rows(kind: int, a, b=None, n=None, id=None, bucket=None, blob=None) -> pa.R
     size = len(a)
     fill = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, kind), pa.int8()), fill(a, pa.int64()), fill(b, pa.int64()), fill(n, pa.int64()), id if isinstance(id, pa.Array) else fill(id, pa.int64()), fill(bucket, pa.int32()), fill(blob, pa.binary())],
+        [pa.array(np.full(size, kind), pa.int8()), fill(a, pa.int64()), b if isinstance(b, pa.Array) else fill(b, pa.int64()), fill(n, pa.int64()), id if isinstance(id, pa.Array) else fill(id, pa.int64()), fill(bucket, pa.int32()), fill(blob, pa.binary())],
         names=["kind", "a", "b", "n", "id", "bucket", "blob"],
     )
 
@@ -227,7 +227,7 @@ def _scan(buckets: int):
             ids = set_ids(sizes, features)
             ends = np.cumsum(sizes)
             sketches = [sketch(features[e - n : e], 2).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield _rows(_HEAD, ids, n=sizes, id=batch.column("doc_id"), bucket=-1 - np.abs(ids % buckets), blob=sketches)
+            yield _rows(_HEAD, ids, b=batch.column("mark"), n=sizes, id=batch.column("doc_id"), bucket=-1 - np.abs(ids % buckets), blob=sketches)
             _, once = np.unique(ids, return_index=True)  # equal sets of the slice sign once
             kept = np.zeros(len(sizes), bool)
             kept[once] = True
@@ -250,10 +250,12 @@ def _scan(buckets: int):
 
 def _pack(key: np.ndarray, member: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
     """One row a bucket: sets (8 bytes each), signatures of each (a count), and the signatures (5 bytes each)."""
+    if not len(key):
+        return _rows(3, np.zeros(0, np.int64), bucket=np.zeros(0, np.int64), blob=[])  # a slice of texts without words
     order = np.lexsort((member, key >> 39))
     key, member, met = key[order], member[order], met[order]
     bucket = key >> 39
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     value = (((key & ((1 << 39) - 1)) << 1) | met).astype("<u8")
     low, top = value.astype("<u4"), (value >> _U(32)).astype(np.uint8)
     blobs = []
@@ -361,7 +363,8 @@ def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, many: bool = F
     asked = materialise(ids, "jaccard-asked")
     asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
     found = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = materialise(found.select("text").mapInArrow(_candidate_sets, "a long, features binary"), "jaccard-sets")
+    # rows that repeat, or that have no doc_id, make a set more than once; a pair needs it once
+    sets = materialise(found.select("text").mapInArrow(_candidate_sets, "a long, features binary").dropDuplicates(["a"]), "jaccard-sets")
     if many:
         pairs = materialise(_likely(pairs, sets.mapInArrow(_sketch_rows, "a long, n long, sketch binary")), "jaccard-pairs")
     one = sets.withColumnRenamed("features", "fa")
@@ -520,17 +523,17 @@ def _cross_pairs(group: DataFrame, sketches: DataFrame, top: int) -> DataFrame:
     return dealt.repartition("low", "share", "i", "j").sortWithinPartitions("low", "g", "i", "j").drop("low", "share").mapInArrow(_near(top), "pair boolean, a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs."""
-    bound_batches(docs.sparkSession)
-    docs, total = sized(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "jaccard-input")
-    buckets = max(16, total // BUCKET_TEXT * 4)
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (a, n, id, mark), the set, size, doc_id and hash of the text of every row of docs (doc_id, text, mark), and
+    sets (a, c, id): the component and the smallest doc_id of every set that is not empty."""
+    docs, total = sized(docs, "jaccard-input")
+    buckets = min(max(16, total // BUCKET_TEXT * 4), 1 << 24)  # a bucket's number has 24 bits
     packed = docs.mapInArrow(_scan(buckets), _ROWS)
     # a few buckets a task, dealt evenly: a task then fetches and sorts some 10 MB
     parts = min(max(8, buckets // 4), 50_000)
     met = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket")
     met = materialise(met, "jaccard", "kind")
-    rows = met.where(f"kind = {_HEAD}").select("a", "n", "id", F.col("blob").alias("sketch"))
+    rows = met.where(f"kind = {_HEAD}").select("a", "n", "id", F.col("b").alias("mark"), F.col("blob").alias("sketch"))
     heads = materialise(rows.where("n > 0").groupBy("a").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-heads")
     rows = rows.drop("sketch")
     star = materialise(met.where(f"kind = {_LINK}").select("a", "b").distinct(), "jaccard-star")
@@ -558,8 +561,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             links = links.unionByName(more)
             parts = materialise(components(links, "jaccard-components"), "jaccard-parts")
 
-    # the smallest doc_id of a component names it
     named = heads.join(parts.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("component", "a").alias("c"), "id")
+    return rows, named
+
+
+def _narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs."""
+    bound_batches(docs.sparkSession)
+    rows, named = _grouped(_narrow(docs, id_col, text_col))
+    # the smallest doc_id of a component names it
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     labels = named.join(least, "c").select("a", "component_id")
     return rows.where("n > 0").join(labels, "a").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").unionByName(
@@ -568,10 +582,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without their near copies: the smallest doc_id of each component stays, with all its columns.
+    """Documents without their near copies: one row of each component stays, with all its columns.
 
-    Rows without doc_id stay (they cannot be told apart); rows that repeat a doc_id stay together.
+    It is a row of the smallest doc_id (null last), of several texts of that doc_id one by a fixed rule; rows alike in
+    doc_id and text (told apart by 64 bits of a hash) count as one.  So a row stays or goes by its own text, whatever
+    else its doc_id stands on.  Rows without words are linked with nothing: all stay.
     """
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    bound_batches(docs.sparkSession)
+    own = unused(docs, "jaccard_row")
+    key = lambda doc_id, mark: F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), mark.cast("string"))
+    rows, named = _grouped(_narrow(docs))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "mark")).alias("w")
+    stays = rows.where("n > 0").join(named.select("a", "c"), "a").groupBy("c").agg(first).select(key(F.col("w.id"), F.col("w.mark")).alias(own))
+    worded = F.coalesce(F.col("text").rlike(f"[^{SPACE}]"), F.lit(False))
+    some = docs.where(worded).withColumn(own, key(F.col("doc_id"), F.xxhash64("text"))).join(stays, own, "left_semi").dropDuplicates([own]).drop(own)
+    return some.unionByName(docs.where(~worded))

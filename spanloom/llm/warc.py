@@ -10,6 +10,10 @@ payload of at least MIN_REVISIT bytes that other pages have too is stored once,
 revisit records that refer to it.  Files are written under a task-attempt's own name and put in place by a rename, and
 readers use the list of files the successful tasks returned, so a retried task leaves no double records.
 
+A header or block that ends before its length, a body that ends before its coding does, and a payload that is not
+its record's digest (where the digest is a hex SHA-1 of the whole payload, as written here) are errors that name the
+archive and the place: a cut archive never gives fewer or shorter records in silence.
+
 Files go through pyarrow's file systems by URI: local and shared folders, HDFS, object stores.
 
 Defined cases: null html is an empty payload, a response; payloads of any length are kept whole; a null URL writes an
@@ -83,17 +87,43 @@ def decode_payload(block: bytes) -> bytes:
     if not block.startswith(b"HTTP/"):
         return block
     head, _, body = block.partition(b"\r\n\r\n")
-    coding = parse_headers(head.partition(b"\r\n")[2]).get("content-encoding", "identity").lower()
-    if coding in ("deflate", "gzip", "x-gzip"):
-        return zlib.decompressobj(47).decompress(body)
+    headers = parse_headers(head.partition(b"\r\n")[2])
+    if headers.get("transfer-encoding", "").lower() == "chunked":
+        body = _joined_chunks(body)
+    if headers.get("content-encoding", "identity").lower() in ("deflate", "gzip", "x-gzip"):
+        coded = zlib.decompressobj(47)
+        try:
+            body = coded.decompress(body)
+        except zlib.error as e:
+            raise ValueError(f"the body is not what its coding says: {e}") from e
+        if not coded.eof:
+            raise ValueError("the body ends before its coding does")
     return body
 
 
+def _joined_chunks(body: bytes) -> bytes:
+    """A body in chunks as one; as it is where crawlers have joined them already."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not size or any(c not in b"0123456789abcdefABCDEF" for c in size):
+            return body
+        at = end + 2 + int(size, 16)
+        if at > len(body):
+            return body
+        if not int(size, 16):
+            return b"".join(out)
+        out.append(body[end + 2 : at])
+        at += 2
+
+
 class _Stream:
-    """A buffered reader over a (possibly gzipped) archive that can skip."""
+    """A buffered reader over a (possibly gzipped) archive that can skip; what ends too early is an error."""
 
     def __init__(self, handle, gz: bool) -> None:
         self.raw, self.gz = handle, gz
+        self.size = None if gz else handle.size()
         self.buffer, self.at, self.start = b"", 0, 0
 
     def _more(self) -> bool:
@@ -104,6 +134,8 @@ class _Stream:
     def until(self, mark: bytes) -> bytes | None:
         while (end := self.buffer.find(mark, self.at)) < 0:
             if not self._more():
+                if self.buffer[self.at :].strip(b"\r\n"):
+                    raise ValueError("the archive ends within a header")
                 return None
         out, self.at = self.buffer[self.at : end], end + len(mark)
         return out
@@ -116,6 +148,8 @@ class _Stream:
             out.append(self.buffer[self.at : self.at + left])
             self.at += len(out[-1])
             left -= len(out[-1])
+        if left:
+            raise ValueError(f"the archive ends {left} bytes before a block does")
         return b"".join(out)
 
     def skip(self, n: int) -> None:
@@ -127,8 +161,12 @@ class _Stream:
             while n > 0 and self._more():
                 inside = min(n, len(self.buffer) - self.at)
                 self.at, n = self.at + inside, n - inside
+            if n > 0:
+                raise ValueError(f"the archive ends {n} bytes before a block does")
         else:
             where = self.start + self.at + n
+            if where > self.size:
+                raise ValueError(f"the archive ends {where - self.size} bytes before a block does")
             self.raw.seek(where)
             self.buffer, self.at, self.start = b"", 0, where
 
@@ -139,32 +177,38 @@ class _Stream:
 
 def read_records(handle, tests: list, with_payload: bool, gz: bool = False, name: str = "") -> Iterator[tuple]:
     """Records of one open archive as tuples in the order of SCHEMA, headers tested before blocks are decoded."""
-    s = _Stream(handle, gz)
-    while True:
-        offset = s.offset
-        head = s.until(b"\r\n\r\n")
-        if head is None:
-            return
-        head = head.lstrip(b"\r\n")
-        if not head.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {offset} of {name}")
-        h = parse_headers(head.partition(b"\r\n")[2])
-        length = int(h.get("content-length", 0))
-        uri, digest = h.get("warc-target-uri"), h.get("warc-payload-digest")
-        values = {
-            "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": uri, "warc_date": h.get("warc-date"), "page_id": _page_of(h.get("warc-record-id")),
-            "payload_bytes": int(h["warc-payload-length"]) if "warc-payload-length" in h else None, "payload_digest": digest.rpartition(":")[2] if digest else None,
-            "refers_to": _page_of(h.get("warc-refers-to")), "content_length": length,
-        }
-        wanted = all(test(values.get(c)) for c, test in tests)
-        payload = None
-        if wanted and with_payload:
-            payload = decode_payload(s.take(length))
-        else:
-            s.skip(length)
-        s.skip(4)
-        if wanted:
-            yield (*values.values(), name, offset, payload)
+    s, offset = _Stream(handle, gz), 0
+    try:
+        while True:
+            offset = s.offset
+            head = s.until(b"\r\n\r\n")
+            if head is None:
+                return
+            head = head.lstrip(b"\r\n")
+            if not head.startswith(b"WARC/"):
+                raise ValueError("no WARC record")
+            h = parse_headers(head.partition(b"\r\n")[2])
+            length = int(h.get("content-length", 0))
+            uri, digest = h.get("warc-target-uri"), h.get("warc-payload-digest")
+            values = {
+                "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": uri, "warc_date": h.get("warc-date"), "page_id": _page_of(h.get("warc-record-id")),
+                "payload_bytes": int(h["warc-payload-length"]) if "warc-payload-length" in h else None, "payload_digest": digest.rpartition(":")[2] if digest else None,
+                "refers_to": _page_of(h.get("warc-refers-to")), "content_length": length,
+            }
+            wanted = all(test(values.get(c)) for c, test in tests)
+            payload = None
+            if wanted and with_payload:
+                payload = decode_payload(s.take(length))
+                own = values["record_type"] == "response" and values["payload_bytes"] is not None and digest and len(values["payload_digest"]) == 40
+                if own and (len(payload) != values["payload_bytes"] or hashlib.sha1(payload).hexdigest() != values["payload_digest"]):
+                    raise ValueError("the payload is not that of its digest")
+            else:
+                s.skip(length)
+            s.skip(4)
+            if wanted:
+                yield (*values.values(), name, offset, payload)
+    except (ValueError, EOFError, OSError, zlib.error) as e:
+        raise ValueError(f"{name}, record at {offset}: {e}") from e
 
 
 class _File(InputPartition):

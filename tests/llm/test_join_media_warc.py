@@ -1,9 +1,11 @@
 """N-gram Jaccard join, transport streams and WARC against brute force and round trips."""
 
+import gzip
 import hashlib
 import os
 import random
 import re
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -83,7 +85,7 @@ def test_join_repeated_rows_null_ids_and_empty(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in partenum.join(docs).collect()), key=repr)
     assert got == sorted([(4, 2), (4, 2), (2, 2), (None, 2), (None, None)], key=repr)
     assert partenum.join(docs.limit(0)).count() == 0
-    assert sorted((r["doc_id"] for r in partenum.keep_one(docs).collect()), key=repr) == sorted([2, None, None], key=repr)
+    assert sorted((r["doc_id"] for r in partenum.keep_one(docs).collect()), key=repr) == sorted([2, None], key=repr)  # the row without doc_id is a copy too
 
 
 def test_signatures_meet_for_linked_sets():
@@ -241,3 +243,63 @@ def test_warc_long_pages_and_many_archives(spark, tmp_path):
     assert files.count() > 2
     got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_pages(spark, str(tmp_path / "w"), files).where("record_type = 'response'").collect()}
     assert got == {i: t for i, _, t in pages}
+
+
+# ---------------------------------------------------------------- rows alike, archives cut
+
+
+def test_linked_pair_with_very_many_repeated_rows(spark):
+    """2,000 rows of one text, 2,000 of a near copy, 2,000 without doc_id: sets are compared once, not row by row."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(1, " ".join(base))] * 2000 + [(2, near)] * 2000 + [(None, near)] * 1000 + [(None, " ".join(base))] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    got = partenum.join(docs).groupBy("doc_id", "component_id").count().collect()
+    assert time.monotonic() - began < 90
+    assert {(r["doc_id"], r["component_id"]): r["count"] for r in got} == {(1, 1): 2000, (2, 1): 2000, (None, 1): 2000}
+    assert [tuple(r) for r in partenum.keep_one(docs).collect()] == [(1, " ".join(base))]
+
+
+def test_keep_one_decides_by_row(spark):
+    a, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    near = a.replace("a49", "x")
+    rows = [(3, a), (5, near), (5, other), (None, near), (None, "c d e"), (None, "c d e"), (7, None), (7, ""), (None, " "), (None, " "), (8, other + " ")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, `a.b` int")
+    kept = partenum.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, other), (None, "c d e"), (7, None), (7, ""), (None, " "), (None, " ")], key=str)
+
+
+def one_archive(tmp_path, spark):
+    pages = spark.createDataFrame([(1, "http://a/1", "x" * 40), (2, "http://a/2", "".join(map(chr, range(33, 127))) * 12), (3, "http://a/3", None), (4, "http://a/4", "".join(map(chr, range(33, 127))) * 12)], "page_id long, url string, html string")
+    name = warc.write_pages(pages.coalesce(1), str(tmp_path / "w")).first()["file"]
+    return (tmp_path / "w" / name).read_bytes()
+
+
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("gz", [True, False])
+def test_an_archive_cut_anywhere_is_an_error(spark, tmp_path, payload, gz):
+    data = one_archive(tmp_path, spark)
+    read = lambda d: [r for r in warc.read_records(pa.BufferReader(d) if not gz else pa.input_stream(pa.BufferReader(gzip.compress(d)), compression="gzip"), [], payload, gz, "x")]
+    whole = read(data)
+    ends = {r[10] for r in whole} | {len(data)}
+    assert len(whole) == 4
+    for cut in range(1, len(data)):
+        if cut in ends:
+            assert len(read(data[:cut])) == sum(r[10] < cut for r in whole)
+        else:
+            with pytest.raises(ValueError, match="x, record at"):
+                read(data[:cut])
+
+
+def test_changed_payloads_and_chunked_bodies(spark, tmp_path):
+    data = one_archive(tmp_path, spark)
+    at = data.index(b"x" * 40) if b"x" * 40 in data else data.index(b"\r\n\r\n", data.index(b"HTTP/1.1")) + 6
+    bad = data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+    with pytest.raises(ValueError, match="record at 0"):
+        list(warc.read_records(pa.BufferReader(bad), [], True, False, "x"))
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    assert warc.decode_payload(head + b"4\r\nabcd\r\n2;x=1\r\nef\r\n0\r\n\r\n") == b"abcdef"
+    assert warc.decode_payload(head + b"joined already") == b"joined already"
