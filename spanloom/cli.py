@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,7 @@ def _parser() -> argparse.ArgumentParser:
     add("queries", "names of the registered queries")
     add("query", "show the rows of a registered query", "name", "tables").add_argument("--rows", type=int, default=20)
     add("configs", "check a folder of configurations", "folder")
-    add("verify", "check a snapshot against its count of documents", "snapshot", "documents")
+    add("verify", "check a snapshot against its manifest, a JSON file; names documents that differ", "snapshot", "manifest")
     add("template", "an empty form for a pair written by hand")
     add("validate", "labels of a golden set that its documents contradict", "golden", "snapshot")
     add("status", "a review log in numbers", "log", "candidates")
@@ -56,9 +58,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "query":
         _show(queries.queries()[a.name](spark, a.tables), a.rows)
     elif a.command == "verify":
-        n = stores.read_snapshot(spark, a.snapshot).count()
-        print(n)
-        return int(n != int(a.documents))
+        try:
+            print(stores.verify_snapshot(spark, a.snapshot, json.loads(Path(a.manifest).read_text())).count())
+        except stores.StoreError as e:
+            print(e)
+            return 1
     elif a.command == "validate":
         _, labels = stores.read_golden(spark, a.golden)
         found = golden.validate_labels(labels, stores.read_snapshot(spark, a.snapshot))
@@ -72,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         policy = load_policy(a.policy)
         sides = [stores.read_baseline(spark, a.baseline), stores.read_runs(spark, a.runs)]
         metrics = [stores.run_metrics(x) for x in sides]
-        identity = [x.select(x["config_name"].alias("config"), "golden_set_hash", "corpus_manifest_hash", "config_hash") for x in sides]
+        identity = [stores.run_identity(x) for x in sides]
         verdicts = gate.evaluate(policy, *metrics, *identity)
         _show(verdicts)
         return int(not verdicts.where("status = 'failed'").isEmpty())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,32 @@ def macro(scores: DataFrame) -> DataFrame:
     return sets.select(kind.alias("grp_type"), F.when(F.col("no_category") == 0, F.col("category")).when(F.col("no_origin") == 0, F.col("origin")).otherwise("all").alias("grp"), "metric", "k", "mean", "n")
 
 
+def _draws(resamples: int, seed: int):
+    """Positions drawn, with replacement, for each number of values; one seeded generator a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column("n").to_pylist():
+                rng = random.Random(seed)
+                step = max(1, 1_000_000 // n)
+                for first in range(0, resamples, step):
+                    count = min(step, resamples - first)
+                    at = [rng.randrange(n) for _ in range(count * n)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(at), pa.int64()), pa.array([first + i // n for i in range(len(at))], pa.int32()), pa.array(at, pa.int32())], names=["n", "resample", "at"])
+
+    return run
+
+
 def bootstrap(scores: DataFrame, by: tuple[str, ...] = ("metric", "k"), resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """(by..., mean, ci_low, ci_high, n): percentile intervals of the mean over resampled queries.
 
-    The draws depend on the number of values and the seed alone; they are made once for each number that occurs and
-    joined by position (values in order of query_id).  The interval's ends are order statistics, not interpolated.
+    The draws depend on the number of values and the seed alone; a task makes them once for each number that occurs, and
+    they are joined by position (values in order of query_id).  The interval's ends are order statistics, not interpolated.
     """
     place = Window.partitionBy(*by).orderBy("query_id")
     rows = scores.withColumn("at", F.row_number().over(place) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    counts = [r["n"] for r in rows.select("n").distinct().collect()]  # sizes of groups of queries
-    draws = [(n, r, tuple(rng.randrange(n) for _ in range(n))) for n in counts if n > 1 for rng in [random.Random(seed)] for r in range(resamples)]
-    plan = rows.sparkSession.createDataFrame(draws, "n long, resample int, draws array<int>").select("n", "resample", F.explode("draws").alias("at"))
+    sizes = rows.select("n").distinct().where("n > 1").repartition("n")
+    plan = sizes.mapInArrow(_draws(resamples, seed), "n long, resample int, at int")
     means = rows.select(*by, "n", "at", "value").join(plan, ["n", "at"]).groupBy(*by, "resample").agg(F.avg("value").alias("m"))
     low, high = int((1 - CONFIDENCE) / 2 * resamples), min(resamples - 1, int((1 + CONFIDENCE) / 2 * resamples))
     ends = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(*by, F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))

@@ -63,4 +63,5 @@ def evaluate(policy: GatePolicy, baseline: DataFrame, current: DataFrame, baseli
 
 def verdict_text(rows: DataFrame) -> DataFrame:
     """Regressions with one line of text each."""
-    return rows.withColumn("verdict", F.format_string("%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)", "config", "metric", "k", "base", "now", F.col("now") - F.col("base"), "max_drop"))
+    told = F.format_string("%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)", "config", "metric", "k", "base", "now", F.col("now") - F.col("base"), "max_drop")
+    return rows.withColumn("verdict", F.when(F.col("outcome") == "unreported", F.format_string("%s %s@%d: not reported", "config", "metric", "k")).otherwise(told))

@@ -94,33 +94,53 @@ _QUOTES = """
 halves AS (SELECT doc_id, text, substr(text, length(text) // 2, 40) AS half FROM documents),
 quotes AS (SELECT doc_id, text, unnest([0, 1, 2, 3]) AS ord, unnest([substr(text, 1, 10), half, half || '#', repeat(substr(text, 1, 1), 25)]) AS quote FROM halves),
 coded AS (SELECT *, strpos(text, quote) AS pos, CASE WHEN length(quote) < 20 THEN 'quote-too-short' WHEN length(quote) > 600 THEN 'quote-too-long' WHEN strpos(text, quote) = 0 THEN 'quote-not-found' WHEN strpos(substr(text, strpos(text, quote) + 1), quote) > 0 THEN 'quote-ambiguous' END AS code FROM quotes)"""
-_RUN_VALUES = ", ".join(f"('{c}', {i}, '{m}', {v}, {{shift_{c}_{m}}}, {fixtures.POLICY.max_absolute_drop[m + '_at_10']})" for i, (c, ms) in enumerate(fixtures.RUNS.items()) for m, v in ms.items())
-
-
-def _runs() -> str:
-    from spanloom.queries import _SHIFT
-
-    values = _RUN_VALUES
-    for c, ms in fixtures.RUNS.items():
-        for m, v in ms.items():
-            values = values.replace(f"{{shift_{c}_{m}}}", repr(v + _SHIFT.get(f"{c}.{m}", 0.0)))
-    return f"runs(config, ord, metric, base, now, max_drop) AS (VALUES {values}), judged AS (SELECT *, base::DOUBLE - now::DOUBLE AS d, CASE WHEN base::DOUBLE - now::DOUBLE > max_drop::DOUBLE + 1e-9 THEN 'regression' ELSE 'ok' END AS outcome FROM runs)"
-
-
 def _apart(sql: str) -> str:
     """The same tables with the labelled set under names that leave queries and labels free."""
     return re.sub(r"\blabels\b", "labels0", re.sub(r"\bqueries\b", "queries0", sql))
 
 
-def _config_ctes() -> str:
-    """metrics of three configurations at once: every id of a query has its configuration before it."""
-    own = """
-configs(config) AS (VALUES ('dense'), ('hybrid'), ('lexical')),
+_RANKINGS = {"dense": "near", "hybrid": "ranked", "lexical": "lexical"}
+
+
+def _config_ctes(rankings: dict[str, str] = _RANKINGS, *more: str) -> str:
+    """metrics of configurations at once: every id of a query has its configuration before it."""
+    union = " UNION ALL ".join(f"SELECT '{c}' AS config, query_id, chunk_id, rank FROM {t}" for c, t in rankings.items())
+    own = f"""
+configs(config) AS (VALUES {", ".join(f"('{c}')" for c in rankings)}),
 queries AS (SELECT config || '/' || query_id AS query_id, category, origin FROM queries0, configs),
 labels AS (SELECT config || '/' || query_id AS query_id, doc_id, char_start, char_end, gain FROM labels0, configs),
-rankings AS (SELECT 'dense' AS config, query_id, chunk_id, rank FROM near UNION ALL SELECT 'lexical', query_id, chunk_id, rank FROM lexical UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM ranked),
+rankings AS ({union}),
 results AS (SELECT config || '/' || r.query_id AS query_id, chunk_id, rank, c.doc_id, c.char_start, c.char_end FROM rankings r JOIN chunks c USING (chunk_id) WHERE rank <= 10)"""
-    return ", ".join([_apart(_ARMS), _apart(_FUSED), own, _COVERS, _METRICS, "scores AS (SELECT split_part(query_id, '/', 1) AS config, split_part(query_id, '/', 2) AS query_id, * EXCLUDE (query_id) FROM metrics)"])
+    return ", ".join([_apart(_ARMS), _apart(_FUSED), *map(_apart, more), own, _COVERS, _METRICS, "scores AS (SELECT split_part(query_id, '/', 1) AS config, split_part(query_id, '/', 2) AS query_id, * EXCLUDE (query_id) FROM metrics)"])
+
+
+_UNPIVOTED = "parts AS (UNPIVOT scores ON recall, mrr, ndcg INTO NAME metric VALUE value)"
+_GROUPED = "SELECT config, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM parts GROUP BY GROUPING SETS ((config, metric, k), (config, category, metric, k), (config, origin, metric, k))"
+_COUNTED = "SELECT count(*) AS n_queries, count(*) FILTER (WHERE query_id NOT IN (SELECT query_id FROM labels0 WHERE gain >= 2)) AS n_skipped FROM queries0"
+#: Reranked: the whole depth of the fused ranking, by the stand-in for a model.
+_AGAIN = "again AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(('0x' || substr(md5(query_id || chunk_id), 1, 8))::UBIGINT / 4294967296.0, 9) DESC, chunk_id) AS rank FROM ranked)"
+
+
+def _gate_ctes() -> str:
+    """judged: (config, ord, metric, k, base, now, max_drop, d, outcome) of all that the policy asks."""
+    flat = re.sub(r"\blexical\b", "flat", re.sub(r"\b(fused|ranked)\b", r"\g<1>0", _FUSED)).replace("AS flat,", "AS lexical,")
+    rankings = {"b:dense": "near", "b:hybrid": "ranked", "b:lexical": "lexical", "n:lexical": "flat", "n:hybrid": "ranked0", "n:rerank": "again"}
+    policy = ", ".join(f"('{c}', {i}, '{key.rpartition('_at_')[0]}', {key.rpartition('_at_')[2]}, {drop})" for i, c in enumerate(fixtures.GATED.gated_configs) for key, drop in fixtures.GATED.max_absolute_drop.items())
+    return ", ".join([
+        _config_ctes(rankings, _bm25(b=0.0, n=50, name="flat"), flat, _AGAIN), _UNPIVOTED,
+        "means AS (SELECT split_part(config, ':', 1) AS side, split_part(config, ':', 2) AS config, metric, k, avg(value) AS mean FROM parts GROUP BY ALL)",
+        f"policy(config, ord, metric, k, max_drop) AS (VALUES {policy})",
+        "judged AS (SELECT p.config, p.ord, p.metric, p.k, b.mean AS base, n.mean AS now, p.max_drop::DOUBLE AS max_drop, b.mean - n.mean AS d, CASE WHEN b.mean IS NULL OR n.mean IS NULL THEN 'unreported' WHEN b.mean - n.mean > p.max_drop::DOUBLE + 1e-9 THEN 'regression' ELSE 'ok' END AS outcome FROM policy p LEFT JOIN (FROM means WHERE side = 'b') b ON b.config = p.config AND b.metric = p.metric AND b.k = p.k LEFT JOIN (FROM means WHERE side = 'n') n ON n.config = p.config AND n.metric = p.metric AND n.k = p.k)",
+    ])
+
+
+def _digest_ctes(columns: str, source: str, name: str) -> str:
+    """name_0, name_1, name_2: nodes of a digest tree of eight bits over source, by level."""
+    fields = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns.split())
+    up = lambda low, high: f"{name}_{high} AS (SELECT range // 16 AS range, CAST(sum(docs) AS BIGINT) AS docs, sha256(string_agg(range || '*' || digest, ',' ORDER BY range)) AS digest FROM {name}_{low} GROUP BY range // 16)"
+    return f"""
+{name}_l AS (SELECT CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2))::UBIGINT AS BIGINT) AS range, CAST(doc_id AS VARCHAR) AS doc_id, sha256({fields}) AS digest, count(*) AS n FROM {source} GROUP BY ALL),
+{name}_0 AS (SELECT range, CAST(sum(n) AS BIGINT) AS docs, sha256(string_agg(digest || '*' || n, ',' ORDER BY digest, doc_id)) AS digest FROM {name}_l GROUP BY range), {up(0, 1)}, {up(1, 2)}"""
 
 
 def _with(*parts: str, select: str) -> str:
@@ -179,7 +199,7 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "span_cover": _with(_RESULTS, _COVERS, select="SELECT * FROM covers"),
         "query_metrics": _with(*metrics, select="SELECT query_id, category, origin, k, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM metrics"),
         "config_scores": _with(_config_ctes(), select="SELECT config, query_id, category, origin, k, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM scores"),
-        "config_report": _with(_config_ctes(), "parts AS (UNPIVOT scores ON recall, mrr, ndcg INTO NAME metric VALUE value)", select="SELECT config, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM parts GROUP BY GROUPING SETS ((config, metric, k), (config, category, metric, k), (config, origin, metric, k))"),
+        "config_report": _with(_config_ctes(), _UNPIVOTED, select=_GROUPED),
         "query_counts": _with(_GOLD, select="SELECT count(*) AS n_queries, count(*) FILTER (WHERE query_id NOT IN (SELECT query_id FROM labels WHERE gain = 2)) AS n_skipped FROM queries"),
         "wiring_problems": _with(_CHUNKS, "v AS (SELECT chunk_id, right(chunk_id, 1) AS h FROM chunks)", select="SELECT 'unresolved-vector' AS problem, 'no-' || chunk_id AS subject, 1 AS n FROM v WHERE h = '2' UNION ALL SELECT 'missing-vector', chunk_id, 1 FROM v WHERE h IN ('1', '2') UNION ALL SELECT 'duplicate-vector', chunk_id, 2 FROM v WHERE h = '3'"),
         "ranking_duplicates": _with(_ARMS, select="SELECT query_id, chunk_id, 2 AS n FROM near JOIN lexical USING (query_id, chunk_id)"),
@@ -189,9 +209,13 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "macro_grouping_sets": _with(*metrics, select="SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY GROUPING SETS ((metric, k), (category, metric, k), (origin, metric, k))"),
         "macro_overall": _with(*metrics, select="SELECT metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY metric, k"),
         "latency_median": "SELECT event_type, round(median(value), 6) AS value, round(median(value * 2), 6) AS value2 FROM events GROUP BY event_type",
-        "gate_regressions": _with(_runs(), select="SELECT config, metric, 10 AS k, round(base::DOUBLE, 6) AS base, round(now::DOUBLE, 6) AS now, round(d, 6) AS drop, max_drop::DOUBLE AS max_drop, outcome, printf('%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)', config, metric, 10, base::DOUBLE, now::DOUBLE, now::DOUBLE - base::DOUBLE, max_drop::DOUBLE) AS verdict FROM judged"),
-        "gate_identity": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'corpus_manifest_hash', '')" for c in fixtures.RUNS) + ") AS t(config, failures, warnings)",
-        "gate_verdicts": _with(_runs(), select="SELECT min(ord) AS ord, config, CASE WHEN config = 'hybrid_512' THEN 'skipped_no_baseline' WHEN config = 'hybrid_512_rerank' OR bool_or(outcome <> 'ok') THEN 'failed' ELSE 'passed' END AS status, CASE WHEN config = 'hybrid_512' THEN 0 WHEN config = 'hybrid_512_rerank' THEN 1 ELSE count(*) FILTER (outcome <> 'ok') END AS n_failures, '' AS warnings FROM judged GROUP BY config"),
+        "run_reports": _with(_config_ctes(), _UNPIVOTED, f"means AS ({_GROUPED})", f"counted AS ({_COUNTED})", select="SELECT * FROM means, counted"),
+        "run_latency": "SELECT (['dense', 'hybrid', 'lexical'])[user_id % 3 + 1] AS config, round(median(value), 6) AS total_ms FROM events GROUP BY ALL",
+        "gate_regressions": _with(_gate_ctes(), select="SELECT config, metric, k, round(base, 6) AS base, round(now, 6) AS now, round(d, 6) AS drop, max_drop, outcome, CASE WHEN outcome = 'unreported' THEN printf('%s %s@%d: not reported', config, metric, k) ELSE printf('%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)', config, metric, k, base, now, now - base, max_drop) END AS verdict FROM judged"),
+        "gate_identity": "SELECT * FROM (VALUES ('lexical', '', 'config_hash'), ('hybrid', 'corpus_manifest_hash', 'config_hash')) AS t(config, failures, warnings) WHERE (SELECT count(*) FROM documents WHERE text <> upper(text)) > 0",
+        "gate_verdicts": _with(_gate_ctes(), select="SELECT min(ord) AS ord, config, CASE WHEN config = 'rerank' THEN 'skipped_no_baseline' WHEN config IN ('dense', 'hybrid') OR bool_or(outcome <> 'ok') THEN 'failed' ELSE 'passed' END AS status, CASE config WHEN 'rerank' THEN 0 WHEN 'dense' THEN 1 WHEN 'hybrid' THEN 1 + count(*) FILTER (outcome <> 'ok') ELSE count(*) FILTER (outcome <> 'ok') END AS n_failures, CASE WHEN config IN ('lexical', 'hybrid') THEN 'config_hash' ELSE '' END AS warnings FROM judged GROUP BY config"),
+        "snapshot_digest": _with(_digest_ctes("doc_id lang source text", "documents", "tree"), select="SELECT 0 AS level, * FROM tree_0 UNION ALL SELECT 1, * FROM tree_1 UNION ALL SELECT 2, * FROM tree_2"),
+        "snapshot_faults": "SELECT CAST(('0x' || substr(sha256(doc_id), 1, 2))::UBIGINT AS BIGINT) AS range, doc_id, problem FROM (SELECT CAST(CASE doc_id % 97 WHEN 3 THEN doc_id + 1000000000 ELSE doc_id END AS VARCHAR) AS doc_id, (['changed', 'missing', 'repeated', 'added'])[doc_id % 97 + 1] AS problem FROM documents WHERE doc_id % 97 < 4)",
         "review_latest": _with(_LOG, select="SELECT subject, seq, action, round(seconds, 6) AS seconds FROM latest"),
         "review_summary": _with(_LOG, select="SELECT (SELECT count(*) FROM customer) AS generated, (SELECT count(*) FROM log) AS recorded, count(*) AS subjects, count(*) FILTER (action = 'accept') AS accept, count(*) FILTER (action = 'edit') AS edit, count(*) FILTER (action = 'reject') AS reject, count(*) FILTER (action = 'skip') AS skip, (SELECT count(*) FROM log) - count(*) AS superseded FROM latest"),
         "pending": _with(_LOG, "candidates AS (SELECT 'c-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS subject, c_name AS query FROM customer)", select="SELECT subject, query FROM candidates WHERE subject NOT IN (SELECT subject FROM latest WHERE action IN ('accept', 'edit', 'reject'))"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import tokens
 from spanloom.operators.aggregate import CATEGORIES
-from spanloom.plans.config import Chunking, GatePolicy
+from spanloom.plans.config import Chunking, Embedding, Fusion, GatePolicy, Lexical, Reranker, Retrieval
 from spanloom.sources.scratch import materialise
 
 #: Windows small enough that test documents have several.
@@ -21,6 +21,17 @@ RUNS = {
     "hybrid_512_rerank": {"recall": 0.866667, "mrr": 0.580026, "ndcg": 0.578218},
 }
 POLICY = GatePolicy(("dense_512", "dense_256", "hybrid_512", "hybrid_512_rerank"), {"recall_at_10": 0.010, "ndcg_at_10": 0.015, "mrr_at_10": 0.020})
+#: The gate of the queries: one configuration of it was not run, one was never blessed.
+GATED = GatePolicy(("lexical", "rerank", "hybrid", "dense"), {"recall_at_10": 0.010, "ndcg_at_10": 0.015, "mrr_at_10": 0.020, "recall_at_5": 0.0, "recall_at_20": 0.0})
+_VECTORS = Embedding("hashing", "1", 256)
+
+
+def configuration(name: str, b: float = 0.75, reranked: bool = False) -> Retrieval:
+    """The configurations that the queries run: hash vectors, alone or fused with BM25 of the given b."""
+    hybrid = {} if name == "dense" else {"lexical": Lexical("bm25", 50, b=b), "fusion": Fusion()}
+    return Retrieval(name, "hybrid" if hybrid else "dense", 10, 50, CHUNKING, _VECTORS, reranker=Reranker(True, "md5", "1", 50) if reranked else Reranker(), description=name, **hybrid)
+
+
 ACTIONS = {"click": "accept", "view": "skip", "error": "reject", "purchase": "edit", "signup": "accept"}
 
 

@@ -32,7 +32,7 @@ class Corpus:
 _READY: dict[tuple[str, str, str], tuple[object, object]] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make):
+def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make):
     """What ``make`` makes of tables, kept while neither their files nor the scratch folder have changed."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     state = (scratch.generation(spark), tuple(scratch.stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables))
@@ -43,7 +43,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...],
 
 def chunks(spark: SparkSession, sf_dir: str, config: Chunking = fixtures.CHUNKING) -> DataFrame:
     docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _once(spark, sf_dir, f"chunks-{config.hash}", ("documents",), lambda: materialise(chunking.chunks(docs, config), "chunks"))
+    return once(spark, sf_dir, f"chunks-{config.hash}", ("documents",), lambda: materialise(chunking.chunks(docs, config), "chunks"))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
@@ -52,11 +52,11 @@ def bm25(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
         lexical.write(lexical.build(chunks(spark, sf_dir)), path)
         return lexical.read(spark, path)
 
-    return _once(spark, sf_dir, "bm25", ("documents",), make)
+    return once(spark, sf_dir, "bm25", ("documents",), make)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "vectors", ("documents",), lambda: materialise(dense.hash_counts(chunks(spark, sf_dir), "chunk_id", "text"), "vectors"))
+    return once(spark, sf_dir, "vectors", ("documents",), lambda: materialise(dense.hash_counts(chunks(spark, sf_dir), "chunk_id", "text"), "vectors"))
 
 
 def golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +67,7 @@ def golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         queries, labels = fixtures.golden_set(docs, fixtures.table(spark, sf_dir, "benchmark"))
         return materialise(queries, "golden-queries"), materialise(labels, "golden-labels")
 
-    return _once(spark, sf_dir, "golden", ("documents", "benchmark"), make)
+    return once(spark, sf_dir, "golden", ("documents", "benchmark"), make)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.functions.identity import content_hash
 from spanloom.operators import aggregate, authoring, caches, chunking, corpus, dense, evaluate, fusion, gate, golden, lexical, relevance, retrieve
 from spanloom.operators.ranking import duplicates, top_n
 from spanloom.plans import fixtures, prepared
 from spanloom.plans.config import Chunking
 from spanloom.plans.fixtures import table
-from spanloom.sources.scratch import materialise
+from spanloom.sources import digests, stores
+from spanloom.sources.scratch import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -404,27 +406,110 @@ def pairs_inside(spark, d):
     return golden.pairs_inside(q, labels, table(spark, d, "labels")).select("query_id", "category")
 
 
-# ---------------------------------------------------------------- gate
+# ---------------------------------------------------------------- runs, snapshots and the gate
 
 
-#: A run that lost some: one drop over its limit, one exactly at it, one configuration not run, another corpus.
-_SHIFT = {"dense_512.recall": -0.02, "dense_256.ndcg": -0.015, "hybrid_512.mrr": 0.01}
+def _tree(rows, columns, bits=8, id_col="doc_id"):
+    return digests.tree(rows, columns, bits, id_col)
+
+
+@query
+def snapshot_digest(spark, d):
+    """Every node of the digest tree over the documents."""
+    return _tree(table(spark, d, "documents"), ["doc_id", "lang", "source", "text"]).nodes
+
+
+@query
+def snapshot_faults(spark, d):
+    """Documents that a later copy of the corpus has changed, lost, repeated or added, found from the root down."""
+    docs, n = table(spark, d, "documents").select("doc_id", "lang", "source", "text"), F.col("doc_id") % 97
+    changed = docs.where(n != 1).withColumn("text", F.when(n == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    now = changed.unionByName(docs.where(n == 2)).unionByName(docs.where(n == 3).withColumn("doc_id", F.col("doc_id") + 1_000_000_000))
+    columns = ["doc_id", "lang", "source", "text"]
+    return digests.faults(_tree(docs, columns), _tree(now, columns))
+
+
+def _labelled_hash(spark, d) -> str:
+    q, labels = _golden(spark, d)
+    rows = q.select("query_id", F.concat_ws("/", "query", "category", "origin").alias("fact")).unionByName(labels.select("query_id", F.concat_ws("/", "doc_id", "char_start", "char_end", "gain", "quote").alias("fact")))
+    return _tree(rows, ["query_id", "fact"], id_col="query_id").root
+
+
+def _reports(spark, d, rankings: dict, hashes: dict[str, str], corpus_hash: dict[str, str]):
+    """Reports of rankings by configuration, written as run files and read back."""
+    located = reduce(DataFrame.unionByName, [a.where(F.col("rank") <= TOP_K).select(F.lit(c).alias("config"), "query_id", "chunk_id", "rank") for c, a in rankings.items()])
+    located = located.join(_chunks(spark, d).select("chunk_id", "doc_id", "char_start", "char_end"), "chunk_id")
+    q, labels = _golden(spark, d)
+    scores = materialise(evaluate.config_scores(located, labels, q, sorted(rankings)), "run-scores")
+    golden_hash = _labelled_hash(spark, d)
+    identity = spark.createDataFrame([(c, hashes[c], golden_hash, corpus_hash[c], "1") for c in rankings], "config string, config_hash string, golden_set_hash string, corpus_manifest_hash string, code_version string")
+    latency = aggregate.latency_medians(table(spark, d, "events").select(F.element_at(F.array(*map(F.lit, sorted(rankings))), (F.col("user_id") % len(rankings) + 1).cast("int")).alias("config"), F.col("value").alias("total_ms")), ("config",), ("total_ms",))
+    path = scratch_dir(spark, "runs")
+    stores.write_runs(evaluate.reports(scores, identity, evaluate.query_counts(labels, q), latency), path)
+    return path
+
+
+def _sides(spark, d):
+    """(baseline, current run), each from its files.
+
+    Blessed are hash vectors, BM25 and their fusion.  Run now: BM25 without regard to length, its fusion over a corpus that is
+    another by its digest, and a reranked run; the hash vectors were not run.
+    """
+
+    def make():
+        docs = table(spark, d, "documents")
+        same, other = _tree(docs, ["doc_id", "text"]).root, _tree(docs.withColumn("text", F.upper("text")), ["doc_id", "text"]).root
+        near, words, _, fused = _hybrid(spark, d)
+        one = lambda name, *more: content_hash([name, fixtures.configuration(name, *more).config_hash])
+        first = _reports(spark, d, {"dense": near, "lexical": words, "hybrid": fused}, {c: one(c) for c in ("dense", "lexical", "hybrid")}, dict.fromkeys(("dense", "lexical", "hybrid"), same))
+        blessed = scratch_dir(spark, "baseline")
+        stores.bless(stores.read_runs(spark, first), blessed, "first run", "2024-01-01T00:00:00Z")
+        flat = materialise(lexical.search_stored(prepared.bm25(spark, d), _terms(spark, d), ARM_N, b=0.0), "arm-flat")
+        refused = materialise(top_n(fusion.reciprocal_rank([near, flat]), ARM_N), "fused-flat")
+        again = fusion.rerank(fused, _rerank_scores(fused), 50, TOP_K)
+        now = {"lexical": flat, "hybrid": refused, "rerank": again}
+        hashes = {"lexical": one("lexical", 0.0), "hybrid": one("hybrid", 0.0), "rerank": one("rerank", 0.75, True)}
+        second = _reports(spark, d, now, hashes, {"lexical": same, "hybrid": other, "rerank": same})
+        return blessed, second
+
+    blessed, second = prepared.once(spark, d, "gate-sides", ("documents", "benchmark", "events"), make)
+    return stores.read_baseline(spark, blessed), stores.read_runs(spark, second)
+
+
+@query
+def run_reports(spark, d):
+    """Means of all groups of the blessed runs, from their files."""
+    base, _ = _sides(spark, d)
+    flat = lambda column: F.explode(column).alias("metric", "ks")
+    overall = base.select("config_name", F.lit("overall").alias("grp_type"), F.lit("all").alias("grp"), "n_queries", "n_skipped", flat("overall"))
+    groups = [base.select("config_name", F.lit(t).alias("grp_type"), "n_queries", "n_skipped", F.explode(c).alias("grp", "t")).select("config_name", "grp_type", "grp", "n_queries", "n_skipped", flat("t")) for t, c in (("category", "by_category"), ("origin", "by_origin"))]
+    rows = reduce(DataFrame.unionByName, [overall, *groups]).select("*", F.explode("ks").alias("k", "s"))
+    return rows.select(F.col("config_name").alias("config"), "grp_type", "grp", "metric", F.col("k").cast("int").alias("k"), F.round("s.mean", 6).alias("mean"), F.col("s.n").alias("n"), "n_queries", "n_skipped")
+
+
+@query
+def run_latency(spark, d):
+    base, _ = _sides(spark, d)
+    return base.select(F.col("config_name").alias("config"), F.round(F.col("latency")["total_ms"], 6).alias("total_ms"))
 
 
 @query
 def gate_regressions(spark, d):
-    rows = gate.regressions(gate.policy_rows(table(spark, d, "region"), fixtures.POLICY), fixtures.run_rows(spark), fixtures.run_rows(spark, _SHIFT))
+    base, now = _sides(spark, d)
+    rows = gate.regressions(gate.policy_rows(now, fixtures.GATED), stores.run_metrics(base), stores.run_metrics(now))
     return gate.verdict_text(rows).select("config", "metric", "k", _r("base"), _r("now"), _r("drop"), "max_drop", "outcome", "verdict")
 
 
 @query
 def gate_identity(spark, d):
-    return gate.identity_failures(fixtures.POLICY, fixtures.run_identity(spark), fixtures.run_identity(spark, "m2")).select("config", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+    base, now = _sides(spark, d)
+    return gate.identity_failures(fixtures.GATED, stores.run_identity(base), stores.run_identity(now)).select("config", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
 
 
 @query
 def gate_verdicts(spark, d):
-    return gate.evaluate(fixtures.POLICY, fixtures.run_rows(spark), fixtures.run_rows(spark, _SHIFT), fixtures.run_identity(spark, drop=("hybrid_512",)), fixtures.run_identity(spark, drop=("hybrid_512_rerank",)))
+    base, now = _sides(spark, d)
+    return gate.evaluate(fixtures.GATED, stores.run_metrics(base), stores.run_metrics(now), stores.run_identity(base), stores.run_identity(now))
 
 
 # ---------------------------------------------------------------- review log and golden set

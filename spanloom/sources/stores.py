@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.identity import sha256_identity
+from spanloom.sources import digests
 
 DOCUMENT = "doc_id string, text string, title string, court string, date_filed string, source_url string"
 LABEL = "struct<doc_id:string,char_start:int,char_end:int,gain:int,quote:string>"
@@ -20,6 +21,7 @@ SUMMARY = "struct<mean:double,ci_low:double,ci_high:double,n:bigint>"
 TABLE = f"map<string,map<string,{SUMMARY}>>"
 RUN = f"config_name string, config_hash string, golden_set_hash string, corpus_manifest_hash string, code_version string, run_fingerprint string, n_queries long, n_skipped long, overall {TABLE}, by_category map<string,{TABLE}>, by_origin map<string,{TABLE}>, latency map<string,double>"
 NORMALIZER_VERSION = "1"
+DOCUMENT_COLUMNS = sorted(["doc_id", "text", "title", "court", "date_filed", "source_url"])
 
 
 class StoreError(ValueError):
@@ -39,45 +41,53 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 # ---------------------------------------------------------------- corpus snapshots
 
 
-def snapshot_line() -> Any:
-    """The line of a document in canonical order of keys, as a column."""
-    names = sorted(["doc_id", "text", "title", "court", "date_filed", "source_url"])
-    part = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    return F.concat(F.lit("{"), *[x for i, c in enumerate(names) for x in (F.lit((", " if i else "") + f'"{c}": '), part(c))], F.lit("}"))
+def write_snapshot(docs: DataFrame, path: str, *, corpus_id: str, source: str, retrieved_at: str = "", codec: str = "gzip") -> dict[str, Any]:
+    """Documents in order of doc_id as compressed JSON lines (zstd where Hadoop has it); returns their manifest.
 
+    Its hash is the root of a digest tree, which is kept in ``path``.digest and says later which documents differ.
+    """
+    docs.select(F.to_json(F.struct(*DOCUMENT_COLUMNS)).alias("value"), "doc_id").orderBy("doc_id").select("value").write.mode("overwrite").option("compression", codec).text(path)
+    made = digests.tree(docs, DOCUMENT_COLUMNS)
+    digests.save(made, f"{path.rstrip('/')}.digest")
+    return {"corpus_id": corpus_id, "source": source, "normalizer_version": NORMALIZER_VERSION, "doc_count": made.docs, "content_sha256": made.root, "digest_bits": made.bits, "retrieved_at": retrieved_at}
 
-def write_snapshot(docs: DataFrame, path: str, *, corpus_id: str, source: str, retrieved_at: str = "", codec: str = "gzip") -> dict[str, Any]:
-    """Documents in order of doc_id as compressed JSON lines (zstd where Hadoop has it); returns the manifest with the hash of the lines."""
-    docs.select(F.to_json(F.struct(*sorted(["doc_id", "text", "title", "court", "date_filed", "source_url"]))).alias("value"), "doc_id").orderBy("doc_id").select("value").write.mode("overwrite").option("compression", codec).text(path)
-    return manifest(docs, corpus_id=corpus_id, source=source, retrieved_at=retrieved_at)
 
+def line_manifest(docs: DataFrame, *, corpus_id: str, source: str, retrieved_at: str = "") -> dict[str, Any]:
+    """A manifest whose hash is that of the lines in order, for files that must say the same as those of other tools.
 
-def manifest(docs: DataFrame, *, corpus_id: str, source: str, retrieved_at: str = "") -> dict[str, Any]:
+    A hash of one long text has one reader: the driver walks the corpus, a partition at a time.
+    """
     digest, count = hashlib.sha256(), 0
-    for row in docs.orderBy("doc_id").select("doc_id", "text", "title", "court", "date_filed", "source_url").toLocalIterator():  # one partition at a time
+    for row in docs.orderBy("doc_id").select("doc_id", "text", "title", "court", "date_filed", "source_url").toLocalIterator():
         digest.update((json.dumps(row.asDict(), sort_keys=True, ensure_ascii=False) + "\n").encode())
         count += 1
     return {"corpus_id": corpus_id, "source": source, "normalizer_version": NORMALIZER_VERSION, "doc_count": count, "content_sha256": digest.hexdigest(), "retrieved_at": retrieved_at}
 
 
-def fast_digest(docs: DataFrame) -> DataFrame:
-    """One row: count and an order-free digest of the documents, for corpora that no single reader should walk."""
-    row = F.sha2(snapshot_line(), 256)
-    words = [F.bit_xor(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"x{i}") for i in range(4)]
-    return docs.agg(F.count(F.lit(1)).alias("doc_count"), *words)
-
-
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, DOCUMENT)
 
 
 def verify_snapshot(spark: SparkSession, path: str, expected: dict[str, Any]) -> DataFrame:
-    """The documents, if they are the manifest's."""
+    """The documents, if they are the manifest's; else an error that names documents which differ, where the tree is kept."""
     docs = read_snapshot(spark, path)
-    found = manifest(docs, corpus_id=expected["corpus_id"], source=expected["source"], retrieved_at=expected["retrieved_at"])
-    for name in ("normalizer_version", "doc_count", "content_sha256"):
-        if found[name] != expected[name]:
-            raise StoreError(f"{name} is {found[name]}, not {expected[name]}")
+    if NORMALIZER_VERSION != expected["normalizer_version"]:
+        raise StoreError(f"normalizer_version is {NORMALIZER_VERSION}, not {expected['normalizer_version']}")
+    if "digest_bits" not in expected:
+        found = line_manifest(docs, corpus_id=expected["corpus_id"], source=expected["source"])
+        for name in ("doc_count", "content_sha256"):
+            if found[name] != expected[name]:
+                raise StoreError(f"{name} is {found[name]}, not {expected[name]}")
+        return docs
+    now = digests.tree(docs, DOCUMENT_COLUMNS, expected["digest_bits"])
+    if now.docs != expected["doc_count"] or now.root != expected["content_sha256"]:
+        told, at = "", f"{path.rstrip('/')}.digest"
+        if _exists(spark, at):
+            kept = digests.load(spark, at)
+            if kept.root == expected["content_sha256"]:
+                some = digests.faults(kept, now).orderBy("doc_id").limit(5).collect()
+                told = ": " + "; ".join(f"{r['doc_id']} {r['problem']} (range {r['range']})" for r in some)
+        raise StoreError(f"{now.docs} documents of content {now.root}, not {expected['doc_count']} of {expected['content_sha256']}{told}")
     return docs
 
 
@@ -152,12 +162,6 @@ def golden_set_hash(pairs: Iterable[dict[str, Any]]) -> str:
 # ---------------------------------------------------------------- runs and baselines
 
 
-def summaries_to_tables(rows: DataFrame) -> DataFrame:
-    """(grp, table) of (grp, metric, k, mean, ci_low, ci_high, n): nested maps with text keys, as run files hold them."""
-    by_k = rows.groupBy("grp", "metric").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("k").cast("string").alias("k"), F.struct("mean", "ci_low", "ci_high", "n").alias("s"))))).alias("ks"))
-    return by_k.groupBy("grp").agg(F.map_from_arrays(F.collect_list("metric"), F.collect_list("ks")).alias("table"))
-
-
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run files (pretty JSON, one report each)."""
     return spark.read.schema(RUN).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -169,6 +173,11 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     return rows.select("config", "metric", F.col("k").cast("int").alias("k"), "s.*")
 
 
+def run_identity(runs: DataFrame) -> DataFrame:
+    """(config, golden_set_hash, corpus_manifest_hash, config_hash) of runs."""
+    return runs.select(F.col("config_name").alias("config"), "golden_set_hash", "corpus_manifest_hash", "config_hash")
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """Reports under a folder for each configuration hash; a run replaces its own folder only."""
     runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config_hash").json(path)

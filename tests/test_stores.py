@@ -1,12 +1,14 @@
 """Files round-trip, and wrong ones are refused."""
 
+import hashlib
 import json
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.sources import stores
+from spanloom.sources import digests, stores
 from spanloom.streaming import review_log
 
 DOCS = [("b", "text é   \"q\"", "t", "c", "1990", ""), ("a", "other\nline", "", "", "", "u")]
@@ -18,10 +20,49 @@ def test_snapshot(spark, tmp_path):
     assert stores.verify_snapshot(spark, str(tmp_path / "s"), m).count() == 2
     with pytest.raises(stores.StoreError):
         stores.verify_snapshot(spark, str(tmp_path / "s"), m | {"doc_count": 3})
-    assert stores.fast_digest(docs).first() == stores.fast_digest(docs.orderBy("doc_id")).first()
+    changed = spark.createDataFrame([DOCS[0], ("a", "another", "", "", "", "u"), ("c", "new", "", "", "", "")], stores.DOCUMENT)
+    changed.select(*stores.DOCUMENT_COLUMNS).write.mode("overwrite").json(str(tmp_path / "s"))
+    with pytest.raises(stores.StoreError, match="a changed .*; c added"):
+        stores.verify_snapshot(spark, str(tmp_path / "s"), m)
+    lines = stores.line_manifest(docs, corpus_id="x", source="y")
+    assert stores.verify_snapshot(spark, stores_path(spark, docs, tmp_path), lines).count() == 2
     assert stores.manifest_hash(m).startswith("sha256:")
 
 
+def stores_path(spark, docs, tmp_path):
+    stores.write_snapshot(docs, str(tmp_path / "t"), corpus_id="x", source="y")
+    return str(tmp_path / "t")
+
+
+def test_digest_tree(spark):
+    """Any order and partitions give one root; each kind of fault is named; trees of one row, of none, with nulls and repeats."""
+    row = lambda i, t: (None if i is None else str(i), t)
+    rows = [row(i, f"text {i}") for i in range(300)] + [row(None, "x"), row(7, "text 7"), row(5, "other text of 5")]
+    frame = lambda r: spark.createDataFrame(r, "doc_id string, text string")
+    tree = lambda r, bits=8: digests.tree(frame(r), ["doc_id", "text"], bits)
+    one, again = tree(rows), digests.tree(frame(rows[::-1]).repartition(5), ["doc_id", "text"], 8)
+    assert one.root == again.root and one.docs == 303 and digests.faults(one, again).count() == 0
+    now = [r for r in rows if r[0] != "3"] + [row("new", "y"), row(8, "text 8")]
+    now = [("4", "changed") if r[0] == "4" else r for r in now]
+    found = {(r["doc_id"], r["problem"]) for r in digests.faults(one, tree(now)).collect()}
+    assert found == {("3", "missing"), ("4", "changed"), ("new", "added"), ("8", "repeated")}
+    plain = {}
+    for doc, text in rows:
+        digest = hashlib.sha256("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in (doc, text)).encode()).hexdigest()
+        plain.setdefault(int(hashlib.sha256((doc or "").encode()).hexdigest()[:2], 16), Counter())[(digest, doc or "")] += 1
+    level = {k: hashlib.sha256(",".join(f"{d}*{n}" for (d, _), n in sorted(c.items())).encode()).hexdigest() for k, c in plain.items()}
+    for _ in range(2):
+        above = {}
+        for k in sorted(level):
+            above.setdefault(k >> 4, []).append(f"{k}*{level[k]}")
+        level = {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in above.items()}
+    assert one.root == level[0]
+    assert tree([]).root == digests.EMPTY and tree(rows[:1], 0).docs == 1 and digests.faults(tree([]), tree(rows[:1])).first()["problem"] == "added"
+    assert digests.bits_for(1024) == 0 and digests.bits_for(1025) == 4 and digests.bits_for(10**12) == 28
+    with pytest.raises(ValueError):
+        tree(rows, 5)
+
+
 def test_bad_line_fails(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"doc_id": "a"}\n{broken\n')
     with pytest.raises(Exception):

@@ -150,5 +150,8 @@ def test_command_line(spark, capsys, tmp_path):
     assert cli.main(["queries"]) == 0 and "bm25_top10" in capsys.readouterr().out
     assert cli.main(["template"]) == 0 and "spans:" in capsys.readouterr().out
     assert cli.main(["query", "is_html", "/root/testdata/sf0.001", "--rows", "2"], spark) == 0 and "page_id" in capsys.readouterr().out
-    spark.createDataFrame([("a", "t", "", "", "", "")], stores.DOCUMENT).write.json(str(tmp_path / "s"))
-    assert cli.main(["verify", str(tmp_path / "s"), "1"], spark) == 0 and cli.main(["verify", str(tmp_path / "s"), "2"], spark) == 1
+    told = stores.write_snapshot(spark.createDataFrame([("a", "t", "", "", "", "")], stores.DOCUMENT), str(tmp_path / "s"), corpus_id="x", source="y")
+    (tmp_path / "m.json").write_text(json.dumps(told))
+    assert cli.main(["verify", str(tmp_path / "s"), str(tmp_path / "m.json")], spark) == 0
+    spark.createDataFrame([("a", "u", "", "", "", "")], stores.DOCUMENT).write.mode("overwrite").json(str(tmp_path / "s"))
+    assert cli.main(["verify", str(tmp_path / "s"), str(tmp_path / "m.json")], spark) == 1 and "a changed" in capsys.readouterr().out
