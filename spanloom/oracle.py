@@ -209,6 +209,8 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "macro_grouping_sets": _with(*metrics, select="SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY GROUPING SETS ((metric, k), (category, metric, k), (origin, metric, k))"),
         "macro_overall": _with(*metrics, select="SELECT metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY metric, k"),
         "latency_median": "SELECT event_type, round(median(value), 6) AS value, round(median(value * 2), 6) AS value2 FROM events GROUP BY event_type",
+        "paged_read": "SELECT page_id, url, length(html) AS n_chars, md5(html) AS html_md5 FROM pages WHERE starts_with(url, 'https://')",
+        "paged_first_n": "SELECT page_id, length(html) AS n_chars FROM pages WHERE length(html) BETWEEN 1500 AND 40000 ORDER BY page_id LIMIT 60",
         "run_reports": _with(_config_ctes(), _UNPIVOTED, f"means AS ({_GROUPED})", f"counted AS ({_COUNTED})", select="SELECT * FROM means, counted"),
         "run_latency": "SELECT (['dense', 'hybrid', 'lexical'])[user_id % 3 + 1] AS config, round(median(value), 6) AS total_ms FROM events GROUP BY ALL",
         "gate_regressions": _with(_gate_ctes(), select="SELECT config, metric, k, round(base, 6) AS base, round(now, 6) AS now, round(d, 6) AS drop, max_drop, outcome, CASE WHEN outcome = 'unreported' THEN printf('%s %s@%d: not reported', config, metric, k) ELSE printf('%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)', config, metric, k, base, now, now - base, max_drop) END AS verdict FROM judged"),

@@ -15,7 +15,7 @@ from spanloom.operators.ranking import duplicates, top_n
 from spanloom.plans import fixtures, prepared
 from spanloom.plans.config import Chunking
 from spanloom.plans.fixtures import table
-from spanloom.sources import digests, stores
+from spanloom.sources import digests, paged, stores
 from spanloom.sources.scratch import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,38 @@ def extract_body(spark, d):
     return pages.join(meta, "page_id", "left").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.md5(body).alias("body_md5"))
 
 
+# ---------------------------------------------------------------- a paged service
+
+
+def _busy(call: int, params: dict) -> tuple | None:
+    """A service that is busy at every third request."""
+    return (429, {"Retry-After": "0"}, "") if call % 3 == 1 else None
+
+
+def _service(spark, d):
+    pages = table(spark, d, "pages")
+    schema = "page_id long, url string, html string"
+    folder = prepared.once(spark, d, "service", ("pages",), lambda: paged.store_pages(pages.select("page_id", "url", "html"), "page_id", 100))
+    ends = pages.agg(F.coalesce(F.min("page_id"), F.lit(0)).alias("low"), F.coalesce(F.max("page_id") + 1, F.lit(0)).alias("high")).first()
+    return paged.Service(paged.FileTransport(folder, "page_id", 100, _busy), schema, "page_id", ("url",), 100), ends["low"], ends["high"]
+
+
+@query
+def paged_read(spark, d):
+    """All records of a service that is often busy, of which the url filter is left to the service."""
+    service, low, high = _service(spark, d)
+    rows = paged.read(spark, service, low, high, partitions=16).where(F.col("url").startswith("https://"))
+    return rows.select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
+@query
+def paged_first_n(spark, d):
+    """The first 60 pages, by id, with a body of a certain length; later windows of ids are not asked for."""
+    service, low, high = _service(spark, d)
+    keep = lambda rows: rows.where(F.length("html").between(1500, 40_000))
+    return paged.first_n(spark, service, keep, 60, low, high).select("page_id", F.length("html").cast("long").alias("n_chars"))
+
+
 # ---------------------------------------------------------------- chunks
 
 
