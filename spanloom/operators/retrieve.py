@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.identity import content_hash
 from spanloom.operators import dense, fusion, lexical
 from spanloom.operators.ranking import RankingError, top_n
 from spanloom.plans.config import Retrieval
+from spanloom.sources import versioned
 
 
 def unresolved(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vec
     if config.reranker.enabled != (rerank_scores is not None):
         raise ValueError("an enabled reranker, and only it, has scores")
     queries = queries.withColumn("query", F.when(F.trim("query") == "", F.raise_error(F.lit("a query is blank")).cast("string")).otherwise(F.col("query")))
-    near = dense.search(query_vectors.join(queries.select("query_id"), "query_id", "left_semi"), chunk_vectors, config.dense_top_n)
+    near = dense.search_arrow(query_vectors.join(queries.select("query_id"), "query_id", "left_semi"), chunk_vectors, config.dense_top_n)
     words = fused = None
     ranked = near
     if config.lexical is not None and config.fusion is not None:
@@ -72,3 +75,33 @@ def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vec
     located = out.join(chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text", F.lit(True).alias("known")), "chunk_id", "left")
     lost = F.raise_error(F.concat(F.lit("no chunk has the id "), F.col("chunk_id").cast("string"))).cast(located.schema["doc_id"].dataType)
     return located.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")).otherwise(lost)).drop("known")
+
+
+# ---------------------------------------------------------------- from a stored index
+
+
+def index_key(config: Retrieval) -> str:
+    """What an index is made of: configurations that cut and embed alike share one."""
+    return content_hash({"chunking": asdict(config.chunking), "embedding": asdict(config.embedding)}, 16)
+
+
+def store(config: Retrieval, chunks: DataFrame, vectors: DataFrame, path: str) -> str:
+    """Put chunks with their vectors under the configuration's key, in one transaction; the key.
+
+    Every chunk has one vector of the configuration's dimension, and there is a chunk: else an error, and nothing is stored.
+    """
+    checked_wiring(config if config.retrieval_mode == "dense" else replace(config, retrieval_mode="dense", lexical=None, fusion=None), chunks, vectors)
+    key = index_key(config)
+    versioned.load(chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text").join(vectors.select("chunk_id", "vector"), "chunk_id").withColumn("index_key", F.lit(key)), path)
+    return key
+
+
+def search_by_key(path: str, key: str, query_vectors: DataFrame, n: int, version: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the n nearest chunks of an index key, exactly."""
+    return dense.search_arrow(query_vectors, versioned.read(query_vectors.sparkSession, path, key, version).select("chunk_id", "vector"), n)
+
+
+def retrieve_stored(config: Retrieval, queries: DataFrame, query_vectors: DataFrame, path: str, rerank_scores: DataFrame | None = None, version: int | None = None) -> DataFrame:
+    """As ``retrieve``, over what the index at path holds for the configuration."""
+    rows = versioned.read(queries.sparkSession, path, index_key(config), version)
+    return retrieve(config, queries, rows.drop("vector", "index_key"), query_vectors, rows.select("chunk_id", "vector"), rerank_scores)

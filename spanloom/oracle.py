@@ -118,7 +118,7 @@ _UNPIVOTED = "parts AS (UNPIVOT scores ON recall, mrr, ndcg INTO NAME metric VAL
 _GROUPED = "SELECT config, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM parts GROUP BY GROUPING SETS ((config, metric, k), (config, category, metric, k), (config, origin, metric, k))"
 _COUNTED = "SELECT count(*) AS n_queries, count(*) FILTER (WHERE query_id NOT IN (SELECT query_id FROM labels0 WHERE gain >= 2)) AS n_skipped FROM queries0"
 #: Reranked: the whole depth of the fused ranking, by the stand-in for a model.
-_AGAIN = "again AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(('0x' || substr(md5(query_id || chunk_id), 1, 8))::UBIGINT / 4294967296.0, 9) DESC, chunk_id) AS rank FROM ranked)"
+_SCORED = "again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, ('0x' || substr(md5(query_id || chunk_id), 1, 8))::UBIGINT / 4294967296.0 AS score FROM ranked))"
 
 
 def _gate_ctes() -> str:
@@ -127,7 +127,7 @@ def _gate_ctes() -> str:
     rankings = {"b:dense": "near", "b:hybrid": "ranked", "b:lexical": "lexical", "n:lexical": "flat", "n:hybrid": "ranked0", "n:rerank": "again"}
     policy = ", ".join(f"('{c}', {i}, '{key.rpartition('_at_')[0]}', {key.rpartition('_at_')[2]}, {drop})" for i, c in enumerate(fixtures.GATED.gated_configs) for key, drop in fixtures.GATED.max_absolute_drop.items())
     return ", ".join([
-        _config_ctes(rankings, _bm25(b=0.0, n=50, name="flat"), flat, _AGAIN), _UNPIVOTED,
+        _config_ctes(rankings, _bm25(b=0.0, n=50, name="flat"), flat, _SCORED), _UNPIVOTED,
         "means AS (SELECT split_part(config, ':', 1) AS side, split_part(config, ':', 2) AS config, metric, k, avg(value) AS mean FROM parts GROUP BY ALL)",
         f"policy(config, ord, metric, k, max_drop) AS (VALUES {policy})",
         "judged AS (SELECT p.config, p.ord, p.metric, p.k, b.mean AS base, n.mean AS now, p.max_drop::DOUBLE AS max_drop, b.mean - n.mean AS d, CASE WHEN b.mean IS NULL OR n.mean IS NULL THEN 'unreported' WHEN b.mean - n.mean > p.max_drop::DOUBLE + 1e-9 THEN 'regression' ELSE 'ok' END AS outcome FROM policy p LEFT JOIN (FROM means WHERE side = 'b') b ON b.config = p.config AND b.metric = p.metric AND b.k = p.k LEFT JOIN (FROM means WHERE side = 'n') n ON n.config = p.config AND n.metric = p.metric AND n.k = p.k)",
@@ -209,7 +209,11 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "macro_grouping_sets": _with(*metrics, select="SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(origin) = 0 THEN 'origin' ELSE 'overall' END AS grp_type, coalesce(category, origin, 'all') AS grp, metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY GROUPING SETS ((metric, k), (category, metric, k), (origin, metric, k))"),
         "macro_overall": _with(*metrics, select="SELECT metric, k, round(avg(value), 6) AS mean, count(*) AS n FROM long GROUP BY metric, k"),
         "latency_median": "SELECT event_type, round(median(value), 6) AS value, round(median(value * 2), 6) AS value2 FROM events GROUP BY event_type",
-        "paged_read": "SELECT page_id, url, length(html) AS n_chars, md5(html) AS html_md5 FROM pages WHERE starts_with(url, 'https://')",
+        "index_keys": _with(_CHUNKS, _chunk_ctes(Chunking(chunk_size=256, chunk_overlap=25), "wide"), select="SELECT '128' AS windows, count(*) AS n, 3 AS version FROM chunks UNION ALL SELECT '256', count(*), 3 FROM wide"),
+        "index_key_search": _with(_CHUNKS, _GOLD, _HASHED, _hash_arm(10), select="SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM near"),
+        "index_key_rows": _with(_CHUNKS, select="SELECT doc_id, chunk_id, char_start, char_end, md5(text) AS text_md5 FROM chunks"),
+        "retrieve_hybrid": _with(_ARMS, _FUSED, _SCORED, select="SELECT o.query_id, o.chunk_id, o.rank, round(f.dense, 6) AS dense, round(f.lexical, 6) AS lexical, round(f.score, 9) AS fused, round(o.score, 6) AS rerank, c.doc_id, c.char_start, c.char_end, md5(c.text) AS text_md5 FROM again o JOIN fused f USING (query_id, chunk_id) JOIN chunks c USING (chunk_id) WHERE o.rank <= 10"),
+        "paged_read": "SELECT page_id, url, length(html) AS n_chars, md5(html) AS html_md5 FROM pages",
         "paged_first_n": "SELECT page_id, length(html) AS n_chars FROM pages WHERE length(html) BETWEEN 1500 AND 40000 ORDER BY page_id LIMIT 60",
         "run_reports": _with(_config_ctes(), _UNPIVOTED, f"means AS ({_GROUPED})", f"counted AS ({_COUNTED})", select="SELECT * FROM means, counted"),
         "run_latency": "SELECT (['dense', 'hybrid', 'lexical'])[user_id % 3 + 1] AS config, round(median(value), 6) AS total_ms FROM events GROUP BY ALL",

@@ -26,10 +26,10 @@ GATED = GatePolicy(("lexical", "rerank", "hybrid", "dense"), {"recall_at_10": 0.
 _VECTORS = Embedding("hashing", "1", 256)
 
 
-def configuration(name: str, b: float = 0.75, reranked: bool = False) -> Retrieval:
+def configuration(name: str, b: float = 0.75, reranked: bool = False, chunking: Chunking = CHUNKING) -> Retrieval:
     """The configurations that the queries run: hash vectors, alone or fused with BM25 of the given b."""
     hybrid = {} if name == "dense" else {"lexical": Lexical("bm25", 50, b=b), "fusion": Fusion()}
-    return Retrieval(name, "hybrid" if hybrid else "dense", 10, 50, CHUNKING, _VECTORS, reranker=Reranker(True, "md5", "1", 50) if reranked else Reranker(), description=name, **hybrid)
+    return Retrieval(name, "hybrid" if hybrid else "dense", 10, 50, chunking, _VECTORS, reranker=Reranker(True, "md5", "1", 50) if reranked else Reranker(), description=name, **hybrid)
 
 
 ACTIONS = {"click": "accept", "view": "skip", "error": "reject", "purchase": "edit", "signup": "accept"}

@@ -15,7 +15,7 @@ from spanloom.operators.ranking import duplicates, top_n
 from spanloom.plans import fixtures, prepared
 from spanloom.plans.config import Chunking
 from spanloom.plans.fixtures import table
-from spanloom.sources import digests, paged, stores
+from spanloom.sources import digests, paged, stores, versioned
 from spanloom.sources.scratch import materialise, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,9 +123,10 @@ def _service(spark, d):
 
 @query
 def paged_read(spark, d):
-    """All records of a service that is often busy, of which the url filter is left to the service."""
+    """All records of a service that is often busy, in two reads: the service filters one of them, Spark the other."""
     service, low, high = _service(spark, d)
-    rows = paged.read(spark, service, low, high, partitions=16).where(F.col("url").startswith("https://"))
+    secure = F.col("url").startswith("https://")
+    rows = paged.read(spark, service, low, high, 16).where(secure).unionByName(paged.read(spark, service, low, high, 16).where(F.col("url").isNull() | ~secure))
     return rows.select("page_id", "url", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
@@ -424,6 +425,54 @@ def wiring_problems(spark, d):
     return retrieve.wiring_problems(_chunks(spark, d), vectors=wrong, dimension=256)
 
 
+def _stored_index(spark, d):
+    """(path, configuration): an index of two keys, the first of which was loaded with other chunks and then replaced."""
+    config, other = fixtures.configuration("dense"), fixtures.configuration("dense", chunking=Chunking(chunk_size=256, chunk_overlap=25))
+
+    def make():
+        path = scratch_dir(spark, "keyed")
+        wide = materialise(chunking.chunks(_docs(spark, d), other.chunking), "chunks-wide")
+        vectors = materialise(dense.hash_counts(wide, "chunk_id", "text"), "vectors-wide")
+        retrieve.store(other, wide, vectors, path)
+        versioned.load(wide.select("chunk_id", "doc_id", "char_start", "char_end", "text").join(vectors, "chunk_id").withColumn("index_key", F.lit(retrieve.index_key(config))), path)
+        retrieve.store(config, _chunks(spark, d), prepared.vectors(spark, d), path)
+        return path
+
+    return prepared.once(spark, d, "keyed-index", ("documents",), make), config, other
+
+
+@query
+def index_keys(spark, d):
+    path, config, other = _stored_index(spark, d)
+    names = F.create_map(F.lit(retrieve.index_key(config)), F.lit("128"), F.lit(retrieve.index_key(other)), F.lit("256"))
+    return versioned.loaded_keys(spark, path).select(names[F.col("index_key")].alias("windows"), "n", "version")
+
+
+@query
+def index_key_search(spark, d):
+    path, config, _ = _stored_index(spark, d)
+    q = dense.hash_embed(_golden(spark, d)[0], "query_id", "query")
+    return retrieve.search_by_key(path, retrieve.index_key(config), q, TOP_K).select("query_id", "chunk_id", _r("score"), "rank")
+
+
+@query
+def index_key_rows(spark, d):
+    """What is stored for the key that was replaced."""
+    path, config, _ = _stored_index(spark, d)
+    return versioned.read(spark, path, retrieve.index_key(config)).select("doc_id", "chunk_id", "char_start", "char_end", F.md5("text").alias("text_md5"))
+
+
+@query
+def retrieve_hybrid(spark, d):
+    """A hybrid configuration from the stored index: both arms, fusion, rerank, truncation, assembly, the chunks' places."""
+    path, *_ = _stored_index(spark, d)
+    q, _ = _golden(spark, d)
+    *_, ranked = _hybrid(spark, d)
+    config = fixtures.configuration("hybrid", reranked=True)
+    found = retrieve.retrieve_stored(config, q.select("query_id", "query"), dense.hash_embed(q, "query_id", "query"), path, _rerank_scores(ranked))
+    return found.select("query_id", "chunk_id", "rank", _r("dense"), _r("lexical"), F.round("fused", 9).alias("fused"), _r("rerank"), "doc_id", "char_start", "char_end", F.md5("text").alias("text_md5"))
+
+
 @query
 def ranking_duplicates(spark, d):
     """Chunks that two arms name, were they taken for one ranking."""
