@@ -7,8 +7,9 @@ whole number; that one is settled and the other meets the next.  A block of docu
 and blocks combine their residuals in a reduction tree of fan-in FAN_IN until a source has one document left, which is
 rounded to the nearer whole.  So a source's taken words differ from its target by half a document at most.
 
-Randomness is a hash of (seed, doc_id, level), blocks are hashes of doc_id and rows are sorted in a block, so reruns
-agree whatever the partitions.
+Randomness is a hash of (seed, level, row), a row being its doc_id, text and number among rows alike in both; blocks are
+hashes of the row too and rows are sorted in a block.  So reruns agree whatever the partitions, and rows without doc_id,
+or of one doc_id, or alike in all, are dealt to as many blocks as any others.
 
 Defined cases: a null text has no words; documents without words take nothing; a null source is a source of its own,
 last; empty table: no rows; repeated rows are rounded one by one; a source of no words has target 0; extra columns are
@@ -34,7 +35,9 @@ MOST = 2.0
 BLOCK_ROWS = 4096
 FAN_IN = 256
 
-_SCHEMA = "doc_id long, source string, size long, copies long, open double, block long"
+_SCHEMA = "doc_id long, source string, size long, mark long, key long, copies long, open double, block long"
+#: Rows alike that one generated row stands for until they are numbered.
+ALIKE = 10_000
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, float]:
@@ -93,32 +96,36 @@ def pivot(size: np.ndarray, part: np.ndarray, luck: np.ndarray) -> tuple[np.ndar
 
 def _combine(last: bool, level: int, seed: int):
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id")
-        key = ids.fill_null(-1).to_numpy().astype(np.int64)
-        size, part, copies = (group.column(c).to_numpy() for c in ("size", "open", "copies"))
+        key, size, part, copies = (group.column(c).to_numpy() for c in ("key", "size", "open", "copies"))
         order = np.lexsort((part, key, -size))
-        luck = mix64(mix64(key.astype(np.uint64) + np.uint64(seed * 1_000_003 + level)) + size.astype(np.uint64)) / 2.0**64
+        luck = mix64(key.astype(np.uint64) ^ mix64(np.array([seed * 1_000_003 + level], np.uint64))) / 2.0**64
         done, held = pivot(size[order], part[order], luck[order])
         if held >= 0 and last:
             done[held], held = float(done[held] >= 0.5), -1
         left = np.full(len(order), np.nan)
         if held >= 0:
             left[held], done[held] = done[held], 0
-        return pa.table(
-            {"doc_id": ids.take(pa.array(order)), "source": group.column("source").take(pa.array(order)), "size": pa.array(size[order], pa.int64()), "copies": pa.array(copies[order] + done.astype(np.int64), pa.int64()), "open": pa.array(left, pa.float64(), mask=np.isnan(left)), "block": group.column("block").take(pa.array(order))}
-        )
+        own = group.take(pa.array(order))
+        return pa.table({c: own.column(c) for c in ("doc_id", "source", "size", "mark", "key")} | {"copies": pa.array(copies[order] + done.astype(np.int64), pa.int64()), "open": pa.array(left, pa.float64(), mask=np.isnan(left)), "block": own.column("block")})
 
     return run
 
 
 def decide(docs: DataFrame, seed: int = 7, size: Column | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source) of every document; taken = copies x size."""
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (word_count(F.col("text")) if size is None else size).alias("size")), "mix-rows")
-    return _decide(rows, seed)
+    """(doc_id, size, source_size, target, taken, copies, source, mark) of every document; taken = copies x size.
+
+    ``mark`` is a hash of the text; rows alike in doc_id, source, size and mark get as many decisions as they are.
+    """
+    words = word_count(F.col("text")) if size is None else size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64("text").alias("mark"))
+    alike = rows.groupBy("doc_id", "source", "size", "mark").agg(F.count(F.lit(1)).alias("n"))
+    some = alike.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {ALIKE}"))))
+    each = some.withColumn("nth", F.explode(F.sequence(F.col("first") * ALIKE, F.least(F.col("n"), (F.col("first") + 1) * ALIKE) - 1)))
+    return _decide(materialise(each.select("doc_id", "source", "size", "mark", F.xxhash64("doc_id", "mark", "nth").alias("key")), "mix-rows"), seed)
 
 
 def _decide(rows: DataFrame, seed: int) -> DataFrame:
-    """decide() of rows (doc_id, source, size) that lie in files."""
+    """decide() of rows (doc_id, source, size, mark, key) that lie in files."""
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()  # one row for each source
     target = targets([(r["source"], r["source_size"]) for r in by_source])
     plan = rows.sparkSession.createDataFrame(
@@ -127,7 +134,7 @@ def _decide(rows: DataFrame, seed: int) -> DataFrame:
     )
     rows = rows.join(F.broadcast(plan) if len(by_source) <= 100_000 else plan, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
     whole = F.floor(F.col("rate") + 1e-12)
-    start = rows.select("doc_id", "source", "size", F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("copies"), F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0).alias("open"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
+    start = rows.select("doc_id", "source", "size", "mark", "key", F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("copies"), F.when(F.col("size") > 0, F.greatest(F.col("rate") - whole, F.lit(0.0))).otherwise(0.0).alias("open"), F.pmod("key", "blocks").alias("block"))
     most = max([1, *(-(-r["n"] // BLOCK_ROWS) for r in by_source)])
     level, settled, open_ = 0, None, start
     while True:
@@ -140,22 +147,22 @@ def _decide(rows: DataFrame, seed: int) -> DataFrame:
         open_ = step.where("open is not null").withColumn("block", F.floor(F.col("block") / FAN_IN).cast("long"))
     known = plan.select("source_name", "source_size", "target")
     return settled.join(F.broadcast(known) if len(by_source) <= 100_000 else known, F.col("source").eqNullSafe(F.col("source_name"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source"
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "mark"
     )
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixture itself: each document as often as it is copied, with all its columns; documents taken 0 times go.
 
-    Rows that share doc_id, source and size are numbered, and each takes one of the decisions made for them; so what the
+    Rows alike in doc_id, source and text are numbered, and each takes one of the decisions made for them; so what the
     mixture takes is what was decided, row by row.
     """
     key, nth, copies, copy = (unused(docs, c) for c in ("mix_key", "mix_nth", "mix_copies", "mix_copy"))
-    named = lambda doc_id, source, size: F.to_json(F.struct(doc_id.cast("long").alias("d"), source.cast("string").alias("s"), size.alias("n")))
-    chosen = decide(docs, seed).where("copies > 0").groupBy(named(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), "copies").agg(F.count(F.lit(1)).alias("n"))
+    named = lambda doc_id, source, size, mark: F.to_json(F.struct(doc_id.cast("long").alias("d"), source.cast("string").alias("s"), size.alias("n"), mark.alias("m")))
+    chosen = decide(docs, seed).where("copies > 0").groupBy(named(F.col("doc_id"), F.col("source"), F.col("size"), F.col("mark")).alias(key), "copies").agg(F.count(F.lit(1)).alias("n"))
     # copies of a key are two numbers at most, each with its count; rows take them in turn
     chosen = chosen.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("copies", "n")), False).alias(copies))
-    keyed = docs.withColumn(key, named(F.col("doc_id"), F.col("source"), word_count(F.col("text")))).join(chosen, key)
+    keyed = docs.withColumn(key, named(F.col("doc_id"), F.col("source"), word_count(F.col("text")), F.xxhash64("text"))).join(chosen, key)
     numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
     first = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("mine"))
     mine = lambda acc, x: F.struct((acc["upto"] + x["n"]).alias("upto"), F.when((F.col(nth) > acc["upto"]) & (F.col(nth) <= acc["upto"] + x["n"]), x["copies"]).otherwise(acc["mine"]).alias("mine"))

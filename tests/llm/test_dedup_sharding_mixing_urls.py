@@ -8,9 +8,11 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, mixing, sharding, url_filter
+from spanloom.llm.common import mix64
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -233,3 +235,57 @@ def test_empty_list_allows_all(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string")
     assert url_filter.judge(pages, none).first()["verdict"] == "allow"
+
+
+# ---------------------------------------------------------------- mixing: rows alike, rows without doc_id
+
+
+def plain_mixture(rows, seed, block_rows, fan_in):
+    """Decisions (doc_id, source, size, copies) of the reduction tree in plain Python, from rows (doc_id, source, size, key)."""
+    target = mixing.targets([(s, sum(r[2] for r in rows if r[1] == s)) for s in {r[1] for r in rows}])
+    number = {s: -(-sum(r[1] == s for r in rows) // block_rows) for s in target}
+    most, out, level = max(number.values()), [], 0
+    open_ = []
+    for doc, source, size, key in rows:
+        total = sum(r[2] for r in rows if r[1] == source)
+        rate = target[source] / total if total else 0.0
+        whole = int(rate + 1e-12) if size else 0
+        open_.append([doc, source, size, key, whole, max(rate - whole, 0.0) if size else 0.0, key % number[source]])
+    while True:
+        groups = {}
+        for r in open_:
+            groups.setdefault((r[1], r[6]), []).append(r)
+        rest = []
+        for group in groups.values():
+            group.sort(key=lambda r: (-r[2], r[3], r[5]))
+            key = np.array([r[3] for r in group], np.int64).astype(np.uint64)
+            luck = mix64(key ^ mix64(np.array([seed * 1_000_003 + level], np.uint64))) / 2.0**64
+            done, held = mixing.pivot(np.array([r[2] for r in group]), np.array([r[5] for r in group]), luck)
+            for i, r in enumerate(group):
+                if i == held and most > 1:
+                    rest.append([*r[:5], done[i], r[6] // fan_in])
+                else:
+                    out.append((r[0], r[1], r[2], r[4] + int(done[i] >= 0.5 if i == held else done[i])))
+        if most == 1:
+            return sorted(out, key=str)
+        open_, level, most = rest, level + 1, -(-most // fan_in)
+
+
+def test_draws_equal_a_plain_tree_and_rows_alike_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    monkeypatch.setattr(mixing, "ALIKE", 7)
+    rng = random.Random(3)
+    rows = [(None, "a", "one two three")] * 90 + [(None, "a", f"no id {i}") for i in range(60)] + [(5, "b", f"of five {i % 9} " * (i % 4)) for i in range(80)] + [(i, rng.choice(["a", "b", None]), "w " * rng.randrange(30)) for i in range(100)] + [(1, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    decided = mixing.decide(docs)
+    blocks = {}
+    numbered = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size", "mark").orderBy(F.lit(1))) - 1)
+    keyed = [tuple(r) for r in numbered.select("doc_id", "source", "size", F.xxhash64("doc_id", "mark", F.col("nth").cast("long"))).collect()]
+    for doc, source, _, key in keyed:
+        if doc is None and source == "a":
+            blocks[key % 12] = blocks.get(key % 12, 0) + 1
+    assert len(blocks) > 8 and max(blocks.values()) < 40
+    assert sorted(((r["doc_id"], r["source"], r["size"], r["copies"]) for r in decided.collect()), key=str) == plain_mixture(keyed, 7, 16, 3)
+    mixed = mixing.mix(docs).groupBy("doc_id", "source", "text").count().collect()
+    assert sum(r["count"] for r in mixed) == decided.agg(F.sum("copies")).first()[0]
