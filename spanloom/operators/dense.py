@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import tokens
+from spanloom.operators.lexical import counted
 from spanloom.operators.ranking import PLACES, finite, top_n
 
 #: Bytes of query vectors that each task may hold.
@@ -79,25 +79,33 @@ def _bucket_counts(dimension: int):
             lists = batch.column("buckets")
             size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), size)
-            counts = np.bincount(row * dimension + lists.flatten().to_numpy(zero_copy_only=False), minlength=batch.num_rows * dimension).reshape(batch.num_rows, dimension)
+            weights = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+            counts = np.bincount(row * dimension + lists.flatten().to_numpy(zero_copy_only=False), weights, batch.num_rows * dimension).astype(np.int32).reshape(batch.num_rows, dimension)
             counts[size == 0, 0] = 1
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimension), pa.array(counts.ravel().astype(np.int32)))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimension), pa.array(counts.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), vectors], names=["id", "counts"])
 
     return run
 
 
-def hash_counts(rows: DataFrame, id_col: str, text_col: str, dimension: int = 256) -> DataFrame:
-    """(id, vector of whole numbers): counts of tokens by bucket of their MD5; the first axis for texts without tokens.
+def hash_counted(rows: DataFrame, id_col: str = "chunk_id", dimension: int = 256) -> DataFrame:
+    """(id, vector of whole numbers) of counted rows (id, terms, tfs): counts of tokens by bucket of their MD5; the first
+    axis for rows without tokens.
 
-    Made where the rows are: tokens and buckets by built-in functions, counts on Arrow batches; nothing is shuffled.
+    Made where the rows are: buckets of distinct terms by built-in functions, sums on Arrow batches; nothing is shuffled.
     """
     bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int")
     kind = rows.schema[id_col].dataType.simpleString()
-    found = rows.select(F.col(id_col).alias("id"), F.transform(tokens(F.col(text_col)), bucket).alias("buckets"))
+    found = rows.select(F.col(id_col).alias("id"), F.transform("terms", bucket).alias("buckets"), F.col("tfs"))
     return found.mapInArrow(_bucket_counts(dimension), f"id {kind}, counts array<int>").select(F.col("id").alias(id_col), F.col("counts").alias("vector"))
 
 
+def hash_counts(rows: DataFrame, id_col: str, text_col: str, dimension: int = 256) -> DataFrame:
+    """hash_counted of rows (id, text)."""
+    own = counted(rows.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))).withColumnRenamed("chunk_id", id_col)
+    return hash_counted(own, id_col, dimension)
+
+
 def hash_embed(rows: DataFrame, id_col: str, text_col: str, dimension: int = 256) -> DataFrame:
     """(id, vector): hash_counts over their norm."""
     return hash_counts(rows, id_col, text_col, dimension).select(id_col, unit(F.col("vector")).alias("vector"))

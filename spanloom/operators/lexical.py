@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +26,35 @@ class Bm25Index:
     stats: DataFrame
 
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl) of chunks (chunk_id, text).  A chunk's tokens are counted where it lies: no shuffle."""
-    rows = chunks.select("chunk_id", F.array_sort(tokens(F.col("text"))).alias("sorted")).withColumn("dl", F.size("sorted")).where("dl > 0")
-    # places in the sorted tokens at which another term begins
-    heads = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("sorted", i - 1) != F.get("sorted", i)))
-    counted = F.transform("heads", lambda h, j: F.struct(F.get("sorted", h).alias("term"), (F.coalesce(F.get("heads", j + 1), F.col("dl")) - h).cast("long").alias("tf")))
-    return rows.withColumn("heads", heads).select("chunk_id", "dl", F.explode(counted).alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of tokens to lists of distinct tokens, in their order of first use in the batch, with counts."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        key = np.sort(np.repeat(np.arange(batch.num_rows), size) * width + coded.indices.to_numpy(zero_copy_only=False))
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        owner, which = np.divmod(key[head], width)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]), pa.int32())
+        tfs = np.diff(head, append=len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(which))), pa.ListArray.from_arrays(ends, pa.array(tfs))], names=["chunk_id", "dl", "terms", "tfs"])
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, terms, tfs) of chunks (chunk_id, text): each chunk's distinct tokens, counted where it lies.
+
+    Tokens are made once; postings, statistics and hash vectors all follow from these rows.
+    """
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", tokens(F.col("text")).alias("tokens")).mapInArrow(_count, f"chunk_id {kind}, dl int, terms array<string>, tfs array<bigint>")
 
 
-def stats_of(chunks: DataFrame) -> DataFrame:
-    """One row (n, avgdl); chunks without a token count."""
-    return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+def build_counted(rows: DataFrame) -> Bm25Index:
+    """The index of counted chunks.  Chunks without a token count in the statistics and have no postings."""
+    postings = rows.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return Bm25Index(postings, _terms(postings, stats), stats)
 
 
 def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -43,20 +63,31 @@ def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame) -> Bm25Index:
-    """chunks: (chunk_id, text).  Chunks without a token count in the statistics and have no postings."""
-    postings, stats = postings_of(chunks), stats_of(chunks)
-    return Bm25Index(postings, _terms(postings, stats), stats)
+    """chunks: (chunk_id, text)."""
+    return build_counted(counted(chunks))
 
 
-def write(index: Bm25Index, path: str, parts: int = 16) -> None:
-    """Store an index: postings and terms in folders by a hash of the term, sorted by term, so a query reads few."""
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    index.postings.select(part, "*").repartition(parts, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl) of chunks (chunk_id, text)."""
+    return build(chunks).postings
+
+
+#: Postings of a range, so of a file, of a stored index.
+RANGE_POSTINGS = 1_000_000
+
+
+def write(index: Bm25Index, path: str, parts: int | None = None) -> None:
+    """Store an index: postings by ranges of (term, chunk), sorted, so a frequent term takes several files and no file is large.
+
+    An index should lie in files already (its rows counted and written): ranges are found by a sample.
+    """
     spark = index.postings.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    terms = _terms(stored, spark.read.parquet(f"{path}/stats"))
-    terms.select(part, "*").write.mode("overwrite").parquet(f"{path}/terms")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    total = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    parts = parts or max(spark.sparkContext.defaultParallelism if total > RANGE_POSTINGS else 1, -(-total // RANGE_POSTINGS))
+    index.postings.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def read(spark: SparkSession, path: str) -> Bm25Index:
@@ -68,11 +99,10 @@ def _weight(k1: float, b: float) -> Column:
 
 
 def score_stored(index: Bm25Index, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """As score, from a stored index: asked terms bring their part with them, which prunes the postings that are read."""
-    asked = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "idf", "avgdl", *(["part"] if "part" in index.terms.columns else []))
+    """As score, from a stored index: postings of asked terms are met where they lie."""
+    asked = terms.join(index.terms, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "idf", "avgdl")
     hint = F.broadcast if terms.count() <= MOST_TERMS else (lambda df: df)
-    on = [c for c in ("part", "term") if c in asked.columns]
-    return index.postings.join(hint(asked), on).withColumn("part_score", _weight(k1, b)).groupBy("query_id", "chunk_id").agg(F.sum("part_score").alias("score")).where("score > 0")
+    return index.postings.join(hint(asked), "term").withColumn("part_score", _weight(k1, b)).groupBy("query_id", "chunk_id").agg(F.sum("part_score").alias("score")).where("score > 0")
 
 
 def search_stored(index: Bm25Index, terms: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -48,11 +48,12 @@ def checked_wiring(config: Retrieval, chunks: DataFrame, vectors: DataFrame, ind
         raise RankingError("; ".join(f"{r['problem']} {r['subject']}" for r in found))
 
 
-def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, rerank_scores: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
+def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, chunk_vectors: DataFrame, rerank_scores: DataFrame | None = None, top_k: int | None = None, index: lexical.Bm25Index | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, dense, lexical, fused, rerank, doc_id, char_start, char_end, text) of all queries.
 
     queries: (query_id, query), none blank; vectors: (query_id | chunk_id, vector).  The query prefix belongs to the
-    embedder's input only, so lexical and rerank stages see the bare query.
+    embedder's input only, so lexical and rerank stages see the bare query.  With a stored index of the chunks no text is
+    tokenised again.
     """
     k = config.top_k if top_k is None else top_k
     if k < 1 or k > config.dense_top_n:
@@ -66,7 +67,8 @@ def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vec
     if config.lexical is not None and config.fusion is not None:
         if config.lexical.backend != "bm25":
             raise ValueError("only bm25 is an in-engine lexical arm")
-        words = lexical.search(chunks, lexical.query_terms(queries), config.lexical.top_n, config.lexical.k1, config.lexical.b)
+        terms, own = lexical.query_terms(queries), config.lexical
+        words = lexical.search_stored(index, terms, own.top_n, own.k1, own.b) if index else lexical.search(chunks, terms, own.top_n, own.k1, own.b)
         fused = fusion.reciprocal_rank([near, words], config.fusion.k)
         ranked = top_n(fused, max(k, config.reranker.top_n_in if config.reranker.enabled else k))
     reranked = fusion.rerank(ranked, rerank_scores, config.reranker.top_n_in, k) if rerank_scores is not None else None
@@ -101,7 +103,7 @@ def search_by_key(path: str, key: str, query_vectors: DataFrame, n: int, version
     return dense.search_arrow(query_vectors, versioned.read(query_vectors.sparkSession, path, key, version).select("chunk_id", "vector"), n)
 
 
-def retrieve_stored(config: Retrieval, queries: DataFrame, query_vectors: DataFrame, path: str, rerank_scores: DataFrame | None = None, version: int | None = None) -> DataFrame:
-    """As ``retrieve``, over what the index at path holds for the configuration."""
+def retrieve_stored(config: Retrieval, queries: DataFrame, query_vectors: DataFrame, path: str, rerank_scores: DataFrame | None = None, version: int | None = None, index: lexical.Bm25Index | None = None) -> DataFrame:
+    """As ``retrieve``, over what the index at path holds for the configuration, and a BM25 index of the same chunks."""
     rows = versioned.read(queries.sparkSession, path, index_key(config), version)
-    return retrieve(config, queries, rows.drop("vector", "index_key"), query_vectors, rows.select("chunk_id", "vector"), rerank_scores)
+    return retrieve(config, queries, rows.drop("vector", "index_key"), query_vectors, rows.select("chunk_id", "vector"), rerank_scores, index=index)

@@ -43,16 +43,17 @@ def gold_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(item_id, passage, doc_id, text, at): documents that hold a benchmark passage, and its 1-based place.
 
     Words of a passage from the second on, but the last, are whole words wherever it is pasted: up to ANCHOR of them are
-    equi-joined with the documents' runs of as many words, then the passage is looked for.  A passage of one or two
+    equi-joined, as hashes, with the documents' runs of as many words, then the passage is looked for.  A passage of one or two
     words has no such run; there may be MOST_BARE of them, which meet every document.
     """
     words = lambda c: F.split(c, r"\s+")
     b = benchmark.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage"))).withColumn("size", F.least(F.lit(ANCHOR), F.size("w") - 2))
-    anchored = b.where("size > 0").withColumn("anchor", F.array_join(F.expr("slice(w, 2, size)"), " ")).select("item_id", "passage", "anchor", "size")
+    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    anchored = b.where("size > 0").withColumn("h", hashes("w")).withColumn("anchor", F.xxhash64(F.expr("slice(h, 2, size)"))).select("item_id", "passage", "anchor", "size")
     sizes = [r["size"] for r in anchored.select("size").distinct().collect()]  # ANCHOR values at most
-    runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))
-    spread = docs.select("doc_id", words(F.col("text")).alias("w"))
-    every = F.concat(F.array().cast("array<string>"), *[runs(n) for n in sizes])
+    runs = lambda n: F.transform(F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice("h", i, n)))
+    spread = docs.select("doc_id", hashes(words(F.col("text"))).alias("h"))
+    every = F.concat(F.array().cast("array<bigint>"), *[runs(n) for n in sizes])
     near = spread.select("doc_id", F.explode(F.array_distinct(every)).alias("anchor")).join(anchored.drop("size"), "anchor").select("item_id", "passage", "doc_id").distinct()
     found = docs.select("doc_id", "text").join(near, "doc_id").select("item_id", "passage", "doc_id", "text")
     bare = b.where("size <= 0").select("item_id", "passage")

@@ -46,17 +46,22 @@ def chunks(spark: SparkSession, sf_dir: str, config: Chunking = fixtures.CHUNKIN
     return once(spark, sf_dir, f"chunks-{config.hash}", ("documents",), lambda: materialise(chunking.chunks(docs, config), "chunks"))
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks' distinct tokens with counts: what the index and the vectors are made of."""
+    return once(spark, sf_dir, "counted", ("documents",), lambda: materialise(lexical.counted(chunks(spark, sf_dir)), "counted"))
+
+
 def bm25(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
     def make() -> lexical.Bm25Index:
         path = scratch_dir(spark, "bm25")
-        lexical.write(lexical.build(chunks(spark, sf_dir)), path)
+        lexical.write(lexical.build_counted(counted(spark, sf_dir)), path)
         return lexical.read(spark, path)
 
     return once(spark, sf_dir, "bm25", ("documents",), make)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "vectors", ("documents",), lambda: materialise(dense.hash_counts(chunks(spark, sf_dir), "chunk_id", "text"), "vectors"))
+    return once(spark, sf_dir, "vectors", ("documents",), lambda: materialise(dense.hash_counted(counted(spark, sf_dir)), "vectors"))
 
 
 def golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -469,7 +469,7 @@ def retrieve_hybrid(spark, d):
     q, _ = _golden(spark, d)
     *_, ranked = _hybrid(spark, d)
     config = fixtures.configuration("hybrid", reranked=True)
-    found = retrieve.retrieve_stored(config, q.select("query_id", "query"), dense.hash_embed(q, "query_id", "query"), path, _rerank_scores(ranked))
+    found = retrieve.retrieve_stored(config, q.select("query_id", "query"), dense.hash_embed(q, "query_id", "query"), path, _rerank_scores(ranked), index=prepared.bm25(spark, d))
     return found.select("query_id", "chunk_id", "rank", _r("dense"), _r("lexical"), F.round("fused", 9).alias("fused"), _r("rerank"), "doc_id", "char_start", "char_end", F.md5("text").alias("text_md5"))
 
 
