@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+from spanloom import queries
 from spanloom.plans import fixtures
 from spanloom.plans.config import Chunking
 
@@ -161,6 +163,10 @@ def oracle_sql() -> dict[str, str]:
         "doc_tokens": f"SELECT doc_id, len({_tok('text')}) AS n_tokens, len(list_distinct({_tok('text')})) AS n_distinct FROM documents",
         "conv_turn_tokens": f"SELECT role, count(*) AS turns, sum(len({_tok('text')}))::BIGINT AS n_tokens FROM conversations GROUP BY role",
         "is_html": f"SELECT page_id, {_HTML.format(c='html')} AS is_html, {_HTML.format(c='url')} AS url_is_html FROM pages",
+        # the pages have no character that NFKC changes
+        "html_text": f"WITH a AS (SELECT page_id, {_ENTITIES.format(c=_STRIP.format(c='html'))} AS t FROM pages)," + r""" b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\[\*\d+\]', '', 'g'), '(?m)^[ \t]*\*\d+[ \t]*$', '', 'g'), '[ \t\x0b\f\x{a0}]+', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
+        "html_references": "WITH o(odd) AS (SELECT $$" + html.unescape(queries.ODD_REFERENCES).replace("\0", "") + f"$$), b AS (SELECT page_id, odd || {_ENTITIES.format(c='html')} || odd AS t FROM pages, o) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM b",
         "html_blocks": f"WITH b AS (SELECT page_id, {_ENTITIES.format(c=_STRIP.format(c='html'))} AS body FROM pages) SELECT page_id, length(body) AS n_chars, md5(body) AS text_md5 FROM b",
         "normalize_ws": r"""WITH a AS (SELECT doc_id, '  *7' || chr(10) || ' ' || replace(replace(text, '. ', ' [*12] .' || chr(13) || chr(10) || '  ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)), ', ', ',' || chr(9) || '  ') || ' ' || chr(10) || chr(10) AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\[\*[0-9]+\]', '', 'g'), '(?m)^[ \t]*\*[0-9]+[ \t]*$', '', 'g') AS t FROM a),

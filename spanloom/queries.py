@@ -64,16 +64,27 @@ def is_html(spark, d):
 
 @query
 def html_blocks(spark, d):
-    """Pages as text, with entities decoded by built-in functions."""
-    body = T.decode_basic_entities(T.strip_markup(F.col("html")))
+    """Pages as text, with references decoded by built-in functions."""
+    body = T.html_to_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(body).cast("long").alias("n_chars"), F.md5(body).alias("text_md5"))
 
 
 @query
 def html_text(spark, d):
-    """Pages as text, with all entities decoded, spacing normalised."""
-    body = T.normalise(T.html_to_text(F.col("html")))
-    return table(spark, d, "pages").select("page_id", F.length(body).cast("long").alias("n_chars"), F.md5(body).alias("text_md5"))
+    """Pages as text, with all references decoded, spacing normalised."""
+    rows = table(spark, d, "pages").select("page_id", T.normalise(T.html_to_text(F.col("html"))).alias("text"))
+    return rows.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+#: References of every kind.
+ODD_REFERENCES = " &lt;b&gt; &amp;amp; &notit; &not &hellip;&eacute;&NotEqualTilde; &#233; &#xE9; &#128; &#0; &#55296; &#x110000; &#1; &nosuch; & &; &#; &copy2 "
+
+
+@query
+def html_references(spark, d):
+    """Pages with references of every kind put into them, decoded: names, numbers, without semicolon, unknown, beyond."""
+    rows = table(spark, d, "pages").select("page_id", T.decode_references(F.concat(F.lit(ODD_REFERENCES), F.col("html"), F.lit(ODD_REFERENCES))).alias("text"))
+    return rows.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query
