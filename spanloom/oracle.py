@@ -6,6 +6,7 @@ import html
 import re
 
 from spanloom import queries
+from spanloom.operators import golden
 from spanloom.plans import fixtures
 from spanloom.plans.config import Chunking
 
@@ -167,6 +168,11 @@ def oracle_sql() -> dict[str, str]:
         "html_text": f"WITH a AS (SELECT page_id, {_ENTITIES.format(c=_STRIP.format(c='html'))} AS t FROM pages)," + r""" b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\[\*\d+\]', '', 'g'), '(?m)^[ \t]*\*\d+[ \t]*$', '', 'g'), '[ \t\x0b\f\x{a0}]+', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "html_references": "WITH o(odd) AS (SELECT $$" + html.unescape(queries.ODD_REFERENCES).replace("\0", "") + f"$$), b AS (SELECT page_id, odd || {_ENTITIES.format(c='html')} || odd AS t FROM pages, o) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM b",
+        # common runs as islands: places of equal tokens on one diagonal without a gap
+        "echo_longest_run": _with(_GOLD, f"e AS (SELECT item_id, doc_id, {_tok('substr(passage, 1, 120)')} AS q, {_tok('passage')} AS p FROM gold)", "qs AS (SELECT item_id, doc_id, unnest(q) AS t, generate_subscripts(q, 1) AS i FROM e)", "ps AS (SELECT item_id, doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS j FROM e)",
+            "met AS (SELECT item_id, doc_id, i - j AS d, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS island FROM qs JOIN ps USING (item_id, doc_id, t))", "runs AS (SELECT item_id, doc_id, max(n) AS run FROM (SELECT item_id, doc_id, count(*) AS n FROM met GROUP BY item_id, doc_id, d, island) GROUP BY ALL)",
+            "told AS (SELECT item_id, doc_id, coalesce(run, 0) AS run, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_distinct(list_intersect(q, p))) / len(list_distinct(q)) END AS overlap FROM e LEFT JOIN runs USING (item_id, doc_id))",
+            select=f"SELECT item_id, doc_id, run AS longest_run, round(overlap, 6) AS overlap, overlap >= {golden.ECHO_SHARE} OR run >= {golden.ECHO_RUN} AS warned FROM told"),
         "html_blocks": f"WITH b AS (SELECT page_id, {_ENTITIES.format(c=_STRIP.format(c='html'))} AS body FROM pages) SELECT page_id, length(body) AS n_chars, md5(body) AS text_md5 FROM b",
         "normalize_ws": r"""WITH a AS (SELECT doc_id, '  *7' || chr(10) || ' ' || replace(replace(text, '. ', ' [*12] .' || chr(13) || chr(10) || '  ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)), ', ', ',' || chr(9) || '  ') || ' ' || chr(10) || chr(10) AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\[\*[0-9]+\]', '', 'g'), '(?m)^[ \t]*\*[0-9]+[ \t]*$', '', 'g') AS t FROM a),
