@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.plans.config import GatePolicy
@@ -22,6 +22,11 @@ def policy_rows(df: DataFrame, policy: GatePolicy) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "config string, ord int, metric string, k int, max_drop double")
 
 
+def _difference(a: str, b: str) -> Column:
+    """a - b without the noise of sums, and never a negative zero."""
+    return F.round(F.col(a) - F.col(b), 12) + F.lit(0.0)
+
+
 def regressions(policy: DataFrame, baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(config, metric, k, base, now, drop, max_drop, outcome); runs: (config, metric, k, mean).
 
@@ -29,7 +34,7 @@ def regressions(policy: DataFrame, baseline: DataFrame, current: DataFrame) -> D
     """
     b = baseline.select("config", "metric", "k", F.col("mean").alias("base"))
     c = current.select("config", "metric", "k", F.col("mean").alias("now"))
-    drop = F.col("base") - F.col("now")
+    drop = _difference("base", "now")
     outcome = F.when(F.col("base").isNull() | F.col("now").isNull(), "unreported").when(drop > F.col("max_drop") + SLACK, "regression").otherwise("ok")
     return policy.join(b, ["config", "metric", "k"], "left").join(c, ["config", "metric", "k"], "left").select("config", "ord", "metric", "k", "base", "now", drop.alias("drop"), "max_drop", outcome.alias("outcome"))
 
@@ -63,5 +68,5 @@ def evaluate(policy: GatePolicy, baseline: DataFrame, current: DataFrame, baseli
 
 def verdict_text(rows: DataFrame) -> DataFrame:
     """Regressions with one line of text each."""
-    told = F.format_string("%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)", "config", "metric", "k", "base", "now", F.col("now") - F.col("base"), "max_drop")
+    told = F.format_string("%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)", "config", "metric", "k", "base", "now", _difference("now", "base"), "max_drop")
     return rows.withColumn("verdict", F.when(F.col("outcome") == "unreported", F.format_string("%s %s@%d: not reported", "config", "metric", "k")).otherwise(told))

@@ -133,7 +133,7 @@ def _gate_ctes() -> str:
         _config_ctes(rankings, _bm25(b=0.0, n=50, name="flat"), flat, _SCORED), _UNPIVOTED,
         "means AS (SELECT split_part(config, ':', 1) AS side, split_part(config, ':', 2) AS config, metric, k, avg(value) AS mean FROM parts GROUP BY ALL)",
         f"policy(config, ord, metric, k, max_drop) AS (VALUES {policy})",
-        "judged AS (SELECT p.config, p.ord, p.metric, p.k, b.mean AS base, n.mean AS now, p.max_drop::DOUBLE AS max_drop, b.mean - n.mean AS d, CASE WHEN b.mean IS NULL OR n.mean IS NULL THEN 'unreported' WHEN b.mean - n.mean > p.max_drop::DOUBLE + 1e-9 THEN 'regression' ELSE 'ok' END AS outcome FROM policy p LEFT JOIN (FROM means WHERE side = 'b') b ON b.config = p.config AND b.metric = p.metric AND b.k = p.k LEFT JOIN (FROM means WHERE side = 'n') n ON n.config = p.config AND n.metric = p.metric AND n.k = p.k)",
+        "judged AS (SELECT p.config, p.ord, p.metric, p.k, b.mean AS base, n.mean AS now, p.max_drop::DOUBLE AS max_drop, round(b.mean - n.mean, 12) + 0.0 AS d, CASE WHEN b.mean IS NULL OR n.mean IS NULL THEN 'unreported' WHEN b.mean - n.mean > p.max_drop::DOUBLE + 1e-9 THEN 'regression' ELSE 'ok' END AS outcome FROM policy p LEFT JOIN (FROM means WHERE side = 'b') b ON b.config = p.config AND b.metric = p.metric AND b.k = p.k LEFT JOIN (FROM means WHERE side = 'n') n ON n.config = p.config AND n.metric = p.metric AND n.k = p.k)",
     ])
 
 
@@ -229,7 +229,7 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM c""",
         "paged_first_n": "SELECT page_id, length(html) AS n_chars FROM pages WHERE length(html) BETWEEN 1500 AND 40000 ORDER BY page_id LIMIT 60",
         "run_reports": _with(_config_ctes(), _UNPIVOTED, f"means AS ({_GROUPED})", f"counted AS ({_COUNTED})", select="SELECT * FROM means, counted"),
         "run_latency": "SELECT (['dense', 'hybrid', 'lexical'])[user_id % 3 + 1] AS config, round(median(value), 6) AS total_ms FROM events GROUP BY ALL",
-        "gate_regressions": _with(_gate_ctes(), select="SELECT config, metric, k, round(base, 6) AS base, round(now, 6) AS now, round(d, 6) AS drop, max_drop, outcome, CASE WHEN outcome = 'unreported' THEN printf('%s %s@%d: not reported', config, metric, k) ELSE printf('%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)', config, metric, k, base, now, now - base, max_drop) END AS verdict FROM judged"),
+        "gate_regressions": _with(_gate_ctes(), select="SELECT config, metric, k, round(base, 6) AS base, round(now, 6) AS now, round(d, 6) AS drop, max_drop, outcome, CASE WHEN outcome = 'unreported' THEN printf('%s %s@%d: not reported', config, metric, k) ELSE printf('%s %s@%d: %.3f -> %.3f (%+.3f, limit -%.3f)', config, metric, k, base, now, round(now - base, 12) + 0.0, max_drop) END AS verdict FROM judged"),
         "gate_identity": "SELECT * FROM (VALUES ('lexical', '', 'config_hash'), ('hybrid', 'corpus_manifest_hash', 'config_hash')) AS t(config, failures, warnings) WHERE (SELECT count(*) FROM documents WHERE text <> upper(text)) > 0",
         "gate_verdicts": _with(_gate_ctes(), select="SELECT min(ord) AS ord, config, CASE WHEN config = 'rerank' THEN 'skipped_no_baseline' WHEN config IN ('dense', 'hybrid') OR bool_or(outcome <> 'ok') THEN 'failed' ELSE 'passed' END AS status, CASE config WHEN 'rerank' THEN 0 WHEN 'dense' THEN 1 WHEN 'hybrid' THEN 1 + count(*) FILTER (outcome <> 'ok') ELSE count(*) FILTER (outcome <> 'ok') END AS n_failures, CASE WHEN config IN ('lexical', 'hybrid') THEN 'config_hash' ELSE '' END AS warnings FROM judged GROUP BY config"),
         "snapshot_digest": _with(_digest_ctes("doc_id lang source text", "documents", "tree"), select="SELECT 0 AS level, * FROM tree_0 UNION ALL SELECT 1, * FROM tree_1 UNION ALL SELECT 2, * FROM tree_2"),
