@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import html.entities
 import unicodedata
 from collections.abc import Iterable
@@ -96,9 +97,18 @@ def decode_references(text: Column) -> Column:
     return F.when(text.contains("&"), joined).otherwise(text)
 
 
-def html_to_text(markup: Column) -> Column:
-    """Text of HTML; references are decoded last, so an escaped tag stays text."""
-    return decode_references(strip_markup(markup))
+@F.pandas_udf(StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def html_to_text(markup: Column, built_in: bool = True) -> Column:
+    """Text of HTML; references are decoded last, so an escaped tag stays text.
+
+    Spark 4.1 may fail to plan a Python function over an expression with lambdas that a row uses twice: what goes on to
+    ``normalise`` in one expression is decoded with ``built_in=False``, in the worker that NFKC needs anyway.
+    """
+    return decode_references(strip_markup(markup)) if built_in else _unescape(strip_markup(markup))
 
 
 def normalise_spacing(text: Column) -> Column:

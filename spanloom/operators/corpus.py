@@ -30,7 +30,7 @@ class Selection:
 def extract_body(plain: Column, markup: Column, normalised: bool = True) -> Column:
     """Plain text where there is any, else HTML (stripped where it looks like it), else empty; then normalised."""
     filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
-    body = F.when(filled(plain), plain).when(filled(markup), F.when(looks_like_html(markup), html_to_text(markup)).otherwise(markup)).otherwise("")
+    body = F.when(filled(plain), plain).when(filled(markup), F.when(looks_like_html(markup), html_to_text(markup, built_in=not normalised)).otherwise(markup)).otherwise("")
     return normalise(body) if normalised else body
 
 

@@ -72,8 +72,8 @@ def html_blocks(spark, d):
 @query
 def html_text(spark, d):
     """Pages as text, with all references decoded, spacing normalised."""
-    rows = table(spark, d, "pages").select("page_id", T.normalise(T.html_to_text(F.col("html"))).alias("text"))
-    return rows.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    plain = materialise(table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("plain")), "html-plain")
+    return plain.select("page_id", T.normalise(F.col("plain")).alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 #: References of every kind.
