@@ -13,6 +13,7 @@ from spanloom.operators import dense, fusion, lexical
 from spanloom.operators.ranking import RankingError, top_n
 from spanloom.plans.config import Retrieval
 from spanloom.sources import versioned
+from spanloom.sources.scratch import materialise
 
 
 def unresolved(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vec
 
     queries: (query_id, query), none blank; vectors: (query_id | chunk_id, vector).  The query prefix belongs to the
     embedder's input only, so lexical and rerank stages see the bare query.  With a stored index of the chunks no text is
-    tokenised again.
+    tokenised again.  Arms and results, which have a few rows a query, are written, as later stages read them more than once.
     """
     k = config.top_k if top_k is None else top_k
     if k < 1 or k > config.dense_top_n:
@@ -61,20 +62,22 @@ def retrieve(config: Retrieval, queries: DataFrame, chunks: DataFrame, query_vec
     if config.reranker.enabled != (rerank_scores is not None):
         raise ValueError("an enabled reranker, and only it, has scores")
     queries = queries.withColumn("query", F.when(F.trim("query") == "", F.raise_error(F.lit("a query is blank")).cast("string")).otherwise(F.col("query")))
-    near = dense.search_arrow(query_vectors.join(queries.select("query_id"), "query_id", "left_semi"), chunk_vectors, config.dense_top_n)
+    near = materialise(dense.search_arrow(query_vectors.join(queries.select("query_id"), "query_id", "left_semi"), chunk_vectors, config.dense_top_n), "retrieve-dense")
     words = fused = None
     ranked = near
     if config.lexical is not None and config.fusion is not None:
         if config.lexical.backend != "bm25":
             raise ValueError("only bm25 is an in-engine lexical arm")
         terms, own = lexical.query_terms(queries), config.lexical
-        words = lexical.search_stored(index, terms, own.top_n, own.k1, own.b) if index else lexical.search(chunks, terms, own.top_n, own.k1, own.b)
-        fused = fusion.reciprocal_rank([near, words], config.fusion.k)
+        words = materialise(lexical.search_stored(index, terms, own.top_n, own.k1, own.b) if index else lexical.search(chunks, terms, own.top_n, own.k1, own.b), "retrieve-lexical")
+        fused = materialise(fusion.reciprocal_rank([near, words], config.fusion.k), "retrieve-fused")
         ranked = top_n(fused, max(k, config.reranker.top_n_in if config.reranker.enabled else k))
     reranked = fusion.rerank(ranked, rerank_scores, config.reranker.top_n_in, k) if rerank_scores is not None else None
     final = reranked if reranked is not None else ranked.where(F.col("rank") <= k)
-    out = fusion.assemble(final, near, words, fused, reranked)
-    located = out.join(chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text", F.lit(True).alias("known")), "chunk_id", "left")
+    out = materialise(fusion.assemble(final, near, words, fused, reranked), "retrieve-results")
+    # the chunks that results name, told where they lie: no other text is shuffled
+    named = chunks.join(out.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "doc_id", "char_start", "char_end", "text", F.lit(True).alias("known"))
+    located = out.join(named, "chunk_id", "left")
     lost = F.raise_error(F.concat(F.lit("no chunk has the id "), F.col("chunk_id").cast("string"))).cast(located.schema["doc_id"].dataType)
     return located.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")).otherwise(lost)).drop("known")
 
@@ -87,14 +90,17 @@ def index_key(config: Retrieval) -> str:
     return content_hash({"chunking": asdict(config.chunking), "embedding": asdict(config.embedding)}, 16)
 
 
-def store(config: Retrieval, chunks: DataFrame, vectors: DataFrame, path: str) -> str:
+def store(config: Retrieval, chunks: DataFrame, vectors: DataFrame | None, path: str) -> str:
     """Put chunks with their vectors under the configuration's key, in one transaction; the key.
 
+    Chunks that have their vectors as a column need no others, and are joined with nothing.
+
     Every chunk has one vector of the configuration's dimension, and there is a chunk: else an error, and nothing is stored.
     """
-    checked_wiring(config if config.retrieval_mode == "dense" else replace(config, retrieval_mode="dense", lexical=None, fusion=None), chunks, vectors)
+    checked_wiring(config if config.retrieval_mode == "dense" else replace(config, retrieval_mode="dense", lexical=None, fusion=None), chunks, chunks.select("chunk_id", "vector") if vectors is None else vectors)
     key = index_key(config)
-    versioned.load(chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text").join(vectors.select("chunk_id", "vector"), "chunk_id").withColumn("index_key", F.lit(key)), path)
+    own = chunks.select("chunk_id", "doc_id", "char_start", "char_end", "text", *(["vector"] if vectors is None else []))
+    versioned.load((own if vectors is None else own.join(vectors.select("chunk_id", "vector"), "chunk_id")).withColumn("index_key", F.lit(key)), path)
     return key
 
 
