@@ -177,9 +177,12 @@ def next_human_id(queries: DataFrame) -> DataFrame:
 
 
 def set_problems(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(problem, subject, n): ids, folded queries or spans that occur twice, and queries without a relevant label."""
+    """(problem, subject, n): ids, folded queries or spans that occur twice, and queries without a relevant label.
+
+    Queries alike once folded are named by the text of the first by id, as it stands in the set.
+    """
     twice = queries.groupBy("query_id").count().where("count > 1").select(F.lit("duplicate-id").alias("problem"), F.col("query_id").alias("subject"), F.col("count").alias("n"))
-    folded = queries.groupBy(fold_query(F.col("query")).alias("subject")).count().where("count > 1").select(F.lit("duplicate-query").alias("problem"), "subject", F.col("count").alias("n"))
+    folded = queries.select("query_id", "query", fold_query(F.col("query")).alias("folded")).groupBy("folded").agg(F.min(F.struct("query_id", "query")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate-query").alias("problem"), F.col("first.query").alias("subject"), "n")
     spans = labels.groupBy("query_id", "doc_id", "char_start", "char_end").count().where("count > 1").select(F.lit("duplicate-span").alias("problem"), F.col("query_id").alias("subject"), F.col("count").alias("n"))
     bare = queries.join(labels.where(F.col("gain") >= RELEVANT).select("query_id"), "query_id", "left_anti").select(F.lit("no-relevant-label").alias("problem"), F.col("query_id").alias("subject"), F.lit(0).cast("long").alias("n"))
     return twice.unionByName(folded).unionByName(spans).unionByName(bare)

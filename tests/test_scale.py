@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import aggregate, chunking, dense, lexical
+from spanloom.operators import aggregate, chunking, dense, golden, lexical
 from spanloom.operators.ranking import Best
 from spanloom.plans.config import Chunking
 
@@ -76,3 +76,9 @@ def test_windows_against_brute_force(spark, size, overlap):
             start += size - overlap
     got = chunking.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Chunking(chunk_size=size, chunk_overlap=overlap))
     assert {tuple(r) for r in got.drop("chunk_id").collect()} == want
+
+
+def test_queries_alike_are_named_as_they_stand(spark):
+    queries = spark.createDataFrame([("q-1", "die straße"), ("q-1-b", "DIE  STRASSE"), ("q-2", "weg")], "query_id string, query string")
+    labels = spark.createDataFrame([("q-1", 1, 0, 5, 3), ("q-1-b", 1, 0, 5, 3), ("q-2", 1, 0, 5, 3)], "query_id string, doc_id long, char_start int, char_end int, gain int")
+    assert [tuple(r) for r in golden.set_problems(queries, labels).collect()] == [("duplicate-query", "die straße", 2)]
