@@ -437,7 +437,8 @@ def _differing(x: np.ndarray, y: np.ndarray, sketches: list[np.ndarray]) -> np.n
 
 
 def _near(top: int):
-    """Rows (g, i, j, a, c, n, sketch, side) in order of g, i, j to pairs of members that may link, and their signatures.
+    """Rows (low, share, i, j, a, c, n, sketch, side, g) in order of the first four, g a list, to pairs of members that may
+    link, and their signatures.
 
     Pairs lie in different components (and different blocks, where i is not j), fit in size and have sketches that
     allow a link.  With top, only so many for each member of a signature: those whose sketches differ least.  Rows that
@@ -445,7 +446,14 @@ def _near(top: int):
     """
     named: set[tuple[int, int]] = set()
 
-    def settle(d: dict[str, np.ndarray], sketches: list[np.ndarray]) -> pa.RecordBatch:
+    def settle(whole: pa.Table) -> pa.RecordBatch:
+        lists = whole.column("g").combine_chunks()
+        of = np.repeat(np.arange(whole.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        g = lists.flatten().to_numpy()
+        order = np.lexsort((g, _runs(whole)[of]))
+        of, g = of[order], g[order]
+        d = {"g": g} | {c: whole.column(c).to_numpy()[of] for c in ("i", "j", "a", "c", "n", "side")}
+        sketches = [np.frombuffer(k, _U) for k in whole.column("sketch").to_pylist()]
         new = np.concatenate([[True], (d["g"][1:] != d["g"][:-1]) | (d["i"][1:] != d["i"][:-1]) | (d["j"][1:] != d["j"][:-1])])
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(new))[np.cumsum(new) - 1]  # of each row's group
@@ -461,7 +469,7 @@ def _near(top: int):
             ok = (d["c"][x] != d["c"][y]) & ((d["i"][x] == d["j"][x]) | (d["side"][x] != d["side"][y]))
             ok &= DEN * np.minimum(d["n"][x], d["n"][y]) >= NUM * np.maximum(d["n"][x], d["n"][y])
             x, y = x[ok], y[ok]
-            differ = _differing(x, y, sketches)
+            differ = _differing(of[x], of[y], sketches)
             ok = differ * 9 <= d["n"][x] + d["n"][y]
             x, y, differ = x[ok], y[ok], differ[ok]
             groups.append(np.unique(d["g"][x]))
@@ -485,42 +493,51 @@ def _near(top: int):
         return pa.RecordBatch.from_arrays([pa.array(is_pair), pa.array(a), pa.array(b)], names=["pair", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, count = ("g", "i", "j", "a", "c", "n", "side"), [], 0
+        held, count = [], 0
         for batch in batches:
             held.append(batch)
-            count += batch.num_rows
+            count += len(batch.column("g").flatten())
             if count < 20_000:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
-            keys = [whole.column(c).to_numpy() for c in "gij"]
-            change = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1]))
-            if not len(change):
+            number = _runs(whole)
+            cut = int(np.searchsorted(number, number[-1]))  # the last deal may go on
+            if not cut:
                 continue
-            cut = int(change[-1]) + 1  # the last group may go on
-            done = whole.slice(0, cut)
-            yield settle({c: done.column(c).to_numpy() for c in names}, [np.frombuffer(k, _U) for k in done.column("sketch").to_pylist()])
-            held, count = whole.slice(cut).to_batches(), whole.num_rows - cut
+            yield settle(whole.slice(0, cut))
+            rest = whole.slice(cut).combine_chunks()
+            held, count = rest.to_batches(), len(rest.column("g").combine_chunks().flatten())
         if count:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield settle({c: whole.column(c).to_numpy() for c in names}, [np.frombuffer(k, _U) for k in whole.column("sketch").to_pylist()])
+            yield settle(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _runs(rows: pa.Table) -> np.ndarray:
+    """The number of each row's deal: rows alike in low, share, i and j lie together."""
+    change = np.zeros(rows.num_rows, bool)
+    for c in ("low", "share", "i", "j"):
+        key = rows.column(c).to_numpy()
+        change[1:] |= key[1:] != key[:-1]
+    return np.cumsum(change)
+
+
 def _cross_pairs(group: DataFrame, sketches: DataFrame, top: int) -> DataFrame:
     """(pair, a, b) of groups (g, a, c), by blocks of BLOCK members; larger groups as pairs of blocks.
 
     Signatures with one smallest member mostly have the same others: side by side, they name a pair once.  Where they
     have more than DEALT rows in all they are dealt to several tasks, so no member's signatures go to one task; a pair
-    that several tasks name is made one by whoever reads this.
+    that several tasks name is made one by whoever reads this.  A member goes to a task once, with one sketch and the list
+    of its signatures there.
     """
     signs = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"), F.min("a").alias("low"))
     shares = signs.groupBy("low").agg(F.ceil(F.sum(F.col("members") * F.col("blocks")) / DEALT).cast("int").alias("shares"))
     dealt_to = signs.join(shares, "low").select("g", "blocks", "low", F.pmod(F.xxhash64("g"), F.col("shares")).alias("share"))
     own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    dealt = group.join(sketches, "a").join(dealt_to, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("low", "share", "g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "n", "sketch", "side")
-    return dealt.repartition("low", "share", "i", "j").sortWithinPartitions("low", "g", "i", "j").drop("low", "share").mapInArrow(_near(top), "pair boolean, a long, b long")
+    dealt = group.join(dealt_to, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.groupBy("low", "share", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "side").agg(F.collect_list("g").alias("g"))
+    dealt = dealt.join(sketches, "a").select("low", "share", "i", "j", "a", "c", "n", "sketch", "side", "g")
+    return dealt.repartition("low", "share", "i", "j").sortWithinPartitions("low", "share", "i", "j").mapInArrow(_near(top), "pair boolean, a long, b long")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

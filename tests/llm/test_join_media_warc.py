@@ -303,3 +303,25 @@ def test_changed_payloads_and_chunked_bodies(spark, tmp_path):
     head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
     assert warc.decode_payload(head + b"4\r\nabcd\r\n2;x=1\r\nef\r\n0\r\n\r\n") == b"abcdef"
     assert warc.decode_payload(head + b"joined already") == b"joined already"
+
+
+def test_a_member_goes_to_the_pair_scan_once(spark, monkeypatch):
+    """Many signatures with the same members: each member and its sketch are dealt out once, not once a signature."""
+
+    def rows(top):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([True] * b.num_rows), b.column("a"), pa.array([0] * b.num_rows, pa.int64())], names=["pair", "a", "b"])
+
+        return run
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**63, 60, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base, rng.integers(1, 2**63, k, dtype=np.uint64)])) for k in (0, 5, 9, 60)]
+    group = spark.createDataFrame([(g, a, a) for g in range(40) for a in range(4)], "g long, a long, c long")
+    sketches = spark.createDataFrame([(a, len(x), bytearray(partenum.sketch(x, 2).tobytes())) for a, x in enumerate(sets)], "a long, n long, sketch binary")
+    got = partenum._cross_pairs(group, sketches, 0).collect()
+    assert {(r["a"], r["b"]) for r in got if r["pair"]} >= {(0, 1), (0, 2), (1, 2)} and {r["a"] for r in got if not r["pair"]} == set(range(40))
+    assert all((r["a"], r["b"]) != (0, 3) for r in got if r["pair"])
+    monkeypatch.setattr(partenum, "_near", rows)
+    assert sorted(r["a"] for r in partenum._cross_pairs(group, sketches, 0).collect()) == [0, 1, 2, 3]
