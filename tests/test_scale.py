@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import aggregate, chunking, dense, golden, lexical
 from spanloom.operators.ranking import Best
+from spanloom.plans import fixtures
 from spanloom.plans.config import Chunking
 
 
@@ -82,3 +83,23 @@ def test_queries_alike_are_named_as_they_stand(spark):
     queries = spark.createDataFrame([("q-1", "die straße"), ("q-1-b", "DIE  STRASSE"), ("q-2", "weg")], "query_id string, query string")
     labels = spark.createDataFrame([("q-1", 1, 0, 5, 3), ("q-1-b", 1, 0, 5, 3), ("q-2", 1, 0, 5, 3)], "query_id string, doc_id long, char_start int, char_end int, gain int")
     assert [tuple(r) for r in golden.set_problems(queries, labels).collect()] == [("duplicate-query", "die straße", 2)]
+
+
+def test_words_of_gold_documents_are_hashed_once(monkeypatch):
+    """A document's runs come from one hash of each distinct word, not from lists of words made for each place."""
+    hashed = []
+    monkeypatch.setattr(fixtures.pd.util, "hash_array", lambda a, f=fixtures.pd.util.hash_array, **k: hashed.append(len(a)) or f(a, **k))
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, None]), pa.array(["a b c d " * 5000, None, "a b", "b c d a b"])], names=["doc_id", "text"])
+    got = [r for b in fixtures._document_runs([2, 5])(iter([rows])) for r in b.to_pylist()]
+    assert hashed == [5]  # four words and the empty one at an end
+    assert {i: sum(r["doc_id"] == i for r in got) for i in (7, 8, 9, None)} == {7: 20_000 + 19_997, 8: 0, 9: 1, None: 4 + 1}
+    assert {r["anchor"] for r in got if r["doc_id"] is None} <= {r["anchor"] for r in got if r["doc_id"] == 7}
+
+
+def test_gold_documents_against_brute_force(spark):
+    passages = ["one", "two  words", "three words here", "x a b\tc d e f y", " lead a b c", "a b c d e f g tail ", "", None, "nowhere to be found at all", "ünï 💡 ９ çode ß"]
+    texts = [None, "", "one", "prefixone two  wordsuffix", "zx a b\tc d e f yz", "no lead a b c\n", "q a b c d e f g tail  a b c d e f g tail ", "three  words here", "three words hereafter", "aünï 💡 ９ çode ßb"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "one three words here")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"], r["at"]) for r in fixtures.gold_documents(docs.where("doc_id is not null"), benchmark).collect()}
+    assert got == {(i, d, t.find(p) + 1) for i, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t and len(p.split())} | {(6, d, 1) for d, t in enumerate(texts) if t is not None}
