@@ -82,6 +82,9 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
         self.path, self.job = path, uuid.uuid4().hex
+        # made here alone: a task that still runs when the write is aborted finds no folder and leaves no file
+        fs, at = _open(path)
+        fs.create_dir(f"{at}/data/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, at = _open(self.path)
@@ -92,7 +95,6 @@ class _Writer(DataSourceArrowWriter):
         def flush(key: str) -> None:
             table = pa.concat_tables(held.pop(key))
             if key not in writers:
-                fs.create_dir(folder, recursive=True)
                 name = f"{folder}/{uuid.uuid4().hex}.parquet"
                 writers[key] = name, pq.ParquetWriter(name, table.schema, filesystem=fs)
             writers[key][1].write_table(table)
@@ -119,6 +121,7 @@ class _Writer(DataSourceArrowWriter):
             for key, name, rows in m.files if m else []:
                 new.setdefault(key, []).append([name, rows])
         if not new:
+            self.abort(messages)
             return
         fs, at = _open(self.path)
         while True:

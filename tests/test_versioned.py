@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,15 @@ def test_a_failed_write_changes_nothing(spark, tmp_path):
     assert versioned.current(path) == 1 and keys(spark, path) == {"a": 30} and files_in(path) == before
 
 
+def test_a_task_later_than_the_abort_leaves_no_file(tmp_path):
+    path = str(tmp_path / "index")
+    writer = versioned._Writer(path)
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([pa.RecordBatch.from_pydict({"index_key": ["a"], "text": ["t"]})]))
+    assert files_in(path) == 0
+
+
 def test_a_killed_write_is_not_read_and_is_vacuumed(spark, tmp_path):
     path = str(tmp_path / "index")
     versioned.load(rows(spark, "a", 30), path)
