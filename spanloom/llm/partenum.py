@@ -525,19 +525,38 @@ def _runs(rows: pa.Table) -> np.ndarray:
 def _cross_pairs(group: DataFrame, sketches: DataFrame, top: int) -> DataFrame:
     """(pair, a, b) of groups (g, a, c), by blocks of BLOCK members; larger groups as pairs of blocks.
 
-    Signatures with one smallest member mostly have the same others: side by side, they name a pair once.  Where they
-    have more than DEALT rows in all they are dealt to several tasks, so no member's signatures go to one task; a pair
-    that several tasks name is made one by whoever reads this.  A member goes to a task once, with one sketch and the list
-    of its signatures there.
+    Signatures with one smallest member, a family, mostly have the same others.  Where all members of a family make no
+    more pairs than its signatures do one by one, they are compared as one group, so a member goes to a task once however
+    many signatures it shares.  Other families go by signature, a member once a task with the list of its signatures
+    there; those with more than DEALT rows in all are dealt to several tasks.  A pair that several tasks name is made one
+    by whoever reads this.
     """
-    signs = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"), F.min("a").alias("low"))
-    shares = signs.groupBy("low").agg(F.ceil(F.sum(F.col("members") * F.col("blocks")) / DEALT).cast("int").alias("shares"))
-    dealt_to = signs.join(shares, "low").select("g", "blocks", "low", F.pmod(F.xxhash64("g"), F.col("shares")).alias("share"))
-    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    dealt = group.join(dealt_to, "g").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.groupBy("low", "share", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "side").agg(F.collect_list("g").alias("g"))
+    signs = group.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("a").alias("low"))
+    held = group.join(signs, "g").groupBy("low", "a", "c").agg(F.collect_list(F.struct("g", "members")).alias("signs"))
+    held = materialise(held, "jaccard-held")
+    blocks = lambda members: F.ceil(members / BLOCK).cast("int")
+    pairs = F.aggregate("signs", F.lit(0).cast("long"), lambda n, x: n + x["members"] - 1)
+    rows = F.aggregate("signs", F.lit(0).cast("long"), lambda n, x: n + F.ceil(x["members"] / BLOCK))
+    families = held.groupBy("low").agg(F.count(F.lit(1)).alias("size"), F.sum(pairs).alias("pairs"), F.ceil(F.sum(rows) / DEALT).alias("shares"), F.max(F.array_max("signs.members")).alias("most"))
+    whole = F.col("size") * (F.col("size") - 1) <= F.col("pairs")
+    # a family's own number is negative, those of signatures are not
+    own = F.col("low").bitwiseOR(F.lit(-(1 << 63)))
+    families = families.select("low", "size", "shares", whole.alias("whole"), ((F.col("shares") == 1) & (F.col("most") <= BLOCK)).alias("small"))
+    dealt = held.join(families, "low")
+    # a family with a likely pair stands for all its signatures, which its smallest member has
+    stands = dealt.where("whole and a = low").select(own.alias("own"), F.explode("signs.g").alias("sign"))
+    deal = lambda share, members, g: F.struct(share.cast("long").alias("share"), blocks(members).alias("blocks"), g.alias("g"))
+    deals = (
+        F.when(F.col("whole"), F.array(deal(F.lit(0), F.col("size"), F.array(own))))
+        .when(F.col("small"), F.array(deal(F.lit(0), F.lit(1), F.col("signs.g"))))
+        .otherwise(F.transform("signs", lambda x: deal(F.pmod(F.xxhash64(x["g"]), F.col("shares")), x["members"], F.array(x["g"]))))
+    )
+    dealt = dealt.select("low", "a", "c", F.inline(deals)).groupBy("low", "share", "blocks", "a", "c").agg(F.flatten(F.collect_list("g")).alias("g"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("low", "share", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "a", "c", "side", "g")
     dealt = dealt.join(sketches, "a").select("low", "share", "i", "j", "a", "c", "n", "sketch", "side", "g")
-    return dealt.repartition("low", "share", "i", "j").sortWithinPartitions("low", "share", "i", "j").mapInArrow(_near(top), "pair boolean, a long, b long")
+    near = dealt.repartition("low", "share", "i", "j").sortWithinPartitions("low", "share", "i", "j").mapInArrow(_near(top), "pair boolean, a long, b long")
+    return near.join(stands, ~F.col("pair") & (F.col("a") == F.col("own")), "left").select("pair", F.coalesce("sign", "a").alias("a"), "b")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -325,3 +325,36 @@ def test_a_member_goes_to_the_pair_scan_once(spark, monkeypatch):
     assert all((r["a"], r["b"]) != (0, 3) for r in got if r["pair"])
     monkeypatch.setattr(partenum, "_near", rows)
     assert sorted(r["a"] for r in partenum._cross_pairs(group, sketches, 0).collect()) == [0, 1, 2, 3]
+
+
+def test_a_family_goes_to_the_pair_scan_once_however_large(spark, monkeypatch):
+    """300 signatures of 40 members, more rows than one task compares: a member is dealt out once, not once a task."""
+
+    def rows(top):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([True] * b.num_rows), b.column("a"), pa.array([0] * b.num_rows, pa.int64())], names=["pair", "a", "b"])
+
+        return run
+
+    group = spark.createDataFrame([(g, a, a) for g in range(300) for a in range(40)], "g long, a long, c long")
+    word = bytearray(partenum.sketch(np.arange(1, 20, dtype=np.uint64), 2).tobytes())
+    sketches = spark.createDataFrame([(a, 19, word) for a in range(40)], "a long, n long, sketch binary")
+    got = partenum._cross_pairs(group, sketches, 0).collect()
+    assert {(r["a"], r["b"]) for r in got if r["pair"]} == {(a, b) for b in range(40) for a in range(b)}
+    assert {r["a"] for r in got if not r["pair"]} == set(range(300))
+    monkeypatch.setattr(partenum, "_near", rows)
+    assert sorted(r["a"] for r in partenum._cross_pairs(group, sketches, 0).collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_families_of_small_signatures_are_compared_by_signature(spark, monkeypatch, block):
+    """Signatures that have the smallest member alone in common: pairs within each, and none across."""
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    members = {g: [0, *range(1 + 10 * g, 11 + 10 * g)] for g in range(20)}
+    group = spark.createDataFrame([(g, a, a) for g, m in members.items() for a in m], "g long, a long, c long")
+    word = bytearray(partenum.sketch(np.arange(1, 20, dtype=np.uint64), 2).tobytes())
+    sketches = spark.createDataFrame([(a, 19, word) for a in range(201)], "a long, n long, sketch binary")
+    got = partenum._cross_pairs(group, sketches, 0).collect()
+    assert {(r["a"], r["b"]) for r in got if r["pair"]} == {(a, b) for m in members.values() for a in m for b in m if a < b}
+    assert {r["a"] for r in got if not r["pair"]} == set(members)
