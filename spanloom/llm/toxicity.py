@@ -4,9 +4,9 @@ Grades 0 < 1 < ... < J share one weight vector across ordered thresholds: P(grad
 expected severity is the sum over j of P(grade > j).  Features are whether a text has a word, or a word with a certain
 beginning of 4 to 8 bytes, in letters of any language, lower-cased (ASCII and Latin-1), each hashed to 32 bits.
 
-Fitting.  The sample is bounded: at most SAMPLE_ROWS labelled rows, those with the smallest hash of doc_id.  Features of
-the sample alone go to the driver, which keeps those that go with grade > 0 and fits weights of at least zero (clean words
-cannot buy a text off) by projected gradient descent with an L2 penalty.  Scoring covers every whole text with one scan
+Fitting.  The sample is bounded: at most SAMPLE_ROWS labelled rows, those with the smallest hash of doc_id.  Its features
+are counted on the executors; those that go with grade > 0 go to the driver, which fits weights of at least zero (clean
+words cannot buy a text off) by projected gradient descent with an L2 penalty.  Scoring covers every whole text with one scan
 and no shuffle.
 
 The tables label rows as toxic or not; ``severity_grades`` makes three ordered grades of that: 0 not toxic; toxic rows
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import from_bytes, mix64, sub_batches, text_bytes, word_hashes
+from spanloom.llm.common import from_bytes, materialise, mix64, sub_batches, text_bytes, word_hashes
 
 #: Bound of the labelled sample that a model is fitted on.
 SAMPLE_ROWS = 4000
@@ -108,18 +108,23 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs[:, 1]))], names=["doc_id", "grade", "features"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grades, row of each feature, feature) of the bounded sample; labels: (doc_id, grade)."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, screened: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grades, row of each feature, feature) of the bounded sample; labels: (doc_id, grade).
+
+    With screened, features that ``_screen`` turns away for grades above 0 stay on the executors.
+    """
     known = labels.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("grade").cast("int").alias("grade"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()  # bounded by the parameter
     if not chosen:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     few = docs.sparkSession.createDataFrame([(r["doc_id"], r["grade"]) for r in chosen], "doc_id long, grade int")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text").mapInArrow(_sample_rows, "doc_id long, grade int, features array<long>")
-    # one row a doc_id comes to the driver: of several texts the one whose features hash least
+    # one row a doc_id: of several texts the one whose features hash least
     one = F.min_by(F.struct("grade", "features"), F.struct(F.xxhash64("features"), F.size("features")))
-    found = found.groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.grade", "x.features").toArrow()
-    found = found.sort_by("doc_id").combine_chunks()
+    found = materialise(found.groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.grade", "x.features"), "toxicity-sample")
+    if screened:
+        found = _screened(found)
+    found = found.toArrow().sort_by("doc_id").combine_chunks()
     ids = found.column("doc_id").to_numpy()
     grades = found.column("grade").to_numpy().astype(np.int64)
     lists = found.column("features").combine_chunks() if isinstance(found.column("features"), pa.ChunkedArray) else found.column("features")
@@ -130,6 +135,19 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
     return grades[first], (np.cumsum(first) - 1)[row[use]], feature[use]
 
 
+def _screened(found: DataFrame) -> DataFrame:
+    """Rows (doc_id, grade, features) with the features alone that ``_screen`` keeps for grades above 0, and some at its edge."""
+    rows, base = found.agg(F.count(F.lit(1)), F.avg((F.col("grade") > 0).cast("double"))).first()
+    if not rows:
+        return found
+    n, p, base = F.count(F.lit(1)), F.sum((F.col("grade") > 0).cast("long")), F.lit(base)
+    z = (p - n * base) / F.sqrt(F.greatest(n * base * (1 - base), F.lit(1e-9)))
+    each = found.select("doc_id", "grade", F.explode("features").alias("feature"))
+    kept = each.groupBy("feature").agg(n.alias("n"), z.alias("z")).where((F.col("n") >= LEAST_ROWS) & (F.col("z") >= LEAST_Z - 1e-6)).select("feature")
+    held = each.join(kept, "feature").groupBy("doc_id").agg(F.sort_array(F.collect_list("feature")).alias("features"))
+    return found.select("doc_id", "grade").join(held, "doc_id", "left").select("doc_id", "grade", F.coalesce("features", F.array().cast("array<long>")).alias("features"))
+
+
 def _screen(positive: np.ndarray, row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features kept, and for each their rows among the positive and the others."""
     names, at = np.unique(feature, return_inverse=True)
@@ -245,7 +263,7 @@ def _scorer(model: Model):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model from documents and labels (doc_id, toxic)."""
-    toxic, row, feature = sample(docs, labels.select("doc_id", F.col("toxic").alias("grade")), rows)
+    toxic, row, feature = sample(docs, labels.select("doc_id", F.col("toxic").alias("grade")), rows, screened=True)
     return fit(severity_grades(toxic, row, feature), row, feature)
 
 

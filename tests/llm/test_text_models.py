@@ -363,3 +363,17 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch, broken):
         right &= abs(sum(copies[i] * size[i] for i in ids) - target[s]) <= max(size[i] for i in ids) / 2 + 1e-6
     right &= all(list(r["ids"]) == pieces(text[r["doc_id"]]) and r["n_pieces"] == len(r["ids"]) for r in got if r["doc_id"] in text)
     assert right == (broken is None)
+
+
+def test_the_driver_gets_screened_features_alone(spark):
+    """The model of the features that the executors screen is that of all; most features stay there."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.sample(words, 60)) + (" vilest wretched" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)] + [(300, None, 0), (301, "", 1)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    docs, labels = both.select("doc_id", "text"), both.select("doc_id", F.col("toxic").alias("grade"))
+    grades, row, feature = toxicity.sample(docs, labels)
+    few = toxicity.sample(docs, labels, screened=True)
+    assert few[0].tolist() == grades.tolist() and 0 < len(few[2]) < len(feature) / 20
+    whole, model = toxicity.fit(toxicity.severity_grades(grades, row, feature), row, feature), toxicity.train(docs, both.select("doc_id", "toxic"))
+    assert len(model.features) and all(np.array_equal(getattr(whole, x), getattr(model, x)) for x in ("features", "weights", "thetas"))
