@@ -49,6 +49,45 @@ def test_a_task_passes_on_its_best_alone():
     assert got == sorted((q, c) for j, q in enumerate("xyz") for _, c in sorted((-score[i, j], ids[i]) for i in range(2000))[:5])
 
 
+def test_pairs_of_vectors_are_products_of_blocks(spark, monkeypatch):
+    """No row is made for a pair; cells of a few rows give what all pairs give: ties, ids that are missing, a query's own id."""
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 50), monkeypatch.setattr(dense, "QUERY_ROWS", 7), monkeypatch.setattr(dense, "CELLS", 60)
+    rng = np.random.default_rng(5)
+    own = rng.integers(-3, 4, (300, 4)).astype(float) + [0.5, 0, 0, 0]
+    own[100:200] = own[7]
+    rows = [(None if i == 150 else i, own[i].tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<float>")
+    q = spark.createDataFrame([rows[i] for i in (*range(0, 300, 11), 150)], "query_id long, vector array<float>")
+    for skip_same in (False, True):
+        want = set()
+        for query_id, x in (tuple(r) for r in q.collect()):
+            score = {c: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) for c, y in rows if not skip_same or None not in (c, query_id) and c != query_id}
+            best = sorted(score, key=lambda c: (-round(score[c], 9), -1 if c is None else c))[:20]
+            want |= {(query_id, c, round(score[c], 6), k) for k, c in enumerate(best, 1)}
+        found = dense.search(q, v, 20, skip_same)
+        assert "NestedLoopJoin" not in plan_of(found) and "CartesianProduct" not in plan_of(found)
+        assert {(r["query_id"], r["chunk_id"], round(r["score"], 6), r["rank"]) for r in found.collect()} == want
+    assert dense.search(q.limit(0), v, 20).count() == 0 == dense.search(q, v.limit(0), 20).count()
+
+
+@pytest.mark.parametrize("vector,error", [(None, "no direction"), ([], "no direction"), ([1.0, None], "no direction"), ([0.0, 0.0], "no direction"), ([1.0, float("inf")], "no direction"), ([1.0, float("nan")], "no direction"), ([1.0, 2.0, 3.0], "differ in length")])
+def test_vectors_that_cannot_be_compared(spark, vector, error):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, vector)], "chunk_id long, vector array<double>")
+    q = v.where("chunk_id = 1").withColumnRenamed("chunk_id", "query_id")
+    with pytest.raises(Exception, match=error):
+        dense.search(q, v, 1).collect()
+
+
+def test_a_task_rounds_and_orders_as_the_plan_does():
+    """A half goes away from zero, so 1 / 1024 ties with the number above it; a missing id comes first."""
+    best = Best(["x"], 1)
+    best.add(pa.array([1, 2, None, 3]), np.array([[1 / 1024], [0.0009765634], [0.0], [-1 / 1024]]))
+    assert [b.to_pylist() for b in best.rows()] == [[{"query_id": "x", "chunk_id": 1, "score": 1 / 1024}]]
+    best = Best(["x"], 1)
+    best.add(pa.array([4, None, 2]), np.array([[0.5], [0.5], [0.5]]))
+    assert [b.to_pylist() for b in best.rows()] == [[{"query_id": "x", "chunk_id": None, "score": 0.5}]]
+
+
 def test_vectors_beside_their_texts(spark):
     rows = spark.createDataFrame([(1, "b B a"), (2, ""), (3, None), (4, "?!"), (5, "É_é x1")], "chunk_id long, text string")
     got = {r["chunk_id"]: list(r["vector"]) for r in dense.with_hash_counts(rows).collect()}
