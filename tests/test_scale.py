@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spanloom.operators import aggregate, chunking, dense, golden, lexical
 from spanloom.operators.ranking import Best
 from spanloom.plans import fixtures
@@ -70,6 +71,14 @@ def test_pairs_of_vectors_are_products_of_blocks(spark, monkeypatch):
     assert dense.search(q.limit(0), v, 20).count() == 0 == dense.search(q, v.limit(0), 20).count()
 
 
+@pytest.mark.parametrize("name", ["dense_self_excluded", "dense_top50"])
+def test_dense_queries_make_no_row_for_a_pair(spark, sf, name):
+    found = entry.queries()[name](spark, sf)
+    assert "NestedLoopJoin" not in plan_of(found) and "CartesianProduct" not in plan_of(found)
+    own = found.where("query_id = chunk_id").count()
+    assert own == (0 if name == "dense_self_excluded" else found.select("query_id").distinct().count())
+
+
 @pytest.mark.parametrize("vector,error", [(None, "no direction"), ([], "no direction"), ([1.0, None], "no direction"), ([0.0, 0.0], "no direction"), ([1.0, float("inf")], "no direction"), ([1.0, float("nan")], "no direction"), ([1.0, 2.0, 3.0], "differ in length")])
 def test_vectors_that_cannot_be_compared(spark, vector, error):
     v = spark.createDataFrame([(1, [1.0, 2.0]), (2, vector)], "chunk_id long, vector array<double>")
